@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -134,3 +135,17 @@ def distinct_within(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray
         out.append(own)
         sizes[i] = len(own)
     return np.concatenate(out) if out else np.zeros(0, np.uint64), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def slices(batches, column: str = "text", most: int = 2 << 20):
+    """Parts of record batches with about ``most`` bytes of text each (one text at least)."""
+    for batch in batches:
+        texts = batch.column(column)
+        sizes = np.asarray(pa.compute.binary_length(texts).fill_null(0), np.int64)
+        ends = np.cumsum(sizes)
+        at = 0
+        while at < len(sizes):
+            before = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+            yield batch.slice(at, to - at)
+            at = to

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytekernel import Words, distinct_within, finalise, shingles, utf8
+from .bytekernel import Words, distinct_within, finalise, shingles, slices, utf8
 from .components import components
 from .storage import Tables, only, partitions_for
 
@@ -51,7 +51,7 @@ from .storage import Tables, only, partitions_for
 #: table of common ones has a fixed bound.  It only orders partitions.
 COMMON_MIN, COMMON_MOST = 24, 1 << 16
 SMALL_BAND, SMALL_GROUP, BLOCK = 64, 6, 2048
-FLUSH, BUCKET_POSTINGS = 1 << 21, 4 << 20
+FLUSH, BUCKET_POSTINGS = 1 << 20, 4 << 20
 SEEN_MOST = 1 << 18
 BITMAP_BITS = 1 << 23
 
@@ -151,7 +151,7 @@ def profile_task(width: int):
                 both, total = both[top], total[top]
             keys, counts, pending, held = both, total, [], 0
 
-        for batch in batches:
+        for batch in slices(batches):
             elements, offsets, sets = sets_of(batch.column("text"), width)
             sketches = []
             for i, s in enumerate(sets.tolist()):
@@ -198,7 +198,7 @@ def posting_task(width: int, ratio: tuple[int, int], common, buckets: int):
                     schema=_POSTINGS,
                 )
 
-        for batch in batches:
+        for batch in slices(batches):
             elements, offsets, sets = sets_of(batch.column("text"), width)
             for i, key in enumerate(sets.tolist()):
                 own = elements[offsets[i] : offsets[i + 1]]
@@ -277,7 +277,7 @@ def element_task(width: int, wanted):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = wanted.value, Seen()
-        for batch in batches:
+        for batch in slices(batches):
             elements, offsets, sets = sets_of(batch.column("text"), width)
             slot = sets & (BITMAP_BITS - 1)
             hit = np.flatnonzero(((bits[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1)) == 1)
