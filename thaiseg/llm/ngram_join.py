@@ -16,12 +16,13 @@ Jaccard similarity reaches the threshold (3/4).  The join is exact:
    the order of partitions, so that a shared passage signs hardly any text.
 3. *Candidates.*  Postings (signature, set) travel as packed arrays to the task
    that owns the signature.  Small groups give all their pairs; large groups
-   give the pairs with one of their members and are kept.
+   give the pairs with one of their members and are kept.  Pairs stay if sizes
+   and 1024-bit parity sketches leave them possible (bits that differ can't
+   outnumber the shingles that differ).
 4. *Verification* of pairs on the whole sets, then connected components.
 5. *The rest of the large groups*: pairs whose members are still in different
-   components, if sizes and 256-bit parity sketches (bits that differ can't
-   outnumber the shingles that differ) leave them possible, are verified too.
-   Blocks of a large group go to tasks of their own.
+   components pass the same tests.  Blocks of a large group go to tasks of
+   their own.
 
 Equal sets are one node throughout, so copies cost one row each.
 
@@ -54,6 +55,7 @@ SMALL_BAND, SMALL_GROUP, BLOCK = 64, 6, 2048
 FLUSH, BUCKET_POSTINGS = 1 << 20, 4 << 20
 SEEN_MOST = 1 << 18
 BITMAP_BITS = 1 << 23
+SKETCH_BITS = 1 << 10
 
 
 # --- one text's set -----------------------------------------------------------
@@ -71,7 +73,7 @@ def set_hashes(elements: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def parity_sketch(elements: np.ndarray) -> bytes:
-    odd = np.bincount((elements & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    odd = np.bincount((elements & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
@@ -315,18 +317,28 @@ def _elements(spark: SparkSession, texts: DataFrame, pairs: DataFrame, width: in
     return made.groupBy("set").agg(F.first("n").alias("n"), F.first("elements").alias("elements"))
 
 
-def verified(spark: SparkSession, tables: Tables, name: str, texts: DataFrame, pairs: DataFrame, width: int, ratio: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) of sets that reach the threshold, as a written table."""
+def possible_task(ratio: tuple[int, int]):
     num, den = ratio
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(len(batch), -1) for c in ("sa", "sb"))
+            good = np.minimum(na, nb) * den >= np.maximum(na, nb) * num
+            good &= np.bitwise_count(a ^ b).sum(1) <= (na + nb) * (den - num) // (den + num)
+            yield batch.select(["a", "b"]).filter(pa.array(good))
+
+    return run
+
+
+def verified(spark: SparkSession, tables: Tables, name: str, texts: DataFrame, pairs: DataFrame, info: DataFrame, width: int, ratio: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) of sets that reach the threshold, as a written table."""
+    sketched = pairs.join(info.toDF("a", "na", "sa"), "a").join(info.toDF("b", "nb", "sb"), "b")
+    pairs = tables.write(sketched.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(possible_task(ratio), "a long, b long"), f"{name}-possible")
     elements = tables.write(_elements(spark, texts, pairs, width), f"{name}-elements")
-    sizes = elements.select("set", "n")
-    fitting = (
-        pairs.join(sizes.toDF("a", "na"), "a")
-        .join(sizes.toDF("b", "nb"), "b")
-        .where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
-        # the smaller set travels with the pair
-        .select(F.when(F.col("na") <= F.col("nb"), F.col("a")).otherwise(F.col("b")).alias("x"), F.when(F.col("na") <= F.col("nb"), F.col("b")).otherwise(F.col("a")).alias("y"))
-    )
+    fitting = pairs.toDF("x", "y")
     both = fitting.join(elements.select(F.col("set").alias("x"), F.col("elements").alias("ex")), "x").join(elements.select(F.col("set").alias("y"), F.col("elements").alias("ey")), "y").select("x", "y", "ex", "ey")
     out = tables.write(both.mapInArrow(verify_task(ratio), "x long, y long").toDF("a", "b"), f"{name}-links")
     tables.drop(f"{name}-elements")
@@ -340,7 +352,7 @@ def rest_task(ratio: tuple[int, int]):
     def block(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("n", kind="stable")
         n, comp, s, side = g.n.to_numpy(), g.comp.to_numpy(), g.set.to_numpy(), g.side.to_numpy()
-        sketch = np.frombuffer(b"".join(g.sketch), np.uint64).reshape(-1, 4)
+        sketch = np.frombuffer(b"".join(g.sketch), np.uint64).reshape(-1, SKETCH_BITS // 64)
         a, b = [], []
         for i in range(len(g)):
             j = np.arange(i + 1, np.searchsorted(n, n[i] * den // num, "right"))
@@ -367,12 +379,11 @@ def rest_task(ratio: tuple[int, int]):
     return run
 
 
-def _rest(groups: DataFrame, docs: DataFrame, comps: DataFrame, ratio: tuple[int, int]) -> DataFrame:
+def _rest(groups: DataFrame, info: DataFrame, comps: DataFrame, ratio: tuple[int, int]) -> DataFrame:
     """Pairs across components inside the large groups, block by block."""
     members = groups.select("gid", "size", F.explode("members").alias("set")).distinct()
     members = members.join(comps, "set", "left").withColumn("comp", F.coalesce("comp", "set"))
     mixed = members.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gid")
-    info = docs.groupBy("set").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("set"), blocks).cast("int")
     rows = members.join(mixed, "gid").join(info, "set").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -393,12 +404,13 @@ def similar_documents(spark: SparkSession, docs: DataFrame, width: int = 5, rati
     postings = docs.select("text").mapInArrow(posting_task(width, ratio, handle, buckets), "bucket int, signatures binary, sets binary")
     found = tables.write(postings.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(candidate_task, "a long, b long, gid long, size long, members array<long>"), "candidates")
     pairs = found.where("a is not null").select("a", "b").distinct()
-    links = verified(spark, tables, "first", texts, pairs, width, ratio)
+    info = tables.write(rows.where("n > 0").groupBy("set").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "info")
+    links = verified(spark, tables, "first", texts, pairs, info, width, ratio)
     groups = found.where("gid is not null")
     comps = components(spark, tables, "first", links)
-    rest = tables.write(_rest(groups, rows, comps, ratio), "rest")
+    rest = tables.write(_rest(groups, info, comps, ratio), "rest")
     if rest.limit(1).count():
-        more = verified(spark, tables, "second", texts, rest, width, ratio)
+        more = verified(spark, tables, "second", texts, rest, info, width, ratio)
         comps = components(spark, tables, "second", links.union(more))
     first = rows.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("first"))
     named = first.join(comps, "set", "left").withColumn("comp", F.coalesce("comp", "set"))

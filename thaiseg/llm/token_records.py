@@ -46,7 +46,7 @@ from .bytekernel import EXACT, Words, slices, utf8
 from .storage import new_folder, only, partitions_for
 
 END_ID = 0
-MEMO_MOST = 1 << 19
+MEMO_MOST = 1 << 21
 ROWS_PER_SHARD = 20_000
 _MASK = 0xA282EAD8
 _SPACE = np.zeros(256, bool)
@@ -102,10 +102,17 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.memo: dict[int, int] = {}
+        self.known, self.known_at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.pool, self.used = np.zeros(1 << 16, self.dtype), 0
         self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Memo places of ascending keys, -1 if absent."""
+        if not len(self.known):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.known, keys), len(self.known) - 1)
+        return np.where(self.known[at] == keys, self.known_at[at], -1)
+
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -120,7 +127,7 @@ class Encoder:
         self._add(keys, ids, np.diff(np.concatenate([[0], cuts])))
 
     def _add(self, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
-        n = len(self.memo)
+        n = len(self.known)
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         while n + len(keys) > len(self.starts):
@@ -129,7 +136,9 @@ class Encoder:
         self.starts[n : n + len(keys)] = self.used + np.cumsum(sizes) - sizes
         self.sizes[n : n + len(keys)] = sizes
         self.used += len(ids)
-        self.memo.update(zip(keys.tolist(), range(n, n + len(keys))))
+        joined = np.concatenate([self.known, keys])
+        order = np.argsort(joined, kind="stable")
+        self.known, self.known_at = joined[order], np.concatenate([self.known_at, np.arange(n, n + len(keys))])[order]
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts joined, and n + 1 offsets."""
@@ -139,7 +148,6 @@ class Encoder:
         # a piece is a word with the one space before it; a text's first has none
         leads = np.zeros(len(words.starts), bool)
         leads[words.first[:-1][words.counts > 0]] = True
-        lead_at = words.starts[leads]
         spaces = np.concatenate([[0], np.cumsum(_SPACE[raw])])
         gaps = spaces[offsets[1:]] - spaces[offsets[:-1]]
         owner = np.repeat(np.arange(n), words.counts)
@@ -149,9 +157,9 @@ class Encoder:
         keys = keys[~odd[owner]]
         places = np.flatnonzero(~odd[owner])
         distinct, first, back = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.memo) + len(distinct) > MEMO_MOST:
+        if len(self.known) + len(distinct) > MEMO_MOST:
             self.clear()
-        index = np.array([self.memo.get(k, -1) for k in distinct.tolist()], np.int64)
+        index = self._find(distinct)
         new = np.flatnonzero(index < 0)
         if len(new):
             at = places[first[new]]
@@ -162,7 +170,7 @@ class Encoder:
             if alone.any():
                 got = self.whole([data[s:e].decode() for s, e in zip(words.starts[at[alone]].tolist(), words.ends[at[alone]].tolist())])
                 self._add(distinct[new[alone]], np.concatenate(got), np.array([len(g) for g in got]))
-            index = np.array([self.memo[k] for k in distinct.tolist()], np.int64)
+            index = self._find(distinct)
         index = index[back]
         sizes, starts = self.sizes[index], self.starts[index]
         ends = np.cumsum(sizes)
@@ -174,7 +182,6 @@ class Encoder:
             flat = np.concatenate([whole[i] if i in whole else flat[cuts[i] : cuts[i + 1]] for i in range(n)])
             for i, ids in whole.items():
                 per_text[i] = len(ids)
-        del lead_at
         return flat, np.concatenate([[0], np.cumsum(per_text)])
 
 
