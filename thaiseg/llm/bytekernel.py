@@ -20,6 +20,9 @@ _MIX = np.random.default_rng(20240229).integers(1, 1 << 63, 8, dtype=np.uint64)
 #: The separators of every word contract here: space and U+0009 to U+000D.
 WHITESPACE = np.zeros(256, bool)
 WHITESPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: The same for words of letters, digits and non-ASCII characters alone.
+PUNCTUATION = np.ones(256, bool)
+PUNCTUATION[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 _byte_values = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
 #: Byte values that keep case apart, and that fold A-Z onto a-z.
@@ -94,6 +97,13 @@ class Words:
             h = (sums[self.ends] - sums[self.starts]) * down[self.starts]
             h += (self.ends - self.starts).astype(np.uint64) * np.uint64(_BASE)
             self.hashes = finalise(h)
+            self._sums, self._down = sums, down
+
+    def prefixes(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words' first ``size`` bytes, and which words are so long."""
+        ends = np.minimum(self.starts + size, self.ends)
+        h = (self._sums[ends] - self._sums[self.starts]) * self._down[self.starts]
+        return finalise(h + np.uint64(size)), self.ends - self.starts >= size
 
     @property
     def counts(self) -> np.ndarray:

@@ -2,13 +2,43 @@
 
 from __future__ import annotations
 
-from . import ngram_join
+from . import decontaminate, ngram_join, simhash, source_mix, token_records, toxicity
 from .storage import documents
 
 
+def _table(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_document_fingerprints(spark, sf_dir):
+    return simhash.fingerprints_with_edits(spark, documents(spark, sf_dir))
+
+
+def op3_toxicity(spark, sf_dir):
+    return toxicity.toxic_documents(spark, documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
+
+
+def op4_token_records(spark, sf_dir):
+    return token_records.tokenized(spark, documents(spark, sf_dir), tokenizer_path())
+
+
+def op5_source_mix(spark, sf_dir):
+    return source_mix.taken_words(spark, documents(spark, sf_dir))
+
+
 def op6_ngram_jaccard(spark, sf_dir):
     return ngram_join.similar_documents(spark, documents(spark, sf_dir))
 
 
-QUERIES = {"op6_ngram_jaccard": op6_ngram_jaccard}
+def op9_decontamination(spark, sf_dir):
+    return decontaminate.contaminations(spark, documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op3_toxicity, op4_token_records, op5_source_mix, op6_ngram_jaccard, op9_decontamination)}
 SQL = {}
