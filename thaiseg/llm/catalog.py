@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, ngram_join, simhash, source_mix, token_records, toxicity
+from . import decontaminate, licences, ngram_join, pii, quality, simhash, source_mix, token_records, toxicity
 from .storage import documents
 
 
@@ -36,9 +36,28 @@ def op6_ngram_jaccard(spark, sf_dir):
     return ngram_join.similar_documents(spark, documents(spark, sf_dir))
 
 
+def op7_quality(spark, sf_dir):
+    return quality.quality_scores(spark, documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
+
+
+def op8_license_scan(spark, sf_dir):
+    return licences.scanned(spark, documents(spark, sf_dir))
+
+
 def op9_decontamination(spark, sf_dir):
     return decontaminate.contaminations(spark, documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op3_toxicity, op4_token_records, op5_source_mix, op6_ngram_jaccard, op9_decontamination)}
-SQL = {}
+#: For the query alone; a user passes a key of their own.
+QUERY_KEY = b"a key that only the query uses"
+
+
+def op10_pseudonyms(spark, sf_dir):
+    return pii.digests(pii.pseudonymized(documents(spark, sf_dir), QUERY_KEY))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_document_fingerprints, op3_toxicity, op4_token_records, op5_source_mix, op6_ngram_jaccard, op7_quality, op8_license_scan, op9_decontamination, op10_pseudonyms)
+}
+SQL = {"op8_license_scan": licences.oracle()}
