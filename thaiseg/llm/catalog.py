@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licences, ngram_join, pii, quality, simhash, source_mix, token_records, toxicity
+from . import decontaminate, licences, line_dedup, ngram_join, pii, quality, simhash, source_mix, token_records, toxicity
 from .storage import documents
 
 
@@ -20,6 +20,10 @@ def op1_document_fingerprints(spark, sf_dir):
     return simhash.fingerprints_with_edits(spark, documents(spark, sf_dir))
 
 
+def op2_line_dedup(spark, sf_dir):
+    return line_dedup.digests(spark, documents(spark, sf_dir))
+
+
 def op3_toxicity(spark, sf_dir):
     return toxicity.toxic_documents(spark, documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
 
@@ -58,6 +62,6 @@ def op10_pseudonyms(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_document_fingerprints, op3_toxicity, op4_token_records, op5_source_mix, op6_ngram_jaccard, op7_quality, op8_license_scan, op9_decontamination, op10_pseudonyms)
+    for f in (op1_document_fingerprints, op2_line_dedup, op3_toxicity, op4_token_records, op5_source_mix, op6_ngram_jaccard, op7_quality, op8_license_scan, op9_decontamination, op10_pseudonyms)
 }
 SQL = {"op8_license_scan": licences.oracle()}
