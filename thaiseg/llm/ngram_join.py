@@ -17,7 +17,7 @@ Jaccard similarity reaches the threshold (3/4).  The join is exact:
 3. *Candidates.*  Postings (signature, set) travel as packed arrays to the task
    that owns the signature.  Small groups give all their pairs; large groups
    give the pairs with one of their members and are kept.  Pairs stay if sizes
-   and 1024-bit parity sketches leave them possible (bits that differ can't
+   and parity sketches leave them possible (bits that differ can't
    outnumber the shingles that differ).
 4. *Verification* of pairs on the whole sets, then connected components.
 5. *The rest of the large groups*: pairs whose members are still in different
@@ -50,7 +50,7 @@ from .storage import Tables, only, partitions_for
 
 #: A shingle of at least so many texts of a task's counts is common; the
 #: table of common ones has a fixed bound.  It only orders partitions.
-COMMON_MIN, COMMON_MOST = 24, 1 << 16
+COMMON_MIN, COMMON_MOST = 12, 1 << 17
 SMALL_BAND, SMALL_GROUP, BLOCK = 64, 6, 2048
 FLUSH, BUCKET_POSTINGS = 1 << 20, 4 << 20
 SEEN_MOST = 1 << 18
@@ -61,9 +61,10 @@ SKETCH_BITS = 1 << 10
 # --- one text's set -----------------------------------------------------------
 
 
-def sets_of(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct shingles of all texts, n + 1 offsets, and set hashes."""
-    elements, offsets = distinct_within(*shingles(Words(*utf8(column)), width))
+def sets_of(column: pa.Array, width: int, units=utf8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct shingles of all units (texts, unless ``units`` cuts the
+    column's bytes otherwise), n + 1 offsets, and set hashes."""
+    elements, offsets = distinct_within(*shingles(Words(*units(column)), width))
     return elements, offsets, set_hashes(elements, offsets)
 
 
@@ -72,11 +73,39 @@ def set_hashes(elements: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return finalise(sums[offsets[1:]] - sums[offsets[:-1]] + np.diff(offsets).astype(np.uint64)).view(np.int64)
 
 
-def parity_sketch(elements: np.ndarray) -> bytes:
-    odd = np.bincount((elements & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+def parity_sketch(elements: np.ndarray, least: int = SKETCH_BITS) -> bytes:
+    """Parities of the counts of elements in slots, as many slots as elements or more."""
+    bits = max(least, 1 << max(0, len(elements) - 1).bit_length())
+    odd = np.bincount((elements & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+class Sketches:
+    """Hamming distances of parity sketches; the longer of two folds onto the
+    shorter, which gives the sketch that it would have had at that length."""
+
+    def __init__(self, sketches: list[bytes]):
+        self.sizes = np.array([len(x) // 8 for x in sketches], np.int64)
+        self.levels: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for size in np.unique(self.sizes).tolist():
+            rows = [x for x in sketches if len(x) in (8 * size, 16 * size)]
+            at = np.flatnonzero((self.sizes == size) | (self.sizes == 2 * size))
+            flat = [np.frombuffer(x, np.uint64) for x in rows]
+            place = np.full(len(sketches), -1)
+            place[at] = np.arange(len(at))
+            self.levels[size] = (np.stack([x if len(x) == size else x[:size] ^ x[size:] for x in flat]), place)
+
+    def apart(self, i: int, j: np.ndarray) -> np.ndarray:
+        """Distances of i to all j, whose sizes are within a factor of two."""
+        out = np.zeros(len(j), np.int64)
+        both = np.minimum(self.sizes[i], self.sizes[j])
+        for size in np.unique(both).tolist():
+            rows, place = self.levels[size]
+            own = both == size
+            out[own] = np.bitwise_count(rows[place[j[own]]] ^ rows[place[i]]).sum(1)
+        return out
+
+
 class Seen:
     """Whether a set came before in this task; forgets when it is full."""
 
@@ -92,6 +121,36 @@ class Seen:
         return True
 
 
+class Recurring:
+    """Counts of the commonest values of many sets, in bounded memory."""
+
+    def __init__(self):
+        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.pending, self.held = [], 0
+
+    def add(self, own: np.ndarray) -> None:
+        self.pending.append(own)
+        self.held += len(own)
+        if self.held > FLUSH:
+            self._merge()
+
+    def _merge(self) -> None:
+        if not self.pending:
+            return
+        new, n = np.unique(np.concatenate(self.pending), return_counts=True)
+        new, n = new[n > 1], n[n > 1]
+        both, at = np.unique(np.concatenate([self.keys, new]), return_inverse=True)
+        total = np.bincount(at, np.concatenate([self.counts, n]), len(both)).astype(np.int64)
+        if len(both) > 2 * COMMON_MOST:
+            top = np.sort(np.argpartition(-total, 2 * COMMON_MOST)[: 2 * COMMON_MOST])
+            both, total = both[top], total[top]
+        self.keys, self.counts, self.pending, self.held = both, total, [], 0
+
+    def counted(self, least: int = 3) -> tuple[np.ndarray, np.ndarray]:
+        self._merge()
+        return self.keys[self.counts >= least], self.counts[self.counts >= least]
+
+
 # --- signatures ---------------------------------------------------------------
 
 
@@ -139,20 +198,7 @@ def profile_task(width: int):
     """Rows of documents, then counts of the shingles that recur in the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, pending, held = Seen(), [], 0
-        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-
-        def merge():
-            nonlocal keys, counts, pending, held
-            new, n = np.unique(np.concatenate(pending or [np.zeros(0, np.uint64)]), return_counts=True)
-            new, n = new[n > 1], n[n > 1]
-            both, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
-            total = np.bincount(at, np.concatenate([counts, n]), len(both)).astype(np.int64)
-            if len(both) > 2 * COMMON_MOST:
-                top = np.sort(np.argpartition(-total, 2 * COMMON_MOST)[: 2 * COMMON_MOST])
-                both, total = both[top], total[top]
-            keys, counts, pending, held = both, total, [], 0
-
+        seen, recurring = Seen(), Recurring()
         for batch in slices(batches):
             elements, offsets, sets = sets_of(batch.column("text"), width)
             sketches = []
@@ -160,18 +206,14 @@ def profile_task(width: int):
                 own = elements[offsets[i] : offsets[i + 1]]
                 sketches.append(parity_sketch(own))
                 if len(own) and seen.new(s):
-                    pending.append(own)
-                    held += len(own)
-            if held > FLUSH:
-                merge()
+                    recurring.add(own)
             nothing = pa.nulls(len(sets), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(np.diff(offsets)), pa.array(sets), pa.array(sketches, pa.binary()), nothing, nothing], schema=_PROFILE)
-        merge()
-        often = counts >= 3
-        n = int(often.sum())
+        keys, counts = recurring.counted()
+        n = len(keys)
         if n:
             none = pa.nulls(n, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(n, pa.binary()), pa.array(keys[often].view(np.int64)), pa.array(counts[often])], schema=_PROFILE)
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(n, pa.binary()), pa.array(keys.view(np.int64)), pa.array(counts)], schema=_PROFILE)
 
     return run
 
@@ -274,13 +316,13 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray,
 _ELEMENTS = pa.schema([("set", pa.int64()), ("n", pa.int64()), ("elements", pa.binary())])
 
 
-def element_task(width: int, wanted):
-    """Whole sets of the texts whose set's bit is on in a bitmap of fixed size."""
+def element_task(width: int, wanted, units=utf8):
+    """Whole sets of the units whose set's bit is on in a bitmap of fixed size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = wanted.value, Seen()
         for batch in slices(batches):
-            elements, offsets, sets = sets_of(batch.column("text"), width)
+            elements, offsets, sets = sets_of(batch.column("text"), width, units)
             slot = sets & (BITMAP_BITS - 1)
             hit = np.flatnonzero(((bits[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1)) == 1)
             hit = [i for i in hit.tolist() if offsets[i + 1] > offsets[i] and seen.new(int(sets[i]))]
@@ -305,7 +347,7 @@ def verify_task(ratio: tuple[int, int]):
     return run
 
 
-def _elements(spark: SparkSession, texts: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+def _elements(spark: SparkSession, texts: DataFrame, pairs: DataFrame, width: int, units=utf8) -> DataFrame:
     """Sets that occur in pairs.  The bitmap has a fixed size, whatever the input."""
     slot = f"(s & {BITMAP_BITS - 1})"
     words = pairs.select(F.explode(F.array("a", "b")).alias("s")).selectExpr(f"shiftright({slot}, 6) AS w", f"shiftleft(1L, CAST({slot} & 63 AS INT)) AS v")
@@ -313,7 +355,7 @@ def _elements(spark: SparkSession, texts: DataFrame, pairs: DataFrame, width: in
     bits = np.zeros(BITMAP_BITS // 64, np.uint64)
     bits[found.w.to_numpy(np.int64)] = found.v.to_numpy(np.int64).view(np.uint64)
     wanted = spark.sparkContext.broadcast(bits)
-    made = texts.mapInArrow(element_task(width, wanted), "set long, n long, elements binary")
+    made = texts.mapInArrow(element_task(width, wanted, units), "set long, n long, elements binary")
     return made.groupBy("set").agg(F.first("n").alias("n"), F.first("elements").alias("elements"))
 
 
@@ -325,19 +367,23 @@ def possible_task(ratio: tuple[int, int]):
             if not len(batch):
                 continue
             na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(len(batch), -1) for c in ("sa", "sb"))
             good = np.minimum(na, nb) * den >= np.maximum(na, nb) * num
-            good &= np.bitwise_count(a ^ b).sum(1) <= (na + nb) * (den - num) // (den + num)
+            fits = np.flatnonzero(good)
+            sa, sb = (batch.column(c).take(pa.array(fits)).to_pylist() for c in ("sa", "sb"))
+            for k, x, y in zip(fits.tolist(), sa, sb):
+                x, y = (np.frombuffer(v, np.uint64) for v in ((x, y) if len(x) >= len(y) else (y, x)))
+                x = x if len(x) == len(y) else x[: len(y)] ^ x[len(y) :]
+                good[k] = int(np.bitwise_count(x ^ y).sum()) <= (na[k] + nb[k]) * (den - num) // (den + num)
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
     return run
 
 
-def verified(spark: SparkSession, tables: Tables, name: str, texts: DataFrame, pairs: DataFrame, info: DataFrame, width: int, ratio: tuple[int, int]) -> DataFrame:
+def verified(spark: SparkSession, tables: Tables, name: str, texts: DataFrame, pairs: DataFrame, info: DataFrame, width: int, ratio: tuple[int, int], units=utf8) -> DataFrame:
     """The pairs (a, b) of sets that reach the threshold, as a written table."""
     sketched = pairs.join(info.toDF("a", "na", "sa"), "a").join(info.toDF("b", "nb", "sb"), "b")
     pairs = tables.write(sketched.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(possible_task(ratio), "a long, b long"), f"{name}-possible")
-    elements = tables.write(_elements(spark, texts, pairs, width), f"{name}-elements")
+    elements = tables.write(_elements(spark, texts, pairs, width, units), f"{name}-elements")
     fitting = pairs.toDF("x", "y")
     both = fitting.join(elements.select(F.col("set").alias("x"), F.col("elements").alias("ex")), "x").join(elements.select(F.col("set").alias("y"), F.col("elements").alias("ey")), "y").select("x", "y", "ex", "ey")
     out = tables.write(both.mapInArrow(verify_task(ratio), "x long, y long").toDF("a", "b"), f"{name}-links")
@@ -352,13 +398,12 @@ def rest_task(ratio: tuple[int, int]):
     def block(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("n", kind="stable")
         n, comp, s, side = g.n.to_numpy(), g.comp.to_numpy(), g.set.to_numpy(), g.side.to_numpy()
-        sketch = np.frombuffer(b"".join(g.sketch), np.uint64).reshape(-1, SKETCH_BITS // 64)
+        sketches = Sketches(g.sketch.tolist())
         a, b = [], []
         for i in range(len(g)):
             j = np.arange(i + 1, np.searchsorted(n, n[i] * den // num, "right"))
             j = j[(comp[j] != comp[i]) & ((side[j] != side[i]) | (side[j] == 2))]
-            apart = np.bitwise_count(sketch[j] ^ sketch[i]).sum(1)
-            j = j[apart <= (n[i] + n[j]) * (den - num) // (den + num)]
+            j = j[sketches.apart(i, j) <= (n[i] + n[j]) * (den - num) // (den + num)]
             a.append(np.full(len(j), s[i]))
             b.append(s[j])
         a, b = np.concatenate(a), np.concatenate(b)
