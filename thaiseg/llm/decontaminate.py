@@ -147,41 +147,52 @@ def least_distance(item: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.n
     return best, end
 
 
-_HITS = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("item", pa.int64()), ("distance", pa.int64()), ("end_word", pa.int64())])
+_HITS = pa.schema([("doc_id", pa.int64()), ("item", pa.int64()), ("distance", pa.int64()), ("end_word", pa.int64())])
+
+
+def found_in(items: Items, texts: pa.Array) -> dict[tuple[int, int], tuple[int, int]]:
+    """(text, item) -> (distance, end word) of the matches in a column of texts."""
+    w = words_of(texts)
+    owner = np.repeat(np.arange(len(texts)), w.counts)
+    windows = [np.zeros((0, 3), np.int64)]
+    for q, (keys, of, offset) in items.grams.items():
+        grams = runs(w.hashes, q)
+        at = np.searchsorted(keys, grams)
+        at[at == len(keys)] = 0
+        hit = np.flatnonzero((keys[at] == grams) & (owner[: len(grams)] == owner[q - 1 :])) if len(grams) else np.zeros(0, np.int64)
+        lo, hi = np.searchsorted(keys, grams[hit]), np.searchsorted(keys, grams[hit], "right")
+        many = np.repeat(hit, hi - lo)
+        place = np.repeat(lo - (np.cumsum(hi - lo) - (hi - lo)), hi - lo) + np.arange(len(many))
+        windows.append(np.stack([owner[many], many - offset[place], items.lengths[of[place]]], 1))
+    windows = np.unique(np.concatenate(windows), axis=0)
+    found: dict[tuple[int, int], tuple[int, int]] = {}
+    for k in range(0, len(windows), WINDOWS):
+        _search(items, w, windows[k : k + WINDOWS], found)
+    return found
 
 
 def search_task(handle):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: Items = handle.value
-        if not len(items.lengths):
-            return
-        number = 0
+        for batch in slices(batches, most=4 << 20) if len(items.lengths) else ():
+            rows = sorted(found_in(items, batch.column("text")).items())
+            if rows:
+                ids = batch.column("doc_id").take(pa.array([d for (d, _), _ in rows])).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([ids, pa.array([i for (_, i), _ in rows]), pa.array([v[0] for _, v in rows]), pa.array([v[1] for _, v in rows])], schema=_HITS)
+
+    return run
+
+
+def clean_task(handle):
+    """The rows in which nothing is found, with all their columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items: Items = handle.value
         for batch in slices(batches, most=4 << 20):
-            w = words_of(batch.column("text"))
-            owner = np.repeat(np.arange(len(batch)), w.counts)
-            windows = []
-            for q, (keys, of, offset) in items.grams.items():
-                grams = runs(w.hashes, q)
-                at = np.searchsorted(keys, grams)
-                at[at == len(keys)] = 0
-                hit = np.flatnonzero((keys[at] == grams) & (owner[: len(grams)] == owner[q - 1 :]) if len(grams) else [])
-                lo, hi = np.searchsorted(keys, grams[hit]), np.searchsorted(keys, grams[hit], "right")
-                many = np.repeat(hit, hi - lo)
-                place = np.repeat(lo - np.concatenate([[0], np.cumsum(hi - lo)[:-1]]) if len(hit) else lo, hi - lo) + np.arange(len(many))
-                start = many - offset[place]
-                windows.append(np.stack([owner[many], start, items.lengths[of[place]]], 1))
-            windows = np.unique(np.concatenate(windows), axis=0) if windows else np.zeros((0, 3), np.int64)
-            found: dict[tuple[int, int], tuple[int, int]] = {}
-            for k in range(0, len(windows), WINDOWS):
-                _search(items, w, windows[k : k + WINDOWS], found)
-            if found:
-                ids = batch.column("doc_id")
-                rows = sorted(found.items())
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array([d for (d, _), _ in rows])).cast(pa.int64()), pa.array([number + d for (d, _), _ in rows]), pa.array([i for (_, i), _ in rows]), pa.array([v[0] for _, v in rows]), pa.array([v[1] for _, v in rows])],
-                    schema=_HITS,
-                )
-            number += len(batch)
+            keep = np.ones(len(batch), bool)
+            if len(items.lengths):
+                keep[[d for d, _ in found_in(items, batch.column("text"))]] = False
+            yield batch.filter(pa.array(keep))
 
     return run
 
@@ -212,27 +223,31 @@ def _search(items: Items, w: Words, windows: np.ndarray, found: dict) -> None:
             found[d, item] = min(found.get((d, item), value), value)
 
 
+def blocks_of(spark: SparkSession, benchmark: DataFrame, search: Search):
+    """The items in blocks of bounded size, each broadcast."""
+    items = only(benchmark, "item_id", "text").where("text is not null")
+    n = -(-items.count() // ITEMS_MOST)
+    for k in range(max(1, n)):
+        block = items if n <= 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
+        rows = block.toPandas()  # about ITEMS_MOST rows
+        made = Items([None if x is None else int(x) for x in rows.item_id.astype(object).where(rows.item_id.notna(), None)], pa.array(rows.text.tolist(), pa.string()), search)
+        yield made, spark.sparkContext.broadcast(made)
+
+
 def contaminations(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, search: Search = Search()) -> DataFrame:
     """doc_id, item_id, distance, end_word: each (document, item) that matches, at
     its best place (end_word: words of the document up to the passage's end)."""
-    docs, items = only(docs, "doc_id", "text"), only(benchmark, "item_id", "text").where("text is not null")
-    n = items.count()
-    parts = []
-    for k in range(max(1, -(-n // ITEMS_MOST))):
-        block = items if n <= ITEMS_MOST else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(-(-n // ITEMS_MOST))) == k)
-        rows = block.toPandas()  # at most about ITEMS_MOST rows
-        made = Items(rows.item_id.tolist(), pa.array(rows.text.tolist(), pa.string()), search)
-        handle = spark.sparkContext.broadcast(made)
-        hits = docs.mapInArrow(search_task(handle), "doc_id long, row long, item long, distance long, end_word long")
-        names = spark.createDataFrame([(i, None if x is None else int(x)) for i, x in enumerate(made.ids)], "item long, item_id long")
-        parts.append(hits.join(F.broadcast(names), "item").select("doc_id", "item_id", "distance", "end_word"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
+    out = None
+    for items, handle in blocks_of(spark, benchmark, search):
+        hits = only(docs, "doc_id", "text").mapInArrow(search_task(handle), "doc_id long, item long, distance long, end_word long")
+        names = spark.createDataFrame(list(enumerate(items.ids)), "item long, item_id long")
+        part = hits.join(F.broadcast(names), "item").select("doc_id", "item_id", "distance", "end_word")
+        out = part if out is None else out.union(part)
     return out
 
 
 def without_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, search: Search = Search()) -> DataFrame:
-    """The rows of ``docs`` that no item contaminates."""
-    bad = contaminations(spark, docs, benchmark, search).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    """The rows of ``docs`` in which no item is found, in one pass for each block of items."""
+    for _, handle in blocks_of(spark, benchmark, search):
+        docs = docs.mapInArrow(clean_task(handle), docs.schema)
+    return docs
