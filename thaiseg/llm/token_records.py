@@ -229,8 +229,8 @@ def write_records(spark: SparkSession, docs: DataFrame, folder: str, tokenizer:
     bounds = docs.agg(F.percentile_approx("doc_id", [k / shards for k in range(1, shards)], 100 * shards)).first()[0] if shards > 1 and n else []
     bounds = sorted(set(bounds or []))
     # the number of bounds below the id, by a binary search over constants
-    shard = _below(F.col("doc_id"), bounds) if bounds else F.lit(0)
-    parts = docs.withColumn("shard", F.coalesce(shard, F.lit(0)).cast("long"))
+    shard = F.when(F.col("doc_id").isNull(), 0).otherwise(_below(F.col("doc_id"), bounds))
+    parts = docs.withColumn("shard", shard.cast("long"))
     parts = parts.repartitionById(len(bounds) + 1, F.col("shard").cast("int")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
     made = parts.mapInArrow(write_task(folder, tokenizer), "shard long, path string, records long, tokens long").collect()
     return spark.createDataFrame(made, "shard long, path string, records long, tokens long") if made else spark.createDataFrame([], "shard long, path string, records long, tokens long")
