@@ -59,7 +59,7 @@ TEXTS = {
 RULES = [
     (r"(^|\n)[ \t*#/;-]*(copyright|\(c\)|©)[^\n]*", r"\1"),
     (r"[\x00-/:-@\[-`{-\x7f]+", " "),
-    (r"\blicenc(e|ed|es|ing|ee|or)\b", r"licens\1"),
+    (r"\b(sub)?licenc(e|ed|es|ing|ee|or)\b", r"\1licens\2"),
     (r"\b(sub) (licens)", r"\1\2"),
     (r"\b(author|organ|recogn|util|initial|custom)is(e|ed|es|ing|ation)\b", r"\1iz\2"),
     (r"\b(fav|hon|lab|col)our", r"\1or"),
