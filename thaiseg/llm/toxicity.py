@@ -80,8 +80,11 @@ def word_rows(column: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _word_ids(texts: list[str], buckets: int) -> list[np.ndarray]:
-    rows, counts = word_rows(pa.array(texts, pa.string()), buckets)
-    return np.split(rows, np.cumsum(counts)[:-1])
+    out = []
+    for k in range(0, len(texts), 64):
+        rows, counts = word_rows(pa.array(texts[k : k + 64], pa.string()), buckets)
+        out += np.split(rows, np.cumsum(counts)[:-1])
+    return out
 
 
 def language_table(buckets: int) -> np.ndarray:
@@ -93,10 +96,10 @@ def language_table(buckets: int) -> np.ndarray:
 
 
 def _layout(rows: np.ndarray, counts: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows with two paddings after each text (three if it is empty); each
-    text's first place and number of places (1 at least)."""
+    """Rows with two paddings after each text (three if it is empty, and one more
+    at the end); each text's first place and number of places (1 at least)."""
     starts = np.concatenate([[0], np.cumsum(counts + 2 + (counts == 0))])
-    flat = np.full((starts[-1], rows.shape[1]), pad, np.int32)
+    flat = np.full((starts[-1] + 1, rows.shape[1]), pad, np.int32)
     flat[np.repeat(starts[:-1] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(len(rows))] = rows
     return flat, starts[:-1], np.maximum(counts, 1)
 
@@ -127,7 +130,7 @@ class Scorer:
             r = x[:n] @ parts[0]
             for j in range(1, len(parts)):
                 r += x[j : j + n] @ parts[j]
-            pooled = np.maximum.reduceat(r, np.minimum(edges, n - 1), axis=0)[::2]
+            pooled = np.maximum.reduceat(r, edges, axis=0)[::2]
             z += np.maximum(pooled + bias, 0) @ self.model.out[at : at + len(bias)]
             at += len(bias)
         owner = np.repeat(np.arange(len(counts)), counts)
