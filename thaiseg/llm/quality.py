@@ -48,7 +48,7 @@ _BUCKETS = 1 << 15
 
 @dataclass(frozen=True)
 class Fit:
-    train_rows: int = 40_000
+    train_rows: int = 20_000
     trees: int = 60
     depth: int = 3
     rows_of_tree: int = 4000
@@ -220,10 +220,10 @@ def lasso(a: np.ndarray, y: np.ndarray, how: Fit) -> tuple[np.ndarray, float]:
 
 
 def fit(x: np.ndarray, y: np.ndarray, how: Fit = Fit()) -> Rules:
-    if len(np.unique(y)) < 2:
+    rules = grow(x, y, how) if len(np.unique(y)) == 2 else []
+    if not rules:  # one kind of label, or too few rows to split
         share = min(max(float(y.mean()) if len(y) else 0.5, 1e-3), 1 - 1e-3)
         return Rules([], [], float(np.log(share / (1 - share))))
-    rules = grow(x, y, how)
     w, b = lasso(met(rules, x), y, how)
     kept = np.flatnonzero(np.abs(w) > 1e-6)
     return Rules([rules[j] for j in kept], [float(w[j]) for j in kept], b)
