@@ -21,8 +21,11 @@ Jaccard similarity reaches the threshold (3/4).  The join is exact:
    outnumber the shingles that differ).
 4. *Verification* of pairs on the whole sets, then connected components.
 5. *The rest of the large groups*: pairs whose members are still in different
-   components pass the same tests.  Blocks of a large group go to tasks of
-   their own.
+   components and that pass the same tests.  For some rounds each block of a
+   group only gives a spanning forest of these, from its best connected members
+   on, which joins what is similar without listing it pair by pair; pairs that
+   verification has refuted are left out of later rounds.  A last round takes
+   whatever is then still open.  Blocks of a large group are tasks of their own.
 
 Equal sets are one node throughout, so copies cost one row each.
 
@@ -55,6 +58,7 @@ SMALL_BAND, SMALL_GROUP, BLOCK = 64, 6, 2048
 FLUSH, BUCKET_POSTINGS = 1 << 20, 4 << 20
 SEEN_MOST = 1 << 18
 BITMAP_BITS = 1 << 23
+FOREST_ROUNDS = 4
 SKETCH_BITS = 1 << 10
 
 
@@ -386,54 +390,90 @@ def verified(spark: SparkSession, tables: Tables, name: str, texts: DataFrame, p
     elements = tables.write(_elements(spark, texts, pairs, width, units), f"{name}-elements")
     fitting = pairs.toDF("x", "y")
     both = fitting.join(elements.select(F.col("set").alias("x"), F.col("elements").alias("ex")), "x").join(elements.select(F.col("set").alias("y"), F.col("elements").alias("ey")), "y").select("x", "y", "ex", "ey")
-    out = tables.write(both.mapInArrow(verify_task(ratio), "x long, y long").toDF("a", "b"), f"{name}-links")
+    good = both.mapInArrow(verify_task(ratio), "x long, y long")
+    out = tables.write(good.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), f"{name}-links")
     tables.drop(f"{name}-elements")
     return out
 
 
-def rest_task(ratio: tuple[int, int]):
-    """Pairs that stay possible in a block of a large group; sorted by block."""
+def sorted_groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Whole groups of a partition that is sorted by ``keys``."""
+    kept = None
+    for frame in frames:
+        frame = frame if kept is None else pd.concat([kept, frame], ignore_index=True)
+        end = (frame[keys] == frame[keys].iloc[-1]).all(axis=1)
+        kept = frame[end]
+        for _, g in frame[~end].groupby(keys, sort=False):
+            yield g
+    if kept is not None and len(kept):
+        yield kept
+
+
+def rest_task(ratio: tuple[int, int], forest: bool):
+    """Open pairs of each block of a large group, or a spanning forest of them."""
     num, den = ratio
 
     def block(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("n", kind="stable")
         n, comp, s, side = g.n.to_numpy(), g.comp.to_numpy(), g.set.to_numpy(), g.side.to_numpy()
-        sketches = Sketches(g.sketch.tolist())
-        a, b = [], []
+        sketches, refuted = Sketches(g.sketch.tolist()), g.refuted.tolist()
+        near = []
         for i in range(len(g)):
             j = np.arange(i + 1, np.searchsorted(n, n[i] * den // num, "right"))
             j = j[(comp[j] != comp[i]) & ((side[j] != side[i]) | (side[j] == 2))]
             j = j[sketches.apart(i, j) <= (n[i] + n[j]) * (den - num) // (den + num)]
-            a.append(np.full(len(j), s[i]))
-            b.append(s[j])
-        a, b = np.concatenate(a), np.concatenate(b)
+            if len(j) and refuted[i] is not None and len(refuted[i]):
+                j = j[~np.isin(s[j], refuted[i])]
+            near.append(j)
+        if forest:
+            near = spanning_forest(near, comp)
+        a, b = np.repeat(s, [len(j) for j in near]), s[np.concatenate(near)]
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = None
-        for frame in frames:
-            frame = frame if kept is None else pd.concat([kept, frame], ignore_index=True)
-            last = frame.iloc[-1]
-            end = (frame.gid == last.gid) & (frame.p == last.p) & (frame.q == last.q)
-            kept = frame[end]
-            for _, g in frame[~end].groupby(["gid", "p", "q"], sort=False):
-                yield block(g)
-        if kept is not None and len(kept):
-            yield block(kept)
+        for g in sorted_groups(frames, ["gid", "p", "q"]):
+            yield block(g)
 
     return run
 
 
-def _rest(groups: DataFrame, info: DataFrame, comps: DataFrame, ratio: tuple[int, int]) -> DataFrame:
+def spanning_forest(near: list[np.ndarray], comp: np.ndarray) -> list[np.ndarray]:
+    """Edges of ``near`` that join components, hubs first."""
+    degree = np.array([len(j) for j in near])
+    both: list[list[int]] = [j.tolist() for j in near]
+    for i, j in enumerate(near):
+        for k in j.tolist():
+            both[k].append(i)
+            degree[k] += 1
+    root = {c: c for c in comp.tolist()}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    out: list[list[int]] = [[] for _ in near]
+    for i in np.argsort(-degree, kind="stable").tolist():
+        for k in both[i]:
+            x, y = find(int(comp[i])), find(int(comp[k]))
+            if x != y:
+                root[x] = y
+                out[i].append(k)
+    return [np.array(x, np.int64) for x in out]
+
+
+def _rest(groups: DataFrame, info: DataFrame, comps: DataFrame, refuted: DataFrame, ratio: tuple[int, int], forest: bool) -> DataFrame:
     """Pairs across components inside the large groups, block by block."""
     members = groups.select("gid", "size", F.explode("members").alias("set")).distinct()
     members = members.join(comps, "set", "left").withColumn("comp", F.coalesce("comp", "set"))
     mixed = members.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gid")
+    no = refuted.groupBy(F.col("a").alias("set")).agg(F.collect_list("b").alias("refuted"))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("set"), blocks).cast("int")
-    rows = members.join(mixed, "gid").join(info, "set").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("gid", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int")).alias("side"), "set", "n", "comp", "sketch")
-    return rows.repartition("gid", "p", "q").sortWithinPartitions("gid", "p", "q").mapInPandas(rest_task(ratio), "a long, b long").distinct()
+    rows = members.join(mixed, "gid").join(info, "set").join(no, "set", "left").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("gid", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int")).alias("side"), "set", "n", "comp", "sketch", "refuted")
+    return rows.repartition("gid", "p", "q").sortWithinPartitions("gid", "p", "q").mapInPandas(rest_task(ratio, forest), "a long, b long").distinct()
 
 
 def similar_documents(spark: SparkSession, docs: DataFrame, width: int = 5, ratio: tuple[int, int] = (3, 4)) -> DataFrame:
@@ -453,10 +493,17 @@ def similar_documents(spark: SparkSession, docs: DataFrame, width: int = 5, rati
     links = verified(spark, tables, "first", texts, pairs, info, width, ratio)
     groups = found.where("gid is not null")
     comps = components(spark, tables, "first", links)
-    rest = tables.write(_rest(groups, info, comps, ratio), "rest")
-    if rest.limit(1).count():
-        more = verified(spark, tables, "second", texts, rest, info, width, ratio)
-        comps = components(spark, tables, "second", links.union(more))
+    refuted = spark.createDataFrame([], "a long, b long")
+    for step in range(FOREST_ROUNDS + 1):
+        rest = tables.write(_rest(groups, info, comps, refuted, ratio, step < FOREST_ROUNDS), f"rest-{step}")
+        if not rest.limit(1).count():
+            break
+        more = verified(spark, tables, f"rest-{step}", texts, rest, info, width, ratio)
+        links = links.union(more)
+        comps = components(spark, tables, f"rest-{step}", links)
+        # in both directions, as a set's list serves whichever end it is
+        told = rest.join(more, ["a", "b"], "left_anti")
+        refuted = refuted.union(told).union(told.select("b", "a"))
     first = rows.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("first"))
     named = first.join(comps, "set", "left").withColumn("comp", F.coalesce("comp", "set"))
     lowest = named.groupBy("comp").agg(F.min("first").alias("component_id"))
