@@ -13,7 +13,8 @@ lines.  Whether the earlier line is itself removed makes no difference.
    if the tokens from the shared one on can still make up the needed overlap.
 4. *Parity sketches*, then verification on the whole sets.
 5. Groups of many sets first try one member each; then lines that still lack an
-   earlier match are tried against every earlier member, block by block.
+   earlier match try, for some rounds, the earlier member of each block with the
+   nearest sketch that hasn't been refuted, and at last every one that is left.
 
 Equal sets are one node throughout.
 
@@ -35,10 +36,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytekernel import finalise, slices, utf8
-from .ngram_join import BLOCK, BUCKET_POSTINGS, COMMON_MIN, COMMON_MOST, FLUSH, SMALL_GROUP, Recurring, Seen, Sketches, parity_sketch, sets_of, verified
+from .ngram_join import BLOCK, BUCKET_POSTINGS, COMMON_MIN, COMMON_MOST, FLUSH, SMALL_GROUP, Recurring, Seen, Sketches, parity_sketch, sets_of, sorted_groups, verified
 from .storage import Tables, only, partitions_for
 
 SKETCH = 256
+NEAREST_ROUNDS = 3
 _FIRST = -(1 << 63)
 
 
@@ -222,37 +224,36 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray,
         yield tuple(np.concatenate(x) for x in zip(*held))
 
 
-def rest_task(ratio: tuple[int, int]):
-    """Possible pairs of a line without an earlier match and an earlier one."""
+def rest_task(ratio: tuple[int, int], nearest: bool):
+    """Possible pairs of a line without an earlier match and an earlier one, or
+    each such line's nearest one."""
     num, den = ratio
 
     def block(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("n", kind="stable")
         n, s, side, open_ = g.n.to_numpy(), g.set.to_numpy(), g.side.to_numpy(), g.open.to_numpy()
-        doc, line = g.doc.to_numpy(), g.line.to_numpy()
+        doc, line, refuted = g.doc.to_numpy(), g.line.to_numpy(), g.refuted.tolist()
         sketches = Sketches(g.sketch.tolist())
         a, b = [s[:0]], [s[:0]]
         for i in np.flatnonzero(open_).tolist():
             j = np.arange(np.searchsorted(n, -(-n[i] * num // den)), np.searchsorted(n, n[i] * den // num, "right"))
             earlier = (doc[j] < doc[i]) | ((doc[j] == doc[i]) & (line[j] < line[i]))
             j = j[earlier & ((side[j] != side[i]) | (side[j] == 2))]
-            j = j[sketches.apart(i, j) <= (n[i] + n[j]) * (den - num) // (den + num)]
+            if len(j) and refuted[i] is not None and len(refuted[i]):
+                j = j[~np.isin(s[j], refuted[i])]
+            apart = sketches.apart(i, j)
+            fits = apart <= (n[i] + n[j]) * (den - num) // (den + num)
+            j, apart = j[fits], apart[fits]
+            if nearest and len(j):
+                j = j[[int(apart.argmin())]]
             a.append(np.full(len(j), s[i]))
             b.append(s[j])
         a, b = np.concatenate(a), np.concatenate(b)
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = None
-        for frame in frames:
-            frame = frame if kept is None else pd.concat([kept, frame], ignore_index=True)
-            last = frame.iloc[-1]
-            end = (frame.gid == last.gid) & (frame.p == last.p) & (frame.q == last.q)
-            kept = frame[end]
-            for _, g in frame[~end].groupby(["gid", "p", "q"], sort=False):
-                yield block(g)
-        if kept is not None and len(kept):
-            yield block(kept)
+        for g in sorted_groups(frames, ["gid", "p", "q"]):
+            yield block(g)
 
     return run
 
@@ -264,17 +265,18 @@ def _matched(links: DataFrame, info: DataFrame) -> DataFrame:
     return ends.where("at_a <> at_b").select(F.when(F.col("at_a") < F.col("at_b"), F.col("b")).otherwise(F.col("a")).alias("set")).distinct()
 
 
-def _rest(groups: DataFrame, info: DataFrame, matched: DataFrame, ratio: tuple[int, int]) -> DataFrame:
+def _rest(groups: DataFrame, info: DataFrame, matched: DataFrame, refuted: DataFrame, ratio: tuple[int, int], nearest: bool) -> DataFrame:
     members = groups.select("gid", "size", F.explode("members").alias("set")).distinct()
     members = members.join(matched.withColumn("matched", F.lit(True)), "set", "left").join(info, "set").withColumn("open", F.col("matched").isNull())
+    no = refuted.groupBy(F.col("a").alias("set")).agg(F.collect_list("b").alias("refuted"))
     # the group's earliest member can't have an earlier match in it
     live = members.groupBy("gid").agg(F.sum(F.col("open").cast("int")).alias("n_open")).where("n_open > 1").select("gid")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("set"), blocks).cast("int")
-    rows = members.join(live, "gid").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = members.join(live, "gid").join(no, "set", "left").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int"))
-    rows = rows.select("gid", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), side.alias("side"), "set", "n", "sketch", "doc", "line", "open")
-    return rows.repartition("gid", "p", "q").sortWithinPartitions("gid", "p", "q").mapInPandas(rest_task(ratio), "a long, b long").distinct()
+    rows = rows.select("gid", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), side.alias("side"), "set", "n", "sketch", "doc", "line", "open", "refuted")
+    return rows.repartition("gid", "p", "q").sortWithinPartitions("gid", "p", "q").mapInPandas(rest_task(ratio, nearest), "a long, b long").distinct()
 
 
 def removed_lines(spark: SparkSession, docs: DataFrame, width: int = 5, ratio: tuple[int, int] = (3, 4)) -> DataFrame:
@@ -298,9 +300,15 @@ def removed_lines(spark: SparkSession, docs: DataFrame, width: int = 5, ratio: t
     pairs = found.where("a is not null").select("a", "b").distinct()
     sketched = info.select("set", "n", "sketch")
     matched = tables.write(_matched(verified(spark, tables, "first", texts, pairs, sketched, width, ratio, lines), info), "matched")
-    rest = tables.write(_rest(found.where("gid is not null"), info, matched, ratio), "rest")
-    if rest.limit(1).count():
-        matched = matched.union(_matched(verified(spark, tables, "second", texts, rest, sketched, width, ratio, lines), info)).distinct()
+    refuted = spark.createDataFrame([], "a long, b long")
+    for step in range(NEAREST_ROUNDS + 1):
+        rest = tables.write(_rest(found.where("gid is not null"), info, matched, refuted, ratio, step < NEAREST_ROUNDS), f"rest-{step}")
+        if not rest.limit(1).count():
+            break
+        more = verified(spark, tables, f"rest-{step}", texts, rest, sketched, width, ratio, lines)
+        matched = tables.write(matched.union(_matched(more, info)).distinct(), f"matched-{step}")
+        told = rest.join(more, ["a", "b"], "left_anti")
+        refuted = refuted.union(told).union(told.select("b", "a"))
     fate = info.select("set", F.col("doc").alias("first_doc"), F.col("line").alias("first_line")).join(matched.withColumn("matched", F.lit(True)), "set", "left")
     is_first = (F.coalesce("doc_id", F.lit(_FIRST)) == F.col("first_doc")) & (F.col("line") == F.col("first_line"))
     gone = rows.select("doc_id", "th", "line", "set").join(fate, "set").where(~is_first | F.col("matched")).groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("line")).alias("removed"))
