@@ -57,7 +57,7 @@ QUERY_KEY = b"a key that only the query uses"
 
 
 def op10_pseudonyms(spark, sf_dir):
-    return pii.digests(pii.pseudonymized(documents(spark, sf_dir), QUERY_KEY))
+    return pii.counted(pii.pseudonymized(documents(spark, sf_dir), QUERY_KEY))
 
 
 QUERIES = {

@@ -237,7 +237,7 @@ def pseudonymized(docs: DataFrame, key: bytes, undo: bool = False) -> DataFrame:
     return only(docs, "doc_id", "text").mapInArrow(task(key, undo), "doc_id long, text string, " + ", ".join(f"{k} int" for k in KINDS))
 
 
-def digests(found: DataFrame) -> DataFrame:
-    """The texts of ``pseudonymized`` as digests, beside the counts."""
+def counted(found: DataFrame) -> DataFrame:
+    """``pseudonymized`` with the number of values of all kinds, n_values."""
     total = sum((F.col(k) for k in KINDS[1:]), F.col(KINDS[0]))
-    return found.select("doc_id", total.alias("n_values"), *KINDS, F.sha2("text", 256).alias("text_sha256"))
+    return found.withColumn("n_values", total)
