@@ -58,7 +58,9 @@ SMALL_BAND, SMALL_GROUP, BLOCK = 64, 6, 2048
 FLUSH, BUCKET_POSTINGS = 1 << 20, 4 << 20
 SEEN_MOST = 1 << 18
 BITMAP_BITS = 1 << 23
-FOREST_ROUNDS = 4
+FOREST_ROUNDS = 2
+#: Sketches compared at once.
+CELLS = 1 << 16
 SKETCH_BITS = 1 << 10
 
 
@@ -99,15 +101,35 @@ class Sketches:
             place[at] = np.arange(len(at))
             self.levels[size] = (np.stack([x if len(x) == size else x[:size] ^ x[size:] for x in flat]), place)
 
-    def apart(self, i: int, j: np.ndarray) -> np.ndarray:
-        """Distances of i to all j, whose sizes are within a factor of two."""
-        out = np.zeros(len(j), np.int64)
-        both = np.minimum(self.sizes[i], self.sizes[j])
-        for size in np.unique(both).tolist():
-            rows, place = self.levels[size]
-            own = both == size
-            out[own] = np.bitwise_count(rows[place[j[own]]] ^ rows[place[i]]).sum(1)
-        return out
+    def near(self, i: np.ndarray, lo: np.ndarray, hi: np.ndarray, n: np.ndarray, ratio: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs (i, j) with j in [lo, hi) whose sketches leave them possible, and
+        their distances.  n ascends, and sizes of sketches with it; those of a
+        pair are within a factor of two."""
+        num, den = ratio
+        out = []
+        at = 0
+        while at < len(i):
+            # a few rows at a time, against all columns that any of them needs
+            width = max(1, int(hi[at : at + 64].max() - lo[at : at + 64].min()))
+            own = slice(at, at + max(1, min(64, CELLS // width)))
+            rows, left, right = i[own], lo[own].min(), hi[own].max()
+            at = own.stop
+            for size in np.unique(self.sizes[rows]).tolist():
+                r = rows[self.sizes[rows] == size]
+                for other in np.unique(self.sizes[left:right]).tolist():
+                    level = min(size, other)
+                    if max(size, other) > 2 * level:
+                        continue
+                    c = left + np.flatnonzero(self.sizes[left:right] == other)
+                    table, place = self.levels[level]
+                    apart = np.bitwise_count(table[place[r]][:, None, :] ^ table[place[c]][None, :, :]).sum(2, dtype=np.int64)
+                    x, y = np.nonzero(apart <= (n[r][:, None] + n[c][None, :]) * (den - num) // (den + num))
+                    out.append((r[x], c[y], apart[x, y]))
+        a, b, d = (np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in range(3))
+        first, last = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+        first[i], last[i] = lo, hi
+        inside = (b >= first[a]) & (b < last[a])
+        return a[inside], b[inside], d[inside]
 
 
 class Seen:
@@ -416,19 +438,13 @@ def rest_task(ratio: tuple[int, int], forest: bool):
     def block(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("n", kind="stable")
         n, comp, s, side = g.n.to_numpy(), g.comp.to_numpy(), g.set.to_numpy(), g.side.to_numpy()
-        sketches, refuted = Sketches(g.sketch.tolist()), g.refuted.tolist()
-        near = []
-        for i in range(len(g)):
-            j = np.arange(i + 1, np.searchsorted(n, n[i] * den // num, "right"))
-            j = j[(comp[j] != comp[i]) & ((side[j] != side[i]) | (side[j] == 2))]
-            j = j[sketches.apart(i, j) <= (n[i] + n[j]) * (den - num) // (den + num)]
-            if len(j) and refuted[i] is not None and len(refuted[i]):
-                j = j[~np.isin(s[j], refuted[i])]
-            near.append(j)
+        i = np.arange(len(g))
+        a, b, _ = Sketches(g.sketch.tolist()).near(i, i + 1, np.searchsorted(n, n * den // num, "right"), n, ratio)
+        open_ = (comp[a] != comp[b]) & ((side[a] != side[b]) | (side[a] == 2)) & ~told_before(s, a, b, g.refuted.tolist())
+        a, b = a[open_], b[open_]
         if forest:
-            near = spanning_forest(near, comp)
-        a, b = np.repeat(s, [len(j) for j in near]), s[np.concatenate(near)]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+            a, b = spanning_forest(a, b, comp)
+        return pd.DataFrame({"gid": g.gid.iloc[0], "p": g.p.iloc[0], "q": g.q.iloc[0], "a": np.minimum(s[a], s[b]), "b": np.maximum(s[a], s[b])})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in sorted_groups(frames, ["gid", "p", "q"]):
@@ -437,14 +453,19 @@ def rest_task(ratio: tuple[int, int], forest: bool):
     return run
 
 
-def spanning_forest(near: list[np.ndarray], comp: np.ndarray) -> list[np.ndarray]:
-    """Edges of ``near`` that join components, hubs first."""
-    degree = np.array([len(j) for j in near])
-    both: list[list[int]] = [j.tolist() for j in near]
-    for i, j in enumerate(near):
-        for k in j.tolist():
-            both[k].append(i)
-            degree[k] += 1
+def told_before(s: np.ndarray, a: np.ndarray, b: np.ndarray, refuted: list) -> np.ndarray:
+    """Whether verification has refuted the pairs (a, b)."""
+    out = np.zeros(len(a), bool)
+    for i in np.unique(a).tolist():
+        if refuted[i] is not None and len(refuted[i]):
+            own = a == i
+            out[own] = np.isin(s[b[own]], refuted[i])
+    return out
+
+
+def spanning_forest(a: np.ndarray, b: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the edges (a, b) that join components, hubs first."""
+    degree = np.bincount(a, minlength=len(comp)) + np.bincount(b, minlength=len(comp))
     root = {c: c for c in comp.tolist()}
 
     def find(c: int) -> int:
@@ -453,18 +474,18 @@ def spanning_forest(near: list[np.ndarray], comp: np.ndarray) -> list[np.ndarray
             c = root[c]
         return c
 
-    out: list[list[int]] = [[] for _ in near]
-    for i in np.argsort(-degree, kind="stable").tolist():
-        for k in both[i]:
-            x, y = find(int(comp[i])), find(int(comp[k]))
-            if x != y:
-                root[x] = y
-                out[i].append(k)
-    return [np.array(x, np.int64) for x in out]
+    kept = []
+    for k in np.argsort(-np.maximum(degree[a], degree[b]), kind="stable").tolist():
+        x, y = find(int(comp[a[k]])), find(int(comp[b[k]]))
+        if x != y:
+            root[x] = y
+            kept.append(k)
+    return a[kept], b[kept]
 
 
-def _rest(groups: DataFrame, info: DataFrame, comps: DataFrame, refuted: DataFrame, ratio: tuple[int, int], forest: bool) -> DataFrame:
-    """Pairs across components inside the large groups, block by block."""
+def _rest(groups: DataFrame, info: DataFrame, comps: DataFrame, refuted: DataFrame, ratio: tuple[int, int], forest: bool, live: DataFrame | None) -> DataFrame:
+    """Pairs across components inside the large groups, with the block that gave
+    them.  ``live``: blocks of the round before; what gave nothing then won't."""
     members = groups.select("gid", "size", F.explode("members").alias("set")).distinct()
     members = members.join(comps, "set", "left").withColumn("comp", F.coalesce("comp", "set"))
     mixed = members.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gid")
@@ -473,7 +494,8 @@ def _rest(groups: DataFrame, info: DataFrame, comps: DataFrame, refuted: DataFra
     own = F.pmod(F.xxhash64("set"), blocks).cast("int")
     rows = members.join(mixed, "gid").join(info, "set").join(no, "set", "left").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.select("gid", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int")).alias("side"), "set", "n", "comp", "sketch", "refuted")
-    return rows.repartition("gid", "p", "q").sortWithinPartitions("gid", "p", "q").mapInPandas(rest_task(ratio, forest), "a long, b long").distinct()
+    rows = rows if live is None else rows.join(live, ["gid", "p", "q"], "left_semi")
+    return rows.repartition("gid", "p", "q").sortWithinPartitions("gid", "p", "q").mapInPandas(rest_task(ratio, forest), "gid long, p int, q int, a long, b long")
 
 
 def similar_documents(spark: SparkSession, docs: DataFrame, width: int = 5, ratio: tuple[int, int] = (3, 4)) -> DataFrame:
@@ -494,10 +516,12 @@ def similar_documents(spark: SparkSession, docs: DataFrame, width: int = 5, rati
     groups = found.where("gid is not null")
     comps = components(spark, tables, "first", links)
     refuted = spark.createDataFrame([], "a long, b long")
+    live = None
     for step in range(FOREST_ROUNDS + 1):
-        rest = tables.write(_rest(groups, info, comps, refuted, ratio, step < FOREST_ROUNDS), f"rest-{step}")
-        if not rest.limit(1).count():
+        found = tables.write(_rest(groups, info, comps, refuted, ratio, step < FOREST_ROUNDS, live), f"rest-{step}")
+        if not found.limit(1).count():
             break
+        live, rest = found.select("gid", "p", "q").distinct(), found.select("a", "b").distinct()
         more = verified(spark, tables, f"rest-{step}", texts, rest, info, width, ratio)
         links = links.union(more)
         comps = components(spark, tables, f"rest-{step}", links)
