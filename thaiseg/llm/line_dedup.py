@@ -36,11 +36,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytekernel import finalise, slices, utf8
-from .ngram_join import BLOCK, BUCKET_POSTINGS, COMMON_MIN, COMMON_MOST, FLUSH, SMALL_GROUP, Recurring, Seen, Sketches, parity_sketch, sets_of, sorted_groups, verified
+from .ngram_join import BLOCK, BUCKET_POSTINGS, COMMON_MIN, COMMON_MOST, FLUSH, SMALL_GROUP, Recurring, Seen, Sketches, parity_sketch, sets_of, sorted_groups, told_before, verified
 from .storage import Tables, only, partitions_for
 
 SKETCH = 256
-NEAREST_ROUNDS = 3
+NEAREST_ROUNDS = 2
 _FIRST = -(1 << 63)
 
 
@@ -231,25 +231,18 @@ def rest_task(ratio: tuple[int, int], nearest: bool):
 
     def block(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("n", kind="stable")
-        n, s, side, open_ = g.n.to_numpy(), g.set.to_numpy(), g.side.to_numpy(), g.open.to_numpy()
-        doc, line, refuted = g.doc.to_numpy(), g.line.to_numpy(), g.refuted.tolist()
-        sketches = Sketches(g.sketch.tolist())
-        a, b = [s[:0]], [s[:0]]
-        for i in np.flatnonzero(open_).tolist():
-            j = np.arange(np.searchsorted(n, -(-n[i] * num // den)), np.searchsorted(n, n[i] * den // num, "right"))
-            earlier = (doc[j] < doc[i]) | ((doc[j] == doc[i]) & (line[j] < line[i]))
-            j = j[earlier & ((side[j] != side[i]) | (side[j] == 2))]
-            if len(j) and refuted[i] is not None and len(refuted[i]):
-                j = j[~np.isin(s[j], refuted[i])]
-            apart = sketches.apart(i, j)
-            fits = apart <= (n[i] + n[j]) * (den - num) // (den + num)
-            j, apart = j[fits], apart[fits]
-            if nearest and len(j):
-                j = j[[int(apart.argmin())]]
-            a.append(np.full(len(j), s[i]))
-            b.append(s[j])
-        a, b = np.concatenate(a), np.concatenate(b)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        n, s, side = g.n.to_numpy(), g.set.to_numpy(), g.side.to_numpy()
+        doc, line = g.doc.to_numpy(), g.line.to_numpy()
+        i = np.flatnonzero(g.open.to_numpy())
+        a, b, apart = Sketches(g.sketch.tolist()).near(i, np.searchsorted(n, -(-n[i] * num // den)), np.searchsorted(n, n[i] * den // num, "right"), n, ratio)
+        earlier = (doc[b] < doc[a]) | ((doc[b] == doc[a]) & (line[b] < line[a]))
+        fits = earlier & ((side[b] != side[a]) | (side[b] == 2)) & ~told_before(s, a, b, g.refuted.tolist())
+        a, b, apart = a[fits], b[fits], apart[fits]
+        if nearest:
+            order = np.lexsort((apart, a))
+            first = order[np.flatnonzero(np.diff(a[order], prepend=-1))]
+            a, b = a[first], b[first]
+        return pd.DataFrame({"gid": g.gid.iloc[0], "p": g.p.iloc[0], "q": g.q.iloc[0], "a": np.minimum(s[a], s[b]), "b": np.maximum(s[a], s[b])})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in sorted_groups(frames, ["gid", "p", "q"]):
@@ -265,18 +258,19 @@ def _matched(links: DataFrame, info: DataFrame) -> DataFrame:
     return ends.where("at_a <> at_b").select(F.when(F.col("at_a") < F.col("at_b"), F.col("b")).otherwise(F.col("a")).alias("set")).distinct()
 
 
-def _rest(groups: DataFrame, info: DataFrame, matched: DataFrame, refuted: DataFrame, ratio: tuple[int, int], nearest: bool) -> DataFrame:
+def _rest(groups: DataFrame, info: DataFrame, matched: DataFrame, refuted: DataFrame, ratio: tuple[int, int], nearest: bool, live: DataFrame | None) -> DataFrame:
     members = groups.select("gid", "size", F.explode("members").alias("set")).distinct()
     members = members.join(matched.withColumn("matched", F.lit(True)), "set", "left").join(info, "set").withColumn("open", F.col("matched").isNull())
     no = refuted.groupBy(F.col("a").alias("set")).agg(F.collect_list("b").alias("refuted"))
     # the group's earliest member can't have an earlier match in it
-    live = members.groupBy("gid").agg(F.sum(F.col("open").cast("int")).alias("n_open")).where("n_open > 1").select("gid")
+    undecided = members.groupBy("gid").agg(F.sum(F.col("open").cast("int")).alias("n_open")).where("n_open > 1").select("gid")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("set"), blocks).cast("int")
-    rows = members.join(live, "gid").join(no, "set", "left").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = members.join(undecided, "gid").join(no, "set", "left").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int"))
     rows = rows.select("gid", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), side.alias("side"), "set", "n", "sketch", "doc", "line", "open", "refuted")
-    return rows.repartition("gid", "p", "q").sortWithinPartitions("gid", "p", "q").mapInPandas(rest_task(ratio, nearest), "a long, b long").distinct()
+    rows = rows if live is None else rows.join(live, ["gid", "p", "q"], "left_semi")
+    return rows.repartition("gid", "p", "q").sortWithinPartitions("gid", "p", "q").mapInPandas(rest_task(ratio, nearest), "gid long, p int, q int, a long, b long")
 
 
 def removed_lines(spark: SparkSession, docs: DataFrame, width: int = 5, ratio: tuple[int, int] = (3, 4)) -> DataFrame:
@@ -301,10 +295,12 @@ def removed_lines(spark: SparkSession, docs: DataFrame, width: int = 5, ratio: t
     sketched = info.select("set", "n", "sketch")
     matched = tables.write(_matched(verified(spark, tables, "first", texts, pairs, sketched, width, ratio, lines), info), "matched")
     refuted = spark.createDataFrame([], "a long, b long")
+    live = None  # blocks that gave pairs in the round before; the others won't
     for step in range(NEAREST_ROUNDS + 1):
-        rest = tables.write(_rest(found.where("gid is not null"), info, matched, refuted, ratio, step < NEAREST_ROUNDS), f"rest-{step}")
-        if not rest.limit(1).count():
+        open_ = tables.write(_rest(found.where("gid is not null"), info, matched, refuted, ratio, step < NEAREST_ROUNDS, live), f"rest-{step}")
+        if not open_.limit(1).count():
             break
+        live, rest = open_.select("gid", "p", "q").distinct(), open_.select("a", "b").distinct()
         more = verified(spark, tables, f"rest-{step}", texts, rest, sketched, width, ratio, lines)
         matched = tables.write(matched.union(_matched(more, info)).distinct(), f"matched-{step}")
         told = rest.join(more, ["a", "b"], "left_anti")
