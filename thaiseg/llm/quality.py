@@ -16,6 +16,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -229,11 +230,25 @@ def fit(x: np.ndarray, y: np.ndarray, how: Fit = Fit()) -> Rules:
     return Rules([rules[j] for j in kept], [float(w[j]) for j in kept], b)
 
 
+def fit_task(how: Fit):
+    """One task fits on the bounded sample and returns the pickled rules."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, y = [np.zeros((0, len(STATISTICS)))], [np.zeros(0)]
+        for batch in batches:
+            x.append(np.stack([batch.column(k).to_numpy() for k in STATISTICS], 1))
+            y.append(batch.column("quality").to_numpy().astype(float))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(np.concatenate(x), np.concatenate(y), how))], pa.binary())], names=["rules"])
+
+    return run
+
+
 def quality_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, folds: int = 4, out: int = 2, how: Fit = Fit()) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
     stats = Tables(spark, "quality").write(with_statistics(docs), "statistics")
     known = only(labels, "doc_id", "quality").where(F.col("quality").isNotNull() & (fold(F.col("doc_id"), folds) != out)).dropDuplicates(["doc_id"])
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(how.train_rows)
-    rows = stats.join(chosen, "doc_id").orderBy("doc_id").toPandas()  # at most train_rows, unless ids repeat
-    rules = fit(rows[list(STATISTICS)].to_numpy(float), rows.quality.to_numpy(float), how)
+    sample = stats.join(chosen, "doc_id").repartition(1).sortWithinPartitions("doc_id")
+    made = sample.mapInArrow(fit_task(how), "rules binary").first()  # no row if there is no text
+    rules = pickle.loads(made.rules) if made else fit(np.zeros((0, len(STATISTICS))), np.zeros(0), how)
     return stats.select("doc_id", (fold(F.col("doc_id"), folds) == out).alias("held_out"), rules.column().alias("score")).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))

@@ -22,6 +22,7 @@ scored; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -219,9 +220,11 @@ def train(texts: list[str], labels: np.ndarray, how: Training) -> Model | None:
     model = Model(E, W, B, out, out_bias)
     test = held if held.any() else ~held
     own = np.flatnonzero(test)
-    ids = [docs[i][:-2] for i in own]
-    scorer = Scorer(model)
-    z, language = scorer.logits(np.concatenate(ids), np.array([len(i) for i in ids]))
+    scorer, parts = Scorer(model), []
+    for k in range(0, len(own), how.batch):
+        ids = [docs[i][:-2] for i in own[k : k + how.batch]]
+        parts.append(scorer.logits(np.concatenate(ids), np.array([len(i) for i in ids])))
+    z, language = (np.concatenate(x) for x in zip(*parts))
     common = _threshold(z, labels[own])
     for k in range(5):
         mine_k = language == k
@@ -246,20 +249,27 @@ def fold(key: Column, folds: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit(""))), F.lit(folds))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, out: int, rows: int, chars: int) -> tuple[list[str], np.ndarray]:
-    """A bounded sample of labelled texts outside fold ``out``, in hash order."""
+def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, out: int, rows: int) -> DataFrame:
+    """doc_id, text and y of at most ``rows`` labelled texts outside fold ``out``, in hash order."""
     known = only(labels, "doc_id", label).where(F.col(label).isNotNull() & (fold(F.col("doc_id"), folds) != out))
     chosen = known.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    found = only(docs, "doc_id", "text").join(chosen, "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col(label).cast("int").alias("y"))
-    # long texts come last, so a character bound leaves out as few rows as it can
-    texts, y, used = [], [], 0
-    for r in found.orderBy(F.length("text"), "doc_id").toLocalIterator(prefetchPartitions=False):
-        used += len(r.text)
-        if used > chars:
-            break
-        texts.append(r.text)
-        y.append(r.y)
-    return texts, np.array(y, np.int64)
+    return only(docs, "doc_id", "text").join(chosen, "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col(label).cast("long").alias("y"))
+
+
+def train_task(how: Training):
+    """One task fits on the bounded sample and returns the pickled model."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, y, used = [], [], 0
+        for batch in batches:  # shortest first: the bound leaves out as few rows as it can
+            for text, label in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist()):
+                used += len(text)
+                if used <= how.train_chars:
+                    texts.append(text)
+                    y.append(label)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts, np.array(y, np.int64), how))], pa.binary())], names=["model"])
+
+    return run
 
 
 def score_task(handle):
@@ -274,7 +284,9 @@ def score_task(handle):
 
 
 def fitted(docs: DataFrame, labels: DataFrame, how: Training = Training(), folds: int = 5, out: int = 0) -> Model | None:
-    return train(*labelled(docs, labels, "toxic", folds, out, how.train_rows, how.train_chars), how)
+    sample = labelled(docs, labels, "toxic", folds, out, how.train_rows).repartition(1).sortWithinPartitions(F.length("text"), "doc_id")
+    made = sample.mapInArrow(train_task(how), "model binary").first()  # no row if there is no text
+    return pickle.loads(made.model) if made else None
 
 
 def toxicity_scores(spark: SparkSession, docs: DataFrame, model: Model | None) -> DataFrame:
