@@ -35,7 +35,7 @@ _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers["up"]) <= n:
-        size = max(1 << 16, 1 << int(n).bit_length())
+        size = max(1 << 16, n + n // 8 + 1)
         for key, base in (("up", _BASE), ("down", _INVERSE)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
@@ -147,7 +147,7 @@ def distinct_within(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray
     return np.concatenate(out) if out else np.zeros(0, np.uint64), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def slices(batches, column: str = "text", most: int = 2 << 20):
+def slices(batches, column: str = "text", most: int = 1 << 20):
     """Parts of record batches with about ``most`` bytes of text each (one text at least)."""
     for batch in batches:
         texts = batch.column(column)

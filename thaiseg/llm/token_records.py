@@ -46,7 +46,7 @@ from .bytekernel import EXACT, Words, slices, utf8
 from .storage import new_folder, only, partitions_for
 
 END_ID = 0
-MEMO_MOST = 1 << 21
+MEMO_MOST = 1 << 20
 ROWS_PER_SHARD = 20_000
 _MASK = 0xA282EAD8
 _SPACE = np.zeros(256, bool)
