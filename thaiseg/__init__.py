@@ -8,9 +8,15 @@ import zipfile
 
 _shipped: set[str] = set()
 
+#: Texts are large, so Arrow batches of them hold fewer rows than Spark's default.
+ROWS_PER_BATCH = 2000
+
 
 def ship(spark) -> None:
-    """Give executors this package, so that a driver needs no installed copy there."""
+    """Give executors this package, so that they need no installed copy, and bound
+    Arrow batches unless the session says otherwise."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_PER_BATCH)
     application = spark.sparkContext.applicationId
     if application in _shipped:
         return
