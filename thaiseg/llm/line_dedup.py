@@ -40,7 +40,7 @@ from .ngram_join import BLOCK, BUCKET_POSTINGS, COMMON_MIN, COMMON_MOST, FLUSH,
 from .storage import Tables, only, partitions_for
 
 SKETCH = 256
-NEAREST_ROUNDS = 2
+NEAREST_ROUNDS = 1
 _FIRST = -(1 << 63)
 
 
@@ -79,12 +79,13 @@ def profile_task(width: int):
             yield pa.RecordBatch.from_arrays([ids, th, pa.array(counts), none(k), none(k), none(k), none(k, pa.binary()), none(k), none(k)], schema=_PROFILE)
             elements, offsets, sets = sets_of(texts, width, lines)
             full = np.flatnonzero(np.diff(offsets))
+            small = parity_sketches(elements, offsets)
             sketches = []
             for i, key in zip(full.tolist(), sets[full].tolist()):
                 own = elements[offsets[i] : offsets[i + 1]]
                 if seen.new(key):
                     recurring.add(own)
-                    sketches.append(parity_sketch(own, SKETCH))
+                    sketches.append(small[i].tobytes() if len(own) <= SKETCH else parity_sketch(own, SKETCH))
                 else:
                     sketches.append(None)
             at = pa.array(owner[full])
@@ -98,19 +99,32 @@ def profile_task(width: int):
     return run
 
 
-def prefix(own: np.ndarray, common: np.ndarray, rank: np.ndarray, ratio: tuple[int, int]) -> np.ndarray:
-    """The first n - ceil(n j) + 1 tokens, rarest first."""
+def parity_sketches(elements: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sketches of SKETCH bits of all sets at once, a row of bytes each."""
+    n = len(offsets) - 1
+    slot = np.repeat(np.arange(n) * SKETCH, np.diff(offsets)) + (elements & np.uint64(SKETCH - 1)).astype(np.int64)
+    odd = (np.bincount(slot, minlength=n * SKETCH) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(n, SKETCH), axis=1)
+
+
+def prefix_size(n: int, ratio: tuple[int, int]) -> int:
+    """How many tokens, rarest first, a set of n posts."""
     num, den = ratio
-    needed = len(own) - -(-len(own) * num // den) + 1
-    if len(common):
-        at = np.searchsorted(common, own)
-        at[at == len(common)] = 0
-        is_common = common[at] == own
-        if is_common.any():
-            out = own[~is_common][:needed]
-            rest = own[is_common]
-            return np.concatenate([out, rest[np.argsort(rank[at[is_common]], kind="stable")][: needed - len(out)]])
-    return own[:needed]
+    return n - -(-n * num // den) + 1
+
+
+def common_places(values: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Places in the table of common tokens, -1 for the others."""
+    if not len(common):
+        return np.full(len(values), -1)
+    at = np.searchsorted(common, values)
+    at[at == len(common)] = 0
+    return np.where(common[at] == values, at, -1)
+
+
+def rarest_first(places: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    rare, rest = np.flatnonzero(places < 0), np.flatnonzero(places >= 0)
+    return np.concatenate([rare, rest[np.argsort(rank[places[rest]], kind="stable")]])
 
 
 _POSTINGS = pa.schema([("bucket", pa.int32()), ("signatures", pa.binary()), ("sets", pa.binary()), ("places", pa.binary())])
@@ -141,10 +155,13 @@ def posting_task(width: int, ratio: tuple[int, int], common, buckets: int):
         for batch in slices(batches):
             elements, offsets, sets = sets_of(batch.column("text"), width, lines)
             full = np.flatnonzero(np.diff(offsets))
+            places = common_places(elements, known)
+            shared = np.concatenate([[0], np.cumsum(places >= 0)])
             for i, key in zip(full.tolist(), sets[full].tolist()):
                 if seen.new(key):
-                    own = elements[offsets[i] : offsets[i + 1]]
-                    tokens.append(prefix(own, known, rank, ratio))
+                    a, b = offsets[i], offsets[i + 1]
+                    own, size = elements[a:b], prefix_size(b - a, ratio)
+                    tokens.append(own[rarest_first(places[a:b], rank)[:size]] if shared[b] > shared[a] else own[:size])
                     owners.append(key)
                     sizes.append(len(own))
                     held += len(tokens[-1])
