@@ -143,6 +143,20 @@ def test_line_dedup_equals_brute_force(spark, monkeypatch):
     assert cleaned == {d: "\n".join(line for k, line in enumerate(t.split("\n")) if k not in expected[d]) if expected[d] else t for d, t in enumerate(texts)}
 
 
+def test_line_dedup_of_chains_in_large_groups(spark, monkeypatch):
+    """Lines of 11 words, each like the one before only; B and C both follow A.
+    In some documents A, B and C share a token that the first line lacks, which
+    matched A, and C is the centre: B is then the only open line of the group."""
+    monkeypatch.setattr(line_dedup, "SMALL_GROUP", 2)
+    lines = lambda d: [[f"d{d}w{i + k}" for i in range(11)] for k in range(3)]
+    families = [(x, a, b, b[:-1] + [f"d{d}other"]) for d in range(1500) for x, a, b in [lines(d)]]
+    x, a, b, c = (shingle_set(" ".join(own)) for own in families[0])
+    assert similar(x, a) and similar(a, b) and similar(b, c) and not similar(x, b) and not similar(x, c)
+    df = spark.createDataFrame([(d, "\n".join(" ".join(own) for own in f)) for d, f in enumerate(families)], "doc_id long, text string")
+    got = {r.doc_id: list(r.removed) for r in line_dedup.removed_lines(spark, df).collect()}
+    assert {d: k for d, k in got.items() if k != [1, 2, 3]} == {} and len(got) == len(families)
+
+
 def test_fingerprints_and_neighbours(spark):
     rng = random.Random(3)
     base = [rng.getrandbits(128) for _ in range(60)]

@@ -279,8 +279,9 @@ def _rest(groups: DataFrame, info: DataFrame, matched: DataFrame, refuted: DataF
     members = groups.select("gid", "size", F.explode("members").alias("set")).distinct()
     members = members.join(matched.withColumn("matched", F.lit(True)), "set", "left").join(info, "set").withColumn("open", F.col("matched").isNull())
     no = refuted.groupBy(F.col("a").alias("set")).agg(F.collect_list("b").alias("refuted"))
-    # the group's earliest member can't have an earlier match in it
-    undecided = members.groupBy("gid").agg(F.sum(F.col("open").cast("int")).alias("n_open")).where("n_open > 1").select("gid")
+    # a line can only match in the group if some member, open or not, is earlier
+    place = F.struct("doc", "line")
+    undecided = members.groupBy("gid").agg(F.min(place).alias("first"), F.max(F.when(F.col("open"), place)).alias("last_open")).where("last_open > first").select("gid")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("set"), blocks).cast("int")
     rows = members.join(undecided, "gid").join(no, "set", "left").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
