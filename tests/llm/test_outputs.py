@@ -141,6 +141,31 @@ def test_pseudonyms_in_texts(spark):
     assert undone == dict(rows)
 
 
+def test_pseudonyms_of_joined_numbers():
+    p, back = pii.Pseudonyms(b"key"), pii.Pseudonyms(b"key", undo=True)
+    sub = lambda names, text: pii.PATTERN.sub(lambda m: names.replaced(m)[0], text)
+    one, card, printed = sub(p, "2353820953013749"), sub(p, "4111111111111111"), sub(p, "4111 1111 1111 1111")
+    other = sub(p, "4550997810720808")
+    assert sub(p, "2353820953013749 4550997810720808") == f"{one} {other}" and one != "2353820953013749"
+    assert sub(p, "card-4111111111111111") == f"card-{card}" and printed.replace(" ", "") == card
+    day = sub(p, "2024-05-01")
+    assert sub(p, "4111 1111 1111 1111 2024-05-01") == f"{printed} {day}" and sub(p, "2024-05-01 4111 1111 1111 1111") == f"{day} {printed}"
+    assert sub(p, "4111111111111111 12/26") == f"{card} 12/26" and sub(p, "4111 1111 1111 1111 12/26") == f"{printed} 12/26"
+    assert sub(p, "7 4111111111111111-123") == f"7 {card}-123"
+    assert sub(p, "4111 1111 1111 1111 10.0.0.1").startswith(f"{printed} ") and "10.0.0.1" not in sub(p, "4111 1111 1111 1111 10.0.0.1")
+    assert "99name" not in sub(p, "4111 1111 1111 1111 99name@example.com")
+    amex = sub(p, "378282246310005")
+    assert sub(p, "12 3782-822463-10005 9").replace("-", "") == f"12 {amex} 9"
+    assert sub(p, "411111 1111 111111 2 3 4 5 6")[:18] != "411111 1111 111111" and sub(p, "411111 1111 111111 2 3 4 5 6").endswith(" 2 3 4 5 6")
+    rng = random.Random(7)
+    for _ in range(300):
+        text = "".join(f"{rng.randrange(10 ** n):0{n}d}{rng.choice(' -')}" for n in rng.choices([1, 2, 3, 4, 4, 4, 5, 6, 12, 13, 16, 19, 20], k=rng.randint(1, 14)))
+        new = sub(p, text)
+        assert sub(back, new) == text and re.sub(r"\d", "9", new) == re.sub(r"\d", "9", text), text
+        for long in re.findall(r"(?<!\d)\d{13,19}(?!\d)", text):
+            assert long not in new
+
+
 def test_feistel_is_a_permutation():
     f = pii.Feistel(b"z")
     for n in (1, 2, 10, 97, 1000):

@@ -17,6 +17,12 @@ date    yyyy-mm-dd, dd/mm/yyyy, dd.mm.yyyy, real    the day number within 1900 t
 email   name@host.tld                               letters and digits of the name
 secret  32-64 hexadecimal digits                    hexadecimal digits
 
+Digits joined by single spaces or hyphens may be several numbers, or a number and
+something else (``number_spans`` tells them apart).  Equal numbers get equal
+pseudonyms, except in a run where the new digits would be told apart otherwise.
+Of more than 19 joined digits in other groupings than cards are printed in, only
+what passes the Luhn check is taken, in six groups at most.
+
 Defined results: null texts stay null, empty ones empty; texts without values are
 unchanged; rows are independent of each other, so repeated rows repeat; an empty
 table gives an empty result; other columns are ignored.
@@ -39,17 +45,30 @@ ROUNDS = 8
 KINDS = ("card", "number", "iban", "ssn", "phone", "ip", "date", "email", "secret")
 _FIRST_DAY, _DAYS = datetime.date(1900, 1, 1).toordinal(), 73_049
 
+_EMAIL = r"(?<![\w.+-])[\w.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+_SECRET = r"(?<![0-9A-Za-z])(?=[0-9]*[a-fA-F])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])"
+_DATE = r"(?<![\d.])(?:(?:19|20)\d\d-\d\d-\d\d|\d\d/\d\d/(?:19|20)\d\d|\d\d\.\d\d\.(?:19|20)\d\d)(?![\d.]*\d)"
+_SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
+_IP = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)"
+_EXPIRY = r"\d\d/\d\d(?!\d)"
+# groups of digits joined by single spaces or hyphens, up to one that begins something else
+_GROUP = rf"(?!{_EMAIL}|{_SECRET}|{_DATE}|{_SSN}|{_IP}|{_EXPIRY})\d{{1,19}}(?!\d)"
 PATTERN = re.compile(
-    r"(?P<email>(?<![\w.+-])[\w.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
-    r"|(?P<secret>(?<![0-9A-Za-z])(?=[0-9]*[a-fA-F])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z]))"
+    rf"(?P<email>{_EMAIL})"
+    rf"|(?P<secret>{_SECRET})"
     r"|(?P<iban>(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z]))"
-    r"|(?P<date>(?<![\d.])(?:(?:19|20)\d\d-\d\d-\d\d|\d\d/\d\d/(?:19|20)\d\d|\d\d\.\d\d\.(?:19|20)\d\d)(?![\d.]*\d))"
+    rf"|(?P<date>{_DATE})"
     r"|(?P<phone>(?<![\d+])\+\d{1,3}[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}-\d{4}(?!\d))"
-    r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
-    r"|(?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d))"
-    r"|(?P<digits>(?<![\d-])\d(?:[ -]?\d){12,18}(?![ -]?\d))",
+    rf"|(?P<ssn>{_SSN})"
+    rf"|(?P<ip>{_IP})"
+    rf"|(?P<digits>(?<!\d)(?=\d(?:[ -]?\d){{12}}){_GROUP}(?:[ -]{_GROUP})*)",
     re.ASCII,
 )
+#: How cards are printed, by digits of the groups; longer ones first.
+CARD_GROUPS = ((4, 4, 4, 4, 3), (4, 4, 4, 4), (4, 6, 5), (4, 6, 4))
+#: Of other groupings, so many groups may be a card within more digits, and so
+#: many digits are looked at together.
+GROUPS_MOST, DIGITS_MOST = 6, 57
 
 
 class Feistel:
@@ -95,6 +114,63 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def number_spans(run: str) -> list[tuple[int, int]]:
+    """Where the numbers of 13 to 19 digits are in a run of joined groups: groups
+    of so many digits, then printed card groupings (of two that overlap, one that
+    passes the Luhn check, then the longer), then in what is left the longest
+    spans that pass the check, or all of it if it has 13 to 19 digits."""
+    groups = [m.span() for m in re.finditer(r"\d+", run)]
+    sizes = [b - a for a, b in groups]
+    plain = [run[a:b] for a, b in groups]
+    taken = [13 <= n <= 19 for n in sizes]
+    spans = [g for g, t in zip(groups, taken) if t]
+
+    def take(found: list[tuple[int, int]]) -> None:
+        for i, j in found:
+            if not any(taken[i:j]):
+                taken[i:j] = [True] * (j - i)
+                spans.append((groups[i][0], groups[j - 1][1]))
+
+    printed = []
+    for i in range(len(groups)):
+        for shape in CARD_GROUPS:
+            j = i + len(shape)
+            if tuple(sizes[i:j]) == shape:
+                valid = luhn("".join(plain[i:j]))
+                if valid or shape in ((4, 4, 4, 4), (4, 6, 5)):
+                    printed.append((not valid, -sum(shape), i, j))
+    take([x[2:] for x in sorted(printed)])
+    for piece in _pieces(sizes, taken):
+        i, j = piece[0], piece[-1] + 1
+        found = []
+        for a in range(i, j):
+            n = 0
+            for b in range(a, j):
+                n += sizes[b]
+                if n > 19:
+                    break
+                if n >= 13 and (b - a < GROUPS_MOST or (a, b + 1) == (i, j)) and luhn("".join(plain[a : b + 1])):
+                    found.append((-n, a, b + 1))
+        if not found and 13 <= sum(sizes[i:j]) <= 19:
+            found = [(0, i, j)]
+        take([x[1:] for x in sorted(found)])
+    return sorted(spans)
+
+
+def _pieces(sizes: list[int], taken: list[bool]) -> list[list[int]]:
+    """Neighbouring groups that aren't taken, of DIGITS_MOST digits at most together."""
+    out: list[list[int]] = [[]]
+    held = 0
+    for i, n in enumerate(sizes):
+        if taken[i] or held + n > DIGITS_MOST:
+            out.append([])
+            held = 0
+        if not taken[i]:
+            out[-1].append(i)
+            held += n
+    return [x for x in out if x]
+
+
 def mod97(iban: str) -> int:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
 
@@ -121,11 +197,27 @@ class Pseudonyms:
 
     def replace(self, match: re.Match) -> tuple[str, str | None]:
         """The value's pseudonym and kind; (the value, None) if it isn't valid."""
+        made, kinds = self.replaced(match)
+        return made, kinds[0] if kinds else None
+
+    def replaced(self, match: re.Match) -> tuple[str, tuple[str, ...]]:
+        """The same with the kinds of all values; a run of digits may hold several."""
         kind, value = match.lastgroup, match.group()
-        made = getattr(self, f"_{kind}")(value)
         if kind == "digits":
-            kind = "card" if luhn(re.sub(r"\D", "", value)) else "number"
-        return (made, kind) if made is not None else (value, None)
+            return self._run(value)
+        made = getattr(self, f"_{kind}")(value)
+        return (made, (kind,)) if made is not None else (value, ())
+
+    def _run(self, value: str) -> tuple[str, tuple[str, ...]]:
+        spans, made = number_spans(value), value
+        kinds = tuple("card" if luhn(re.sub(r"\D", "", value[a:b])) else "number" for a, b in spans)
+        while spans:
+            for a, b in spans:
+                made = made[:a] + self._digits(made[a:b]) + made[b:]
+            # walked until the numbers are found at the same places again, so it can be undone
+            if number_spans(made) == spans:
+                break
+        return made, kinds
 
     def _digits(self, value: str) -> str:
         d = re.sub(r"\D", "", value)
@@ -206,7 +298,7 @@ def task(key: bytes, undo: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = Pseudonyms(key, undo)
         may = re.compile(r"[0-9@]")
-        memo: dict[str, tuple[str, str | None]] = {}
+        memo: dict[str, tuple[str, tuple[str, ...]]] = {}
         for batch in batches:
             texts, counts = [], []
             for text in batch.column("text").to_pylist():
@@ -217,9 +309,9 @@ def task(key: bytes, undo: bool = False):
                         if m.group() not in memo:
                             if len(memo) > 50_000:
                                 memo.clear()
-                            memo[m.group()] = names.replace(m)
-                        new, kind = memo[m.group()]
-                        if kind:
+                            memo[m.group()] = names.replaced(m)
+                        new, kinds = memo[m.group()]
+                        for kind in kinds:
                             found[kind] += 1
                         return new
 
