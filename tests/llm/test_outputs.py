@@ -1,7 +1,9 @@
 """Records, mixing, pseudonyms, licences and the two classifiers."""
 
+import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -182,6 +184,23 @@ def test_licences(spark):
     assert [r.n for r in df.select(licences.normalised(F.col("t")).alias("n")).collect()] == [licences.normal_form(r[1] or "") for r in rows]
 
 
+def test_whole_licences_at_published_wraps(spark):
+    own = {name: [(licences.Path(licences.__file__).parent / "licence_texts" / f"{name}.txt").read_text()] for name in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "MPL-2.0")}
+    cases = [(name, f"Copyright (c) 2001 Someone\n\n{t}") for name, texts in (own | licences.TEXTS).items() for t in texts]
+    cases.append(("Apache-2.0", own["Apache-2.0"][0].replace("[yyyy] [name of copyright owner]", "2020 Someone")))
+    for name, t in [("Apache-2.0", own["Apache-2.0"][0]), *((name, t) for name, texts in licences.TEXTS.items() for t in texts)]:
+        for width in (*range(50, 90), 105):
+            cases.append((name, "\n\n".join(textwrap.fill(p, width, break_on_hyphens=False, break_long_words=False) for p in t.split("\n\n"))))
+    wrapped = [t for _, t in cases]
+    assert any(re.search("^copyright notice", t, re.M) for t in wrapped) and any(re.search(r"^\s*\(c\) ", t, re.M) for t in wrapped)
+    digests = dict(licences.known())
+    assert [(name, t) for name, t in cases if digests.get(hashlib.sha256(licences.normal_form(t).encode()).hexdigest()) != name] == []
+    rows = [(i, t) for i, (_, t) in enumerate(cases)][:40] + [(1000, "My own\nlicence"), (1001, "copyright notice of mine"), (1002, "")]
+    more = {"Mine": ["my OWN licence."], "Notice": ["Copyright notice of mine"], "None": ["(c) 2020 Someone"]}
+    out = {r.doc_id: r.license for r in licences.scanned(spark, spark.createDataFrame(rows, "doc_id long, text string"), more).collect()}
+    assert out == {i: name for i, (name, _) in enumerate(cases[:40])} | {1000: "Mine", 1001: "Notice", 1002: None}
+
+
 def test_toxicity_learns_words_and_stems():
     rng = random.Random(1)
     plain = [f"w{i}ab" for i in range(400)] + "the of and in der die das le les el los".split()

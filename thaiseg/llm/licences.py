@@ -1,11 +1,12 @@
 """License scans: canonical digest lookup.
 
-A text is normalised (A-Z folded, copyright lines dropped, runs of ASCII
+A text is normalised (A-Z folded, lines of copyright statements dropped, runs of ASCII
 punctuation and white space to one space, equivalent spellings to one) and the
 SHA-256 of the whole result is joined with the digests of known licence texts
 and notices, normalised alike.  Every text is looked up whole, and so is each of
-its lines, which finds notices inside documents.  The known texts are a fixed
-table, so it is broadcast.
+its lines, which finds notices inside documents.  The known texts are TEXTS, the
+files of licence_texts (with and without what follows the terms), NOTICES and
+those that the caller passes: a bounded table, so it is broadcast.
 
 Defined results: null texts count as empty; a text whose normal form is empty
 matches nothing; repeated rows are each reported; an empty table gives an empty
@@ -16,6 +17,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterable, Iterator, Mapping
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,7 +52,22 @@ _ISC_DENIAL = (
     "ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT "
     "OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
 )
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n"
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n"
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n\n"
+)
+_BSD_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n"
+_BSD_DENIAL = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A '
+    "PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED "
+    "TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING "
+    "NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_BSD_HEADS = ("", "All rights reserved.\n\n", "BSD 3-Clause License\n\n", "BSD 3-Clause License\n\nAll rights reserved.\n\n")
 TEXTS = {
+    "BSD-3-Clause": [head + _BSD + _BSD_THIRD + _BSD_DENIAL for head in _BSD_HEADS],
+    "BSD-2-Clause": [head.replace("3", "2") + _BSD + _BSD_DENIAL for head in _BSD_HEADS],
     "MIT": ["MIT License\n\n" + _MIT_GRANT, "The MIT License\n\n" + _MIT_GRANT, _MIT_GRANT],
     "ISC": ["ISC License\n\n" + _ISC_GRANT + _ISC_DENIAL, _ISC_GRANT + _ISC_DENIAL],
     "0BSD": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n\n" + _ISC_DENIAL],
@@ -57,7 +75,8 @@ TEXTS = {
 
 #: Java and DuckDB read these patterns alike: (pattern, replacement with \1).
 RULES = [
-    (r"(^|\n)[ \t*#/;-]*(copyright|\(c\)|©)[^\n]*", r"\1"),
+    # a statement has a sign, a year or "by"; other lines may begin with "copyright" or an item (c)
+    (r"(^|\n)[ \t*#/;-]*(copyright[ \t:]*(\(c\)|©|&copy;|by\b|[\[{<(]?([0-9]{4}|yyyy|year)\b)|\(c\)[ \t]*(copyright|by\b|[0-9]{4}\b)|©)[^\n]*", r"\1"),
     (r"[\x00-/:-@\[-`{-\x7f]+", " "),
     (r"\b(sub)?licenc(e|ed|es|ing|ee|or)\b", r"\1licens\2"),
     (r"\b(sub) (licens)", r"\1\2"),
@@ -85,16 +104,28 @@ def normalised(text: Column) -> Column:
     return out
 
 
-def known() -> list[tuple[str, str]]:
-    """(digest, licence) of all known texts."""
-    rows = {hashlib.sha256(normal_form(t).encode()).hexdigest(): name for table in (TEXTS, NOTICES) for name, texts in table.items() for t in texts}
-    return sorted(rows.items())
+def _published() -> Iterator[tuple[str, str]]:
+    """(licence, text) of the files, which only the driver reads."""
+    for path in sorted((Path(__file__).parent / "licence_texts").glob("*.txt")):
+        name, text = path.name.removesuffix(".txt").removesuffix(".spdx"), path.read_text()
+        terms = text.partition("END OF TERMS AND CONDITIONS")
+        for whole in (text, terms[0], terms[0] + terms[1]):
+            for web in (whole, whole.replace("https://", "http://"), whole.replace("http://", "https://")):
+                yield name, web
+
+
+def known(texts: Mapping[str, Iterable[str]] | None = None) -> list[tuple[str, str]]:
+    """(digest, licence) of all known texts, and of the caller's ``texts`` by licence."""
+    pairs = [*_published(), *((name, t) for table in (TEXTS, NOTICES, texts or {}) for name, own in table.items() for t in own)]
+    forms = [(normal_form(t), name) for name, t in pairs]
+    return sorted({hashlib.sha256(form.encode()).hexdigest(): name for form, name in forms if form}.items())
 
 
-def scanned(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def scanned(spark: SparkSession, docs: DataFrame, texts: Mapping[str, Iterable[str]] | None = None) -> DataFrame:
     """doc_id, digest and licence of the whole text, and of its lines the
-    number and the (sorted, distinct) licences of those that are notices."""
-    table = known()
+    number and the (sorted, distinct) licences of those that are notices.
+    ``texts``: more known texts or notices, by licence."""
+    table = known(texts)
     which = F.create_map(*[F.lit(x) for row in table for x in row])  # a hash table of constants
     docs = only(docs, "doc_id", "text")
     digest = F.sha2(normalised(F.col("text")), 256)
