@@ -6,8 +6,9 @@ return the columns of documents.  Part of the subpackage llm.
 
 toxicity         documents with a toxicity score of 0.5 or more go; the
                  classifier learns from the labelled rows of ``labels``
-near_duplicates  of each group of similar texts the one with the smallest
-                 doc_id stays; rows without doc_id can't be named and stay
+near_duplicates  of each group of similar texts one row stays: one with the
+                 smallest doc_id (rows without any come last); texts without
+                 words are in no group and all stay
 decontamination  documents with a passage of ``benchmark`` go
 source_mix       the words that the mix takes: a row for each pass over a
                  source and text, so a doc_id comes twice at most
@@ -33,9 +34,21 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = storage.only(docs, *COLUMNS)
-    groups = ngram_join.similar_documents(spark, docs)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    # texts are grouped under their hashes, so ids may repeat, clash or be missing
+    groups = ngram_join.similar_documents(spark, docs.select(F.xxhash64("text").alias("doc_id"), "text"))
+    groups = groups.where("n_shingles > 0").select(F.col("doc_id").alias("th"), "component_id").distinct()
+    key = F.xxhash64(*[x for c in COLUMNS for x in (F.col(c), F.col(c).isNull())])
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), key.alias("key")).groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("th").alias("th"), F.count("*").alias("n"))
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "n")
+    rows = rows.join(groups, "th")
+    stays = rows.groupBy("component_id").agg(F.min(place).alias("x")).select("x.key", "x.n")
+    tables = storage.Tables(spark, "near-duplicates")
+    # keys that go, and those of which one of several equal rows stays
+    fate = tables.write(rows.select("key").join(stays, "key", "left").where("n is null or n > 1").select("key", F.col("n").isNotNull().alias("one")), "fate")
+    keyed = docs.withColumn("key", key)
+    kept = keyed.join(fate, "key", "left_anti")
+    once = keyed.join(fate.where("one"), "key", "left_semi").dropDuplicates(["key"])
+    return kept.union(once).select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -129,3 +129,22 @@ def test_pipeline_runs(spark, tmp_path):
     benchmark(spark).write.parquet(str(tmp_path / "benchmark.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in out} <= {4, 7, 9} and out
+
+
+def test_near_duplicates_with_repeated_clashing_and_missing_ids(spark):
+    import corpus_pipeline
+
+    words = lambda k: " ".join(f"t{k}w{i}" for i in range(60))
+    texts = [words(0), words(0) + " more", words(1), words(2), words(3), " "]
+    rows = [(1, texts[0], "en", "a", 0)] * 3  # equal rows
+    rows += [(2, texts[1], "en", "a", 0), (2, texts[2], "en", "a", 0)]  # one id: a near copy of 1, and a text of its own
+    rows += [(None, texts[3], "en", "a", 0), (None, texts[3], "en", None, 0), (None, texts[3] + " more", "en", "a", 0)]
+    rows += [(None, texts[4], "en", "a", 0), (9, texts[4], None, "b", 0), (9, texts[4], None, "c", 0)]
+    rows += [(None, texts[5], "en", "a", 0)] * 2 + [(5, None, "en", "a", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    out = [tuple(r) for r in corpus_pipeline.near_duplicate_stage(spark, df, "").select("doc_id", "text").collect()]
+    expected = [(1, texts[0]), (2, texts[2]), (9, texts[4]), (None, texts[5]), (None, texts[5]), (5, None)]
+    rest = list(out)
+    for row in expected:
+        rest.remove(row)
+    assert len(rest) == 1 and rest[0][0] is None and rest[0][1].startswith(texts[3])
