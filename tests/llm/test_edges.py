@@ -81,6 +81,20 @@ def test_op2_edges(spark):
     assert out[8][0].removed == "0" and out[7][0].removed == ""
 
 
+def test_op2_without_ids(spark):
+    """Equal and similar lines at one line number of different texts without id."""
+    words = [f"w{i}" for i in range(60)]
+    line, near = " ".join(words), " ".join(words + ["more"])
+    df = spark.createDataFrame([(None, f"{line}\nfirst text"), (None, f"{line}\nsecond text"), (None, near), (None, near), (3, line)], "doc_id long, text string")
+    out = [(r.doc_id, r.n_lines, r.removed) for r in line_dedup.digests(spark, df).collect()]
+    # of three different texts one keeps the line; the equal rows go or stay together
+    kept = {(n, removed) for doc, n, removed in out if doc is None}
+    ones = [r for r in out if r[:2] == (None, 1)]
+    twos = sorted(r[2] for r in out if r[:2] == (None, 2))
+    assert (3, 1, "0") in out and len(ones) == 2 and len(set(ones)) == 1
+    assert (ones[0][2], twos) in [("", ["0", "0"]), ("0", ["", "0"])], kept
+
+
 def test_op5_edges(spark):
     out = source_mix.taken_words(spark, docs(spark)).collect()
     assert all(0 <= r.taken <= 2 * r["size"] for r in out)

@@ -20,7 +20,8 @@ Equal sets are one node throughout.
 
 Defined results: null texts have no lines, an empty text has one; lines without
 words stay; lines at equal places of rows with one doc_id don't remove each
-other; a null doc_id comes first; repeated rows are each returned; an empty
+other; rows with a null doc_id come first, by the hash of their text, each text
+being a document of its own; repeated rows are each returned; an empty
 table gives an empty result; other columns are ignored.
 """
 
@@ -42,6 +43,8 @@ from .storage import Tables, only, partitions_for
 SKETCH = 256
 NEAREST_ROUNDS = 1
 _FIRST = -(1 << 63)
+#: What orders lines: document, text hash of documents without id, line number.
+PLACE = ("doc", "tie", "line")
 
 
 def lines(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -249,10 +252,10 @@ def rest_task(ratio: tuple[int, int], nearest: bool):
     def block(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("n", kind="stable")
         n, s, side = g.n.to_numpy(), g.set.to_numpy(), g.side.to_numpy()
-        doc, line = g.doc.to_numpy(), g.line.to_numpy()
+        doc, tie, line = g.doc.to_numpy(), g.tie.to_numpy(), g.line.to_numpy()
         i = np.flatnonzero(g.open.to_numpy())
         a, b, apart = Sketches(g.sketch.tolist()).near(i, np.searchsorted(n, -(-n[i] * num // den)), np.searchsorted(n, n[i] * den // num, "right"), n, ratio)
-        earlier = (doc[b] < doc[a]) | ((doc[b] == doc[a]) & (line[b] < line[a]))
+        earlier = (doc[b] < doc[a]) | ((doc[b] == doc[a]) & ((tie[b] < tie[a]) | ((tie[b] == tie[a]) & (line[b] < line[a]))))
         fits = earlier & ((side[b] != side[a]) | (side[b] == 2)) & ~told_before(s, a, b, g.refuted.tolist())
         a, b, apart = a[fits], b[fits], apart[fits]
         if nearest:
@@ -270,7 +273,7 @@ def rest_task(ratio: tuple[int, int], nearest: bool):
 
 def _matched(links: DataFrame, info: DataFrame) -> DataFrame:
     """Sets with an earlier match among ``links``."""
-    place = info.select(F.col("set"), F.struct("doc", "line").alias("at"))
+    place = info.select(F.col("set"), F.struct(*PLACE).alias("at"))
     ends = links.join(place.toDF("a", "at_a"), "a").join(place.toDF("b", "at_b"), "b")
     return ends.where("at_a <> at_b").select(F.when(F.col("at_a") < F.col("at_b"), F.col("b")).otherwise(F.col("a")).alias("set")).distinct()
 
@@ -280,13 +283,13 @@ def _rest(groups: DataFrame, info: DataFrame, matched: DataFrame, refuted: DataF
     members = members.join(matched.withColumn("matched", F.lit(True)), "set", "left").join(info, "set").withColumn("open", F.col("matched").isNull())
     no = refuted.groupBy(F.col("a").alias("set")).agg(F.collect_list("b").alias("refuted"))
     # a line can only match in the group if some member, open or not, is earlier
-    place = F.struct("doc", "line")
+    place = F.struct(*PLACE)
     undecided = members.groupBy("gid").agg(F.min(place).alias("first"), F.max(F.when(F.col("open"), place)).alias("last_open")).where("last_open > first").select("gid")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("set"), blocks).cast("int")
     rows = members.join(undecided, "gid").join(no, "set", "left").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int"))
-    rows = rows.select("gid", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), side.alias("side"), "set", "n", "sketch", "doc", "line", "open", "refuted")
+    rows = rows.select("gid", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), side.alias("side"), "set", "n", "sketch", *PLACE, "open", "refuted")
     rows = rows if live is None else rows.join(live, ["gid", "p", "q"], "left_semi")
     return rows.repartition("gid", "p", "q").sortWithinPartitions("gid", "p", "q").mapInPandas(rest_task(ratio, nearest), "gid long, p int, q int, a long, b long")
 
@@ -306,9 +309,11 @@ def removed_lines(spark: SparkSession, docs: DataFrame, width: int = 5, ratio: t
     buckets = max(partitions_for(spark), int(total * 0.3 / BUCKET_POSTINGS))
     postings = texts.mapInArrow(posting_task(width, ratio, handle, buckets), "bucket int, signatures binary, sets binary, places binary")
     found = tables.write(postings.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(candidate_task(ratio), "a long, b long, gid long, size long, members array<long>"), "candidates")
-    at = F.struct(F.coalesce("doc_id", F.lit(_FIRST)).alias("doc"), F.col("line").alias("line"))
+    # rows without id are told apart by their texts
+    tie = F.when(F.col("doc_id").isNull(), F.col("th")).otherwise(F.lit(0).cast("long"))
+    at = F.struct(F.coalesce("doc_id", F.lit(_FIRST)).alias("doc"), tie.alias("tie"), F.col("line").alias("line"))
     info = rows.groupBy("set").agg(F.first("n").alias("n"), F.first("sketch", ignorenulls=True).alias("sketch"), F.min(at).alias("at"))
-    info = tables.write(info.select("set", "n", "sketch", "at.doc", "at.line"), "info")
+    info = tables.write(info.select("set", "n", "sketch", "at.*"), "info")
     pairs = found.where("a is not null").select("a", "b").distinct()
     sketched = info.select("set", "n", "sketch")
     matched = tables.write(_matched(verified(spark, tables, "first", texts, pairs, sketched, width, ratio, lines), info), "matched")
@@ -323,8 +328,8 @@ def removed_lines(spark: SparkSession, docs: DataFrame, width: int = 5, ratio: t
         matched = tables.write(matched.union(_matched(more, info)).distinct(), f"matched-{step}")
         told = rest.join(more, ["a", "b"], "left_anti")
         refuted = refuted.union(told).union(told.select("b", "a"))
-    fate = info.select("set", F.col("doc").alias("first_doc"), F.col("line").alias("first_line")).join(matched.withColumn("matched", F.lit(True)), "set", "left")
-    is_first = (F.coalesce("doc_id", F.lit(_FIRST)) == F.col("first_doc")) & (F.col("line") == F.col("first_line"))
+    fate = info.select("set", F.struct(*PLACE).alias("first")).join(matched.withColumn("matched", F.lit(True)), "set", "left")
+    is_first = at == F.col("first")
     gone = rows.select("doc_id", "th", "line", "set").join(fate, "set").where(~is_first | F.col("matched")).groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("line")).alias("removed"))
     counts = profile.where("n_lines is not null").select("doc_id", "th", "n_lines")
     gone = gone.toDF("gone_id", "gone_th", "removed")
