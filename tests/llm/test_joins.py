@@ -6,8 +6,9 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
-from thaiseg.llm import bytekernel, decontaminate, line_dedup, ngram_join, simhash
+from thaiseg.llm import bytekernel, decontaminate, line_dedup, ngram_join, set_pairs, simhash, storage
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -66,8 +67,10 @@ def corpus(seed=5):
     return texts
 
 
-def test_ngram_join_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "COMMON_MIN", 6)
+@pytest.mark.parametrize("id_bits", [64, 6])
+def test_ngram_join_equals_brute_force(spark, monkeypatch, id_bits):
+    """With six bits nearly all sets have the hash of some other one."""
+    monkeypatch.setattr(set_pairs, "COMMON_MIN", 6)
     texts = corpus()
     sets = [shingle_set(t) for t in texts]
     root = list(range(len(texts)))
@@ -82,23 +85,51 @@ def test_ngram_join_equals_brute_force(spark, monkeypatch):
             a, b = find(i), find(j)
             root[max(a, b)] = min(a, b)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_documents(spark, df).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.similar_documents(spark, df, id_bits=id_bits).collect()}
     assert got == {i: (len(sets[i]), find(i)) for i in range(len(texts))}
     assert len({c for _, c in got.values()}) < len(texts) - 100
 
 
+def signatures(sets, common=()):
+    """The signatures of each set."""
+    table = set_pairs.Common(np.array(sorted(common), np.uint64), np.arange(len(common)) % 7)
+    sig, of = ngram_join.signatures(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])]), table, (3, 4))
+    return [set(sig[of == i].tolist()) for i in range(len(sets))]
+
+
+def at_threshold(rng, a):
+    """Sets whose similarity with a is 3/4 or just above, of all sizes."""
+    n = len(a)
+    yield np.sort(rng.choice(a, -(-n * 3 // 4), replace=False))
+    yield np.unique(np.concatenate([a, rng.integers(0, 1 << 63, n // 3, dtype=np.uint64)]))
+    gone = n // 7  # (n - k) / (n + k)
+    yield np.unique(np.concatenate([rng.choice(a, n - gone, replace=False), rng.integers(0, 1 << 63, gone, dtype=np.uint64)]))
+
+
 def test_signatures_of_similar_sets_meet():
     """Without the table of common shingles, on sets at the threshold exactly."""
     rng = np.random.default_rng(2)
-    none = np.zeros(0, np.uint64)
-    for size in [1, 2, 3, 4, 7, 30, 48, 49, 64, 65, 86, 96, 100, 128, 171, 300, 700, 2000]:
-        for _ in range(20):
+    for size in [1, 2, 3, 4, 5, 7, 8, 9, 12, 16, 17, 30, 32, 33, 48, 49, 64, 65, 86, 96, 100, 128, 171, 300, 700, 2000]:
+        for _ in range(40):
             a = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2))
-            keep = -(-len(a) * 3 // 4)
-            b = np.sort(rng.choice(a, keep, replace=False))  # J = keep / len(a)
-            c = np.unique(np.concatenate([a, rng.integers(0, 1 << 63, len(a) // 3, dtype=np.uint64)]))
-            for x, y in ((a, b), (a, c)):
-                assert set(ngram_join.signatures(x, none, (3, 4)).tolist()) & set(ngram_join.signatures(y, none, (3, 4)).tolist())
+            sets = [a, *at_threshold(rng, a)]
+            made = signatures(sets)
+            assert all(made[0] & m for m in made[1:])
+    # the two-level case does most of it: without the sparse one, sets of full partitions still meet
+    a = np.unique(rng.integers(0, 1 << 63, 600, dtype=np.uint64) * np.uint64(2))
+    assert len(signatures([a])[0]) < 2 * len(a)
+
+
+def test_two_level_signatures_alone():
+    """Of sets that have enough partitions each subset signature is of two or more shingles on average."""
+    rng = np.random.default_rng(12)
+    a = np.unique(rng.integers(0, 1 << 63, 1000, dtype=np.uint64) * np.uint64(2))
+    for b in at_threshold(rng, a):
+        values = np.concatenate([a, b])
+        owner = np.repeat([0, 1], [len(a), len(b)])
+        n = np.array([len(a), len(b)])
+        sig, of, full = ngram_join._two_level(values, owner, np.array([1024, 1024]), n // 3 // 2 + 1, 2)
+        assert (full >= n // 3 // 2 + 1).all() and set(sig[of == 0].tolist()) & set(sig[of == 1].tolist())
 
 
 def test_common_shingles_keep_the_guarantee():
@@ -106,25 +137,76 @@ def test_common_shingles_keep_the_guarantee():
     common = np.unique(rng.integers(0, 1 << 63, 300, dtype=np.uint64))
     for _ in range(100):
         own = np.unique(np.concatenate([rng.choice(common, 120), rng.integers(0, 1 << 63, int(rng.integers(1, 120)), dtype=np.uint64)]))
-        other = np.sort(rng.choice(own, -(-len(own) * 3 // 4), replace=False))
-        assert set(ngram_join.signatures(own, common, (3, 4)).tolist()) & set(ngram_join.signatures(other, common, (3, 4)).tolist())
+        made = signatures([own, *at_threshold(rng, own)], common)
+        assert all(made[0] & m for m in made[1:])
+
+
+def test_thresholds_below_one_half_are_refused(spark):
+    df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    for f in (ngram_join.similar_documents, line_dedup.removed_lines):
+        with pytest.raises(ValueError):
+            f(spark, df, ratio=(2, 5))
 
 
 def test_sketch_distance_never_exceeds_the_difference():
     rng = np.random.default_rng(6)
-    rows = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (5, 900, 1000, 1100, 1900, 2100)]
-    sketches = ngram_join.Sketches([ngram_join.parity_sketch(r) for r in rows])
-    n = np.array([len(r) for r in rows])
-    i = np.arange(len(rows))
-    # at ratio 0 every pair within a factor of two is possible
-    a, b, apart = sketches.near(i, i + 1, np.full(len(rows), len(rows)), n, (0, 1))
-    assert len(a) >= 8
-    for x, y, d in zip(a.tolist(), b.tolist(), apart.tolist()):
-        assert d <= len(np.setxor1d(rows[x], rows[y]))
+    rows = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (5, 900, 1000, 1100, 1900, 2100, 9000)]
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    made = set_pairs.Sketches(set_pairs.sketches(np.concatenate(rows), offsets, np.ones(len(rows), bool), 1024))
+    i, j = np.triu_indices(len(rows), 1)
+    for x, y, d in zip(i.tolist(), j.tolist(), made.apart(i, j).tolist()):
+        assert d <= len(np.setxor1d(rows[x], rows[y])) and (d > 0)
+
+
+def test_near_pairs_of_groups_cut_anywhere(monkeypatch):
+    """All pairs of equal group and fitting size, however rows come in batches."""
+    monkeypatch.setattr(set_pairs, "PAIRS", 50)
+    rng = np.random.default_rng(3)
+    gid, n = np.sort(rng.integers(0, 12, 300)), rng.integers(1, 60, 300)
+    table = pa.table({"gid": gid, "n": n, "at": np.arange(300), "sketch": pa.array([bytes(32)] * 300, pa.binary())})
+    got = set()
+    for part, group in set_pairs.whole_groups(iter(table.to_batches(max_chunksize=7)), ["gid"], rows=40):
+        size = part.column("n").to_numpy()
+        order = np.lexsort((size, group))
+        made = set_pairs.Sketches(part.column("sketch").take(pa.array(order)))
+        at = part.column("at").to_numpy()[order]
+        for i, j, apart in set_pairs.near_pairs(group[order], size[order], made, (3, 4), lambda i, j: (i + j) % 5 > 0):
+            assert not apart.any() and not ((i + j) % 5 == 0).any()
+            got |= {frozenset(p) for p in zip(at[i].tolist(), at[j].tolist())}
+    fits = {frozenset((x, y)) for x, y in itertools.combinations(range(300), 2) if gid[x] == gid[y] and 4 * min(n[x], n[y]) >= 3 * max(n[x], n[y])}
+    assert got < fits and len(got) > 0.7 * len(fits)
+
+
+def test_hot_keys_are_dealt(spark):
+    rows = spark.createDataFrame([(7, i) for i in range(4000)] + [(i, 1) for i in range(100, 900)] + [(None, 5)], "k long, v long")
+    hot = storage.hot_values(rows, "k")
+    assert hot == [7]
+    other = spark.createDataFrame([(7, "x"), (100, "y")], "k long, w string")
+    joined = storage.salted_join(rows, other, "k", hot, "v")
+    assert joined.groupBy("w").count().orderBy("w").collect() == [("x", 4000), ("y", 1)]
+    assert storage.salted_join(rows, other, "k", hot, "v", how="left").count() == 4801
+    salt = rows.where("k = 7").selectExpr(f"pmod(xxhash64(v), {storage.SALTS}) AS s").groupBy("s").count().agg({"count": "max"}).first()[0]
+    assert salt < 3 * 4000 / storage.SALTS
+
+
+def thue_morse(n):
+    """Two strings of n letters that polynomial hashes modulo 2**64 don't tell apart."""
+    a = "a"
+    while len(a) < n:
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_words_made_to_collide(spark, n):
+    texts = list(thue_morse(n))
+    df = spark.createDataFrame([(i, f"{t} x y z u v w") for i, t in enumerate(texts)] + [(i + 2, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.component_id for r in ngram_join.similar_documents(spark, df).collect()} == {0, 1, 2, 3}
+    assert {tuple(r.removed) for r in line_dedup.removed_lines(spark, df).collect()} == {()}
 
 
 def test_line_dedup_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "COMMON_MIN", 6)
+    monkeypatch.setattr(set_pairs, "COMMON_MIN", 6)
     rng = random.Random(8)
     pool = [t.replace("\n", " ") for t in corpus(9)]
     texts = ["\n".join(rng.choices(pool, k=rng.randint(0, 5))) for _ in range(150)] + ["", "\n\n"]
@@ -148,6 +230,7 @@ def test_line_dedup_of_chains_in_large_groups(spark, monkeypatch):
     In some documents A, B and C share a token that the first line lacks, which
     matched A, and C is the centre: B is then the only open line of the group."""
     monkeypatch.setattr(line_dedup, "SMALL_GROUP", 2)
+    monkeypatch.setattr(set_pairs, "SMALL_GROUP", 2)
     lines = lambda d: [[f"d{d}w{i + k}" for i in range(11)] for k in range(3)]
     families = [(x, a, b, b[:-1] + [f"d{d}other"]) for d in range(1500) for x, a, b in [lines(d)]]
     x, a, b, c = (shingle_set(" ".join(own)) for own in families[0])

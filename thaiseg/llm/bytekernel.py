@@ -1,9 +1,9 @@
 """Word and shingle hashing over whole Arrow string columns with numpy.
 
 Words are the runs of bytes between separators, so a text is never sliced into
-Python strings.  A word's hash is a polynomial over its bytes modulo 2**64,
-taken from one running sum: ``(S[end] - S[start]) * M**-start``.  All hashes
-pass through a 64-bit finaliser before use.
+Python strings.  A word is read in blocks of eight bytes; each block goes with
+its place through a 64-bit finaliser, and so does their sum with the length.  No
+hash is linear in the bytes, so texts made to cancel out don't collide.
 """
 
 from __future__ import annotations
@@ -12,35 +12,36 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 #: Fixed odd multipliers for the words of a shingle.
 _MIX = np.random.default_rng(20240229).integers(1, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+#: Keep the first k bytes of a block, k = 0 to 8.
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
-#: The separators of every word contract here: space and U+0009 to U+000D.
-WHITESPACE = np.zeros(256, bool)
-WHITESPACE[[0x20, *range(0x09, 0x0E)]] = True
-#: The same for words of letters, digits and non-ASCII characters alone.
-PUNCTUATION = np.ones(256, bool)
-PUNCTUATION[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
-_byte_values = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
-#: Byte values that keep case apart, and that fold A-Z onto a-z.
-EXACT = _byte_values.copy()
-FOLDED = _byte_values.copy()
-FOLDED[65:91] = FOLDED[97:123]
 
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+# Bytes of words, by array: everything but space and U+0009 to U+000D, the
+# separators of every word contract here; letters, digits and non-ASCII
+# characters; everything but the space.
+def not_space(raw: np.ndarray) -> np.ndarray:
+    return (raw != 0x20) & (raw - np.uint8(9) > 4)
 
 
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers["up"]) <= n:
-        size = max(1 << 16, n + n // 8 + 1)
-        for key, base in (("up", _BASE), ("down", _INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[key] = np.cumprod(steps, dtype=np.uint64)
-    return _powers["up"], _powers["down"]
+def alphanumeric(raw: np.ndarray) -> np.ndarray:
+    return (raw >= 0x80) | (raw - np.uint8(48) < 10) | ((raw | np.uint8(0x20)) - np.uint8(97) < 26)
+
+
+def not_blank(raw: np.ndarray) -> np.ndarray:
+    return raw != 0x20
+
+
+# Byte values: with A-Z folded onto a-z, and as they are.
+def folded(raw: np.ndarray) -> np.ndarray:
+    return raw | ((raw - np.uint8(65) < 26).view(np.uint8) << np.uint8(5))
+
+
+def exact(raw: np.ndarray) -> np.ndarray:
+    return raw
 
 
 def finalise(h: np.ndarray) -> np.ndarray:
@@ -73,37 +74,52 @@ class Words:
     """Words of a batch of texts: starts, ends (byte positions), hashes, and
     ``first``: n + 1 positions of each text's first word."""
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, values: np.ndarray = FOLDED, separators: np.ndarray = WHITESPACE, hashes: bool = True):
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, values=folded, in_word=not_space, hashes: bool = True):
         self.raw, self.offsets = raw, offsets
         n = len(raw)
-        inside = np.empty(n + 1, bool)
-        np.logical_not(separators[raw], out=inside[:n])
-        inside[n] = False
-        opens = inside[:n].copy()
-        opens[1:] &= ~inside[: n - 1]
-        closes = ~inside[1:] & inside[:n]
+        inside = np.zeros(n + 2, bool)
+        inside[1 : n + 1] = in_word(raw)
         cuts = offsets[1:-1]
-        cuts = cuts[(cuts > 0) & (cuts < n)]  # no word spans two texts
-        opens[cuts] = inside[:n][cuts]
-        closes[cuts - 1] = inside[:n][cuts - 1]
-        self.starts = np.flatnonzero(opens)
-        self.ends = np.flatnonzero(closes) + 1
+        cuts = cuts[(cuts > 0) & (cuts < n)]
+        cuts = cuts[inside[cuts] & inside[cuts + 1]]  # no word spans two texts
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        if len(cuts):
+            cuts = cuts[np.concatenate([[True], cuts[1:] != cuts[:-1]])]
+            edges = np.sort(np.concatenate([edges, cuts, cuts]), kind="stable")
+        self.starts, self.ends = edges[::2], edges[1::2]
         self.first = np.searchsorted(self.starts, offsets)
+        self.sizes = self.ends - self.starts
         if hashes:
-            up, down = _power_table(n + 1)
-            sums = np.empty(n + 1, np.uint64)
-            sums[0] = 0
-            np.cumsum(values[raw] * up[:n], out=sums[1:])
-            h = (sums[self.ends] - sums[self.starts]) * down[self.starts]
-            h += (self.ends - self.starts).astype(np.uint64) * np.uint64(_BASE)
-            self.hashes = finalise(h)
-            self._sums, self._down = sums, down
+            # eight bytes from any place on; the padding is for the last ones
+            own = np.concatenate([values(raw), np.zeros(8, np.uint8)])
+            blocks = np.ndarray(n + 1, np.dtype("<u8"), own, strides=(1,))
+            self.heads = blocks[self.starts] & _KEEP[np.minimum(self.sizes, 8)]
+            self._tails(blocks)
+            self.hashes = finalise(finalise(self.heads + _GOLDEN) + self._tail[0] + self.sizes.astype(np.uint64) * _GOLDEN)
+
+    def _tails(self, blocks: np.ndarray) -> None:
+        """Two sums for each word over its blocks after the first."""
+        self._tail = np.zeros((2, len(self.starts)), np.uint64)
+        long = np.flatnonzero(self.sizes > 8)
+        if not len(long):
+            return
+        more = (self.sizes[long] - 1) // 8
+        first = np.cumsum(more) - more
+        place = np.arange(first[-1] + more[-1]) - np.repeat(first, more) + 1
+        rest = np.minimum(np.repeat(self.sizes[long], more) - 8 * place, 8)
+        x = blocks[np.repeat(self.starts[long], more) + 8 * place] & _KEEP[rest]
+        place = place.astype(np.uint64)
+        for k, salt in enumerate((np.uint64(0x5851F42D4C957F2D), np.uint64(0xD6E8FEB86659FD93))):
+            self._tail[k, long] = np.add.reduceat(finalise(x ^ finalise(place * salt)), first)
+
+    @property
+    def checks(self) -> np.ndarray:
+        """Second hashes: with the size, a word of up to eight bytes itself."""
+        return self.heads + self._tail[1]
 
     def prefixes(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the words' first ``size`` bytes, and which words are so long."""
-        ends = np.minimum(self.starts + size, self.ends)
-        h = (self._sums[ends] - self._sums[self.starts]) * self._down[self.starts]
-        return finalise(h + np.uint64(size)), self.ends - self.starts >= size
+        """Hashes of the words' first ``size`` bytes (8 at most), and which words are so long."""
+        return finalise((self.heads & _KEEP[size]) + np.uint64(size * int(_GOLDEN) % (1 << 64))), self.sizes >= size
 
     @property
     def counts(self) -> np.ndarray:
@@ -122,29 +138,40 @@ def shingles(words: Words, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     offsets = np.concatenate([[0], np.cumsum(sizes)])
     padded = np.concatenate([h, np.zeros(width, np.uint64)])
     at = np.repeat(first[:-1] - offsets[:-1], sizes) + np.arange(offsets[-1])
-    total = np.full(len(at), width * _BASE % (1 << 64), np.uint64)
+    total = np.full(len(at), width * int(_GOLDEN) % (1 << 64), np.uint64)
     for j in range(width):
         total += padded[at + j] * _MIX[j]
     for i in np.flatnonzero((counts > 0) & (counts < width)):
         own = h[first[i] : first[i + 1]]
-        total[offsets[i]] = np.uint64(len(own) * (_INVERSE & 0xFFFFFFFF)) + (own * _MIX[: len(own)]).sum(dtype=np.uint64)
+        total[offsets[i]] = (own * _MIX[: len(own)]).sum(dtype=np.uint64) ^ np.uint64(len(own) * 0x5851F42D4C957)
     return finalise(total), offsets
 
 
+#: Segments up to so long are sorted as rows of one matrix.
+_ROW_MOST = 512
+
+
 def distinct_within(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct values of each segment, and the new offsets."""
-    out, sizes = [], np.zeros(len(offsets) - 1, np.int64)
-    for i in range(len(offsets) - 1):
-        own = values[offsets[i] : offsets[i + 1]]
-        if len(own) > 1:
-            own = np.sort(own)
-            keep = np.empty(len(own), bool)
-            keep[0] = True
-            np.not_equal(own[1:], own[:-1], out=keep[1:])
-            own = own[keep]
-        out.append(own)
-        sizes[i] = len(own)
-    return np.concatenate(out) if out else np.zeros(0, np.uint64), np.concatenate([[0], np.cumsum(sizes)])
+    sizes = np.diff(offsets)
+    out = values.copy()
+    width = 2
+    while width <= _ROW_MOST:
+        own = np.flatnonzero((sizes > width // 2) & (sizes <= width))
+        if len(own):
+            at = offsets[own][:, None] + np.arange(width)[None, :]
+            inside = np.arange(width)[None, :] < sizes[own][:, None]
+            rows = np.where(inside, values[np.minimum(at, len(values) - 1)], np.uint64(0xFFFFFFFFFFFFFFFF))
+            rows.sort(axis=1)
+            out[at[inside]] = rows[inside]
+        width *= 2
+    for i in np.flatnonzero(sizes > _ROW_MOST).tolist():
+        out[offsets[i] : offsets[i + 1]].sort()
+    keep = np.ones(len(out), bool)
+    np.not_equal(out[1:], out[:-1], out=keep[1:])
+    keep[offsets[:-1][sizes > 0]] = True
+    kept = np.concatenate([[0], np.cumsum(keep)])
+    return out[keep], kept[offsets]
 
 
 def slices(batches, column: str = "text", most: int = 1 << 20):

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytekernel import FOLDED, PUNCTUATION, Words, finalise, slices, utf8
+from .bytekernel import Words, alphanumeric, finalise, folded, slices, utf8
 from .storage import only
 
 ITEMS_MOST = 20_000
@@ -55,7 +55,7 @@ class Search:
 
 
 def words_of(column: pa.Array) -> Words:
-    return Words(*utf8(column), FOLDED, PUNCTUATION)
+    return Words(*utf8(column), folded, alphanumeric)
 
 
 def gram_width(length: int, edits: int) -> int:

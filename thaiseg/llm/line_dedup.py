@@ -12,9 +12,9 @@ lines.  Whether the earlier line is itself removed makes no difference.
 3. *Length and positional filters.*  A pair goes on if its sizes allow 3/4, and
    if the tokens from the shared one on can still make up the needed overlap.
 4. *Parity sketches*, then verification on the whole sets.
-5. Groups of many sets first try one member each; then lines that still lack an
-   earlier match try, for some rounds, the earlier member of each block with the
-   nearest sketch that hasn't been refuted, and at last every one that is left.
+5. Groups of many sets first try one member each; then every line that still
+   lacks an earlier match tries the earlier member of each block with the
+   nearest sketch, and at last every one that is left.
 
 Equal sets are one node throughout.
 
@@ -28,20 +28,17 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytekernel import finalise, slices, utf8
-from .ngram_join import BLOCK, BUCKET_POSTINGS, COMMON_MIN, COMMON_MOST, FLUSH, SMALL_GROUP, Recurring, Seen, Sketches, parity_sketch, sets_of, sorted_groups, told_before, verified
-from .storage import Tables, only, partitions_for
+from .set_pairs import BUCKET_POSTINGS, CANDIDATES_DDL, FLUSH, SMALL_GROUP, Identity, Ratio, Recurring, Seen, Sketches, Verifier, blocks, by_bucket, check_ratio, common_table, group_batches, groups_of, near_pairs, packed_postings, pair_batches, picked, rarest, sets_of, settled, sketches, small_pairs, whole_groups, within
+from .storage import Tables, hot_values, only, partitions_for, salted_join
 
 SKETCH = 256
-NEAREST_ROUNDS = 1
 _FIRST = -(1 << 63)
 #: What orders lines: document, text hash of documents without id, line number.
 PLACE = ("doc", "tie", "line")
@@ -66,118 +63,80 @@ def line_numbers(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return owner, np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-_PROFILE = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n_lines", pa.int64()), ("line", pa.int64()), ("n", pa.int64()), ("set", pa.int64()), ("sketch", pa.binary()), ("shingle", pa.int64()), ("times", pa.int64())])
-_PROFILE_DDL = "doc_id long, th long, n_lines long, line long, n long, set long, sketch binary, shingle long, times long"
+_PROFILE = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n_lines", pa.int64()), ("line", pa.int64()), ("n", pa.int64()), ("set", pa.int64()), ("check", pa.int64()), ("sketch", pa.binary()), ("shingle", pa.int64()), ("times", pa.int64())])
+_PROFILE_DDL = "doc_id long, th long, n_lines long, line long, n long, set long, check long, sketch binary, shingle long, times long"
 
 
-def profile_task(width: int):
+def _profile(rows: int, **columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(rows, f.type)) for f in _PROFILE], schema=_PROFILE)
+
+
+def profile_task(width: int, identity: Identity):
+    """Rows of documents, rows of their lines with words, counts of recurring tokens."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, recurring = Seen(), Recurring()
-        none = lambda k, kind=pa.int64(): pa.nulls(k, kind)
         for batch in slices(batches):
             ids, th, texts = batch.column("doc_id").cast(pa.int64()), batch.column("th"), batch.column("text")
             owner, number = line_numbers(*utf8(texts))
             counts = np.where(texts.is_null(), 0, np.bincount(owner, minlength=len(batch)))
-            k = len(batch)
-            yield pa.RecordBatch.from_arrays([ids, th, pa.array(counts), none(k), none(k), none(k), none(k, pa.binary()), none(k), none(k)], schema=_PROFILE)
-            elements, offsets, sets = sets_of(texts, width, lines)
+            yield _profile(len(batch), doc_id=ids, th=th, n_lines=pa.array(counts))
+            elements, offsets = sets_of(texts, width, lines)
+            sets, checks = identity.ids(elements, offsets)
             full = np.flatnonzero(np.diff(offsets))
-            small = parity_sketches(elements, offsets)
-            sketches = []
-            for i, key in zip(full.tolist(), sets[full].tolist()):
-                own = elements[offsets[i] : offsets[i + 1]]
-                if seen.new(key):
-                    recurring.add(own)
-                    sketches.append(small[i].tobytes() if len(own) <= SKETCH else parity_sketch(own, SKETCH))
-                else:
-                    sketches.append(None)
+            new = np.zeros(len(sets), bool)
+            new[full] = seen.new(sets[full])
+            recurring.add(picked(elements, offsets, new)[0])
             at = pa.array(owner[full])
-            k = len(full)
-            yield pa.RecordBatch.from_arrays([ids.take(at), th.take(at), none(k), pa.array(number[full]), pa.array(np.diff(offsets)[full]), pa.array(sets[full]), pa.array(sketches, pa.binary()), none(k), none(k)], schema=_PROFILE)
+            made = sketches(elements, offsets, new, SKETCH).take(pa.array(full))
+            yield _profile(len(full), doc_id=ids.take(at), th=th.take(at), line=pa.array(number[full]), n=pa.array(np.diff(offsets)[full]), set=pa.array(sets[full]), check=pa.array(checks[full]), sketch=made)
         keys, counts = recurring.counted()
-        k = len(keys)
-        if k:
-            yield pa.RecordBatch.from_arrays([none(k), none(k), none(k), none(k), none(k), none(k), none(k, pa.binary()), pa.array(keys.view(np.int64)), pa.array(counts)], schema=_PROFILE)
+        yield _profile(len(keys), shingle=pa.array(keys.view(np.int64)), times=pa.array(counts))
 
     return run
 
 
-def parity_sketches(elements: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Sketches of SKETCH bits of all sets at once, a row of bytes each."""
-    n = len(offsets) - 1
-    slot = np.repeat(np.arange(n) * SKETCH, np.diff(offsets)) + (elements & np.uint64(SKETCH - 1)).astype(np.int64)
-    odd = (np.bincount(slot, minlength=n * SKETCH) & 1).astype(np.uint8)
-    return np.packbits(odd.reshape(n, SKETCH), axis=1)
-
-
-def prefix_size(n: int, ratio: tuple[int, int]) -> int:
+def prefix_size(n, ratio: Ratio):
     """How many tokens, rarest first, a set of n posts."""
     num, den = ratio
     return n - -(-n * num // den) + 1
 
 
-def common_places(values: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """Places in the table of common tokens, -1 for the others."""
-    if not len(common):
-        return np.full(len(values), -1)
-    at = np.searchsorted(common, values)
-    at[at == len(common)] = 0
-    return np.where(common[at] == values, at, -1)
-
-
-def rarest_first(places: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    rare, rest = np.flatnonzero(places < 0), np.flatnonzero(places >= 0)
-    return np.concatenate([rare, rest[np.argsort(rank[places[rest]], kind="stable")]])
-
-
 _POSTINGS = pa.schema([("bucket", pa.int32()), ("signatures", pa.binary()), ("sets", pa.binary()), ("places", pa.binary())])
 
 
-def posting_task(width: int, ratio: tuple[int, int], common, buckets: int):
+def posting_task(width: int, ratio: Ratio, common, buckets: int, identity: Identity):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, held = Seen(), 0
-        known, rank = common.value
-        tokens, owners, sizes = [], [], []
-
-        def packed():
-            s = np.concatenate(tokens)
-            counts = np.array([len(t) for t in tokens])
-            o, n = np.repeat(np.array(owners, np.int64), counts), np.repeat(np.minimum(sizes, 65535), counts)
-            pos = np.minimum(np.arange(len(s)) - np.repeat(np.cumsum(counts) - counts, counts), 65535)
-            s = finalise(s ^ np.uint64(0x7F4A7C15))
-            place = (n.astype(np.uint32) << np.uint32(16)) | pos.astype(np.uint32)
-            bucket = ((s >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-            order = np.argsort(bucket, kind="stable")
-            s, o, place, bucket = s[order].astype(np.uint32), o[order], place[order], bucket[order]
-            cuts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]])
-            for k in range(0, len(cuts) - 1, 64):
-                part = range(k, min(k + 64, len(cuts) - 1))
-                blobs = [pa.array([x[cuts[j] : cuts[j + 1]].tobytes() for j in part], pa.binary()) for x in (s, o, place)]
-                yield pa.RecordBatch.from_arrays([pa.array([int(bucket[cuts[j]]) for j in part], pa.int32()), *blobs], schema=_POSTINGS)
+        seen, held, pending = Seen(), 0, []
+
+        def flushed():
+            tokens, sets, place = (np.concatenate(x) for x in zip(*pending))
+            yield from packed_postings([sets, place], finalise(tokens ^ np.uint64(0x7F4A7C15)), buckets, _POSTINGS)
 
         for batch in slices(batches):
-            elements, offsets, sets = sets_of(batch.column("text"), width, lines)
-            full = np.flatnonzero(np.diff(offsets))
-            places = common_places(elements, known)
-            shared = np.concatenate([[0], np.cumsum(places >= 0)])
-            for i, key in zip(full.tolist(), sets[full].tolist()):
-                if seen.new(key):
-                    a, b = offsets[i], offsets[i + 1]
-                    own, size = elements[a:b], prefix_size(b - a, ratio)
-                    tokens.append(own[rarest_first(places[a:b], rank)[:size]] if shared[b] > shared[a] else own[:size])
-                    owners.append(key)
-                    sizes.append(len(own))
-                    held += len(tokens[-1])
+            elements, offsets = sets_of(batch.column("text"), width, lines)
+            sets, _ = identity.ids(elements, offsets)
+            new = offsets[1:] > offsets[:-1]
+            new[new] = seen.new(sets[new])
+            if not new.any():
+                continue
+            elements, offsets = picked(elements, offsets, new)
+            n = np.diff(offsets)
+            tokens, of = rarest(elements, offsets, common.value.rank(elements), prefix_size(n, ratio))
+            pos = np.arange(len(of)) - np.searchsorted(of, of)
+            place = (np.minimum(n[of], 65535).astype(np.uint32) << np.uint32(16)) | np.minimum(pos, 65535).astype(np.uint32)
+            pending.append((tokens, sets[new][of], place))
+            held += len(tokens)
             if held > FLUSH:
-                yield from packed()
-                tokens, owners, sizes, held = [], [], [], 0
-        if held:
-            yield from packed()
+                yield from flushed()
+                pending, held = [], 0
+        if pending:
+            yield from flushed()
 
     return run
 
 
-def passes(na: np.ndarray, pa_: np.ndarray, nb: np.ndarray, pb: np.ndarray, ratio: tuple[int, int]) -> np.ndarray:
+def passes(na: np.ndarray, pa_: np.ndarray, nb: np.ndarray, pb: np.ndarray, ratio: Ratio) -> np.ndarray:
     """The length and positional filters; sizes of 65535 are not known exactly."""
     num, den = ratio
     length = np.minimum(na, nb) * den >= np.maximum(na, nb) * num
@@ -186,91 +145,63 @@ def passes(na: np.ndarray, pa_: np.ndarray, nb: np.ndarray, pb: np.ndarray, rati
     return (length & position) | (na >= 65535) | (nb >= 65535)
 
 
-_CANDIDATES = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("gid", pa.int64()), ("size", pa.int64()), ("members", pa.list_(pa.int64()))])
-
-
-def candidate_task(ratio: tuple[int, int]):
+def candidate_task(ratio: Ratio):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s, o, place in _by_bucket(batches):
-            order = np.lexsort((o, s))
-            s, o, place = s[order], o[order], place[order]
-            keep = np.ones(len(s), bool)
-            keep[1:] = (s[1:] != s[:-1]) | (o[1:] != o[:-1])
-            s, o, place = s[keep], o[keep], place[keep]
+        for tokens, sets, place in by_bucket(batches, [np.uint32, np.int64, np.uint32]):
             n, pos = (place >> np.uint32(16)).astype(np.int64), (place & np.uint32(65535)).astype(np.int64)
-            first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-            size = np.diff(np.concatenate([first, [len(s)]]))
-            first, size = first[size > 1], size[size > 1]
-            i, j = [first[size == 2]], [first[size == 2] + 1]
-            for f, m in zip(first[size > 2].tolist(), size[size > 2].tolist()):
-                if m <= SMALL_GROUP:
-                    for a, b in combinations(range(f, f + m), 2):
-                        i.append(np.array([a]))
-                        j.append(np.array([b]))
-                else:
-                    i.append(np.full(m - 1, f))
-                    j.append(np.arange(f + 1, f + m))
-            i, j = np.concatenate(i), np.concatenate(j)
+            first, size = groups_of(tokens)
+            i, j = small_pairs(first, size)
             good = passes(n[i], pos[i], n[j], pos[j], ratio)
-            a, b = o[i[good]], o[j[good]]
-            if len(a):
-                pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-                for k in range(0, len(pair), 1 << 16):
-                    part = pair[k : k + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy()), pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.list_(pa.int64()))], schema=_CANDIDATES)
-            told = set()
-            for f, m in zip(first[size > SMALL_GROUP].tolist(), size[size > SMALL_GROUP].tolist()):
-                gid = int(finalise(o[f : f + m].view(np.uint64)).sum(dtype=np.uint64).view(np.int64))
-                if gid in told:
-                    continue
-                told.add(gid)
-                for k in range(f, f + m, BLOCK):
-                    members = pa.array([o[k : min(k + BLOCK, f + m)].tolist()], pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([gid]), pa.array([m]), members], schema=_CANDIDATES)
+            yield from pair_batches(sets[i[good]], sets[j[good]])
+            yield from group_batches(sets, first[size > SMALL_GROUP], size[size > SMALL_GROUP])
 
     return run
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    now, held = None, []
-    for batch in batches:
-        for row in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3)):
-            if row[0] != now and held:
-                yield tuple(np.concatenate(x) for x in zip(*held))
-                held = []
-            now = row[0]
-            held.append([np.frombuffer(x.as_buffer(), kind) for x, kind in zip(row[1:], (np.uint32, np.int64, np.uint32))])
-    if held:
-        yield tuple(np.concatenate(x) for x in zip(*held))
-
-
-def rest_task(ratio: tuple[int, int], nearest: bool):
+def rest_task(ratio: Ratio, nearest: bool):
     """Possible pairs of a line without an earlier match and an earlier one, or
     each such line's nearest one."""
-    num, den = ratio
 
-    def block(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("n", kind="stable")
-        n, s, side = g.n.to_numpy(), g.set.to_numpy(), g.side.to_numpy()
-        doc, tie, line = g.doc.to_numpy(), g.tie.to_numpy(), g.line.to_numpy()
-        i = np.flatnonzero(g.open.to_numpy())
-        a, b, apart = Sketches(g.sketch.tolist()).near(i, np.searchsorted(n, -(-n[i] * num // den)), np.searchsorted(n, n[i] * den // num, "right"), n, ratio)
-        earlier = (doc[b] < doc[a]) | ((doc[b] == doc[a]) & ((tie[b] < tie[a]) | ((tie[b] == tie[a]) & (line[b] < line[a]))))
-        fits = earlier & ((side[b] != side[a]) | (side[b] == 2)) & ~told_before(s, a, b, g.refuted.tolist())
-        a, b, apart = a[fits], b[fits], apart[fits]
-        if nearest:
-            order = np.lexsort((apart, a))
-            first = order[np.flatnonzero(np.diff(a[order], prepend=-1))]
-            a, b = a[first], b[first]
-        return pd.DataFrame({"gid": g.gid.iloc[0], "p": g.p.iloc[0], "q": g.q.iloc[0], "a": np.minimum(s[a], s[b]), "b": np.maximum(s[a], s[b])})
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in sorted_groups(frames, ["gid", "p", "q"]):
-            yield block(g)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, group in whole_groups(batches, ["gid", "p", "q"]):
+            table = table.combine_chunks()
+            order = np.lexsort((table.column("n").to_numpy(), group))
+            n, s, side, open_ = (table.column(c).to_numpy(zero_copy_only=False)[order] for c in ("n", "set", "side", "open"))
+            group = group[order]
+            at = [table.column(c).to_numpy()[order] for c in PLACE]
+            by_place = np.lexsort(at[::-1])
+            moved = np.zeros(len(n), np.int64)
+            for x in at:
+                moved[1:] |= x[by_place][1:] != x[by_place][:-1]
+            place = np.empty(len(n), np.int64)
+            place[by_place] = np.cumsum(moved)
+            made = Sketches(table.column("sketch").take(pa.array(order)))
+
+            def wanted(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+                later = np.where(place[i] > place[j], i, j)
+                return open_[later] & (place[i] != place[j]) & ((side[i] != side[j]) | (side[i] == 2))
+
+            best, other = np.full(len(n), 1 << 40), np.zeros(len(n), np.int64)
+            for i, j, apart in near_pairs(group, n, made, ratio, wanted):
+                if nearest:
+                    later = np.where(place[i] > place[j], i, j)
+                    by = np.lexsort((apart, later))
+                    by = by[np.flatnonzero(np.diff(later[by], prepend=-1))]
+                    by = by[apart[by] < best[later[by]]]
+                    best[later[by]], other[later[by]] = apart[by], np.where(later == i, j, i)[by]
+                else:
+                    yield _pairs(s[i], s[j])
+            if nearest:
+                found = np.flatnonzero(best < 1 << 40)
+                yield _pairs(s[found], s[other[found]])
 
     return run
 
 
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
 def _matched(links: DataFrame, info: DataFrame) -> DataFrame:
     """Sets with an earlier match among ``links``."""
     place = info.select(F.col("set"), F.struct(*PLACE).alias("at"))
@@ -278,70 +209,70 @@ def _matched(links: DataFrame, info: DataFrame) -> DataFrame:
     return ends.where("at_a <> at_b").select(F.when(F.col("at_a") < F.col("at_b"), F.col("b")).otherwise(F.col("a")).alias("set")).distinct()
 
 
-def _rest(groups: DataFrame, info: DataFrame, matched: DataFrame, refuted: DataFrame, ratio: tuple[int, int], nearest: bool, live: DataFrame | None) -> DataFrame:
-    members = groups.select("gid", "size", F.explode("members").alias("set")).distinct()
-    members = members.join(matched.withColumn("matched", F.lit(True)), "set", "left").join(info, "set").withColumn("open", F.col("matched").isNull())
-    no = refuted.groupBy(F.col("a").alias("set")).agg(F.collect_list("b").alias("refuted"))
+def _rest(groups: DataFrame, info: DataFrame, matched: DataFrame, ratio: Ratio, nearest: bool) -> DataFrame:
+    members = groups.select("gid", "size", F.explode("members").alias("set"))
+    members = members.join(matched.withColumn("matched", F.lit(True)), "set", "left").join(info.select("set", "n", "sketch", *PLACE), "set").withColumn("open", F.col("matched").isNull()).drop("matched")
     # a line can only match in the group if some member, open or not, is earlier
     place = F.struct(*PLACE)
     undecided = members.groupBy("gid").agg(F.min(place).alias("first"), F.max(F.when(F.col("open"), place)).alias("last_open")).where("last_open > first").select("gid")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("set"), blocks).cast("int")
-    rows = members.join(undecided, "gid").join(no, "set", "left").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int"))
-    rows = rows.select("gid", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), side.alias("side"), "set", "n", "sketch", *PLACE, "open", "refuted")
-    rows = rows if live is None else rows.join(live, ["gid", "p", "q"], "left_semi")
-    return rows.repartition("gid", "p", "q").sortWithinPartitions("gid", "p", "q").mapInPandas(rest_task(ratio, nearest), "gid long, p int, q int, a long, b long")
+    rows = within(members, undecided)
+    return blocks(rows).mapInArrow(rest_task(ratio, nearest), "a long, b long").distinct()
+
 
+def _place(doc: str, th: str, line: str) -> Column:
+    """Rows without id are told apart by their texts."""
+    tie = F.when(F.col(doc).isNull(), F.col(th)).otherwise(F.lit(0).cast("long"))
+    return F.struct(F.coalesce(doc, F.lit(_FIRST)).alias("doc"), tie.alias("tie"), F.col(line).alias("line"))
 
-def removed_lines(spark: SparkSession, docs: DataFrame, width: int = 5, ratio: tuple[int, int] = (3, 4)) -> DataFrame:
+
+def removed_lines(spark: SparkSession, docs: DataFrame, width: int = 5, ratio: Ratio = (3, 4), id_bits: int = 64) -> DataFrame:
     """doc_id, th (hash of the text), n_lines, removed (ascending line numbers from 0) of every row."""
+    check_ratio(ratio)
     tables = Tables(spark, "line-dedup")
     docs = only(docs, "doc_id", "text").withColumn("th", F.xxhash64("text"))
     texts = docs.select("text")
-    profile = tables.write(docs.mapInArrow(profile_task(width), _PROFILE_DDL), "profile")
-    rows = profile.where("set is not null").select("doc_id", "th", "line", "n", "set", "sketch")
-    common = profile.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times")).where(F.col("times") >= COMMON_MIN).orderBy(F.desc("times"), "shingle").limit(COMMON_MOST).toPandas()
-    keys, times = common.shingle.to_numpy(np.int64).view(np.uint64), common.times.to_numpy(np.int64)
-    order = np.argsort(keys)
-    handle = spark.sparkContext.broadcast((keys[order], times[order]))
-    total = rows.agg(F.sum("n")).first()[0] or 0
+
+    def write(identity: Identity) -> DataFrame:
+        return tables.write(docs.mapInArrow(profile_task(width, identity), _PROFILE_DDL), f"profile-{len(identity.collided)}")
+
+    profile, rows, identity = settled(write, id_bits)
+    handle = spark.sparkContext.broadcast(common_table(profile.where("shingle is not null")))
+    at = _place("doc_id", "th", "line")
+    info = rows.groupBy("set").agg(F.first("n").alias("n"), F.first("sketch", ignorenulls=True).alias("sketch"), F.min(at).alias("at"), F.count("*").alias("copies"))
+    info = tables.write(info.select("set", "n", "sketch", "at.*", "copies"), "info")
+    total = info.agg(F.sum("n")).first()[0] or 0
     buckets = max(partitions_for(spark), int(total * 0.3 / BUCKET_POSTINGS))
-    postings = texts.mapInArrow(posting_task(width, ratio, handle, buckets), "bucket int, signatures binary, sets binary, places binary")
-    found = tables.write(postings.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(candidate_task(ratio), "a long, b long, gid long, size long, members array<long>"), "candidates")
-    # rows without id are told apart by their texts
-    tie = F.when(F.col("doc_id").isNull(), F.col("th")).otherwise(F.lit(0).cast("long"))
-    at = F.struct(F.coalesce("doc_id", F.lit(_FIRST)).alias("doc"), tie.alias("tie"), F.col("line").alias("line"))
-    info = rows.groupBy("set").agg(F.first("n").alias("n"), F.first("sketch", ignorenulls=True).alias("sketch"), F.min(at).alias("at"))
-    info = tables.write(info.select("set", "n", "sketch", "at.*"), "info")
-    pairs = found.where("a is not null").select("a", "b").distinct()
-    sketched = info.select("set", "n", "sketch")
-    matched = tables.write(_matched(verified(spark, tables, "first", texts, pairs, sketched, width, ratio, lines), info), "matched")
-    refuted = spark.createDataFrame([], "a long, b long")
-    live = None  # blocks that gave pairs in the round before; the others won't
-    for step in range(NEAREST_ROUNDS + 1):
-        open_ = tables.write(_rest(found.where("gid is not null"), info, matched, refuted, ratio, step < NEAREST_ROUNDS, live), f"rest-{step}")
-        if not open_.limit(1).count():
-            break
-        live, rest = open_.select("gid", "p", "q").distinct(), open_.select("a", "b").distinct()
-        more = verified(spark, tables, f"rest-{step}", texts, rest, sketched, width, ratio, lines)
-        matched = tables.write(matched.union(_matched(more, info)).distinct(), f"matched-{step}")
-        told = rest.join(more, ["a", "b"], "left_anti")
-        refuted = refuted.union(told).union(told.select("b", "a"))
-    fate = info.select("set", F.struct(*PLACE).alias("first")).join(matched.withColumn("matched", F.lit(True)), "set", "left")
-    is_first = at == F.col("first")
-    gone = rows.select("doc_id", "th", "line", "set").join(fate, "set").where(~is_first | F.col("matched")).groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("line")).alias("removed"))
+    postings = texts.mapInArrow(posting_task(width, ratio, handle, buckets, identity), "bucket int, signatures binary, sets binary, places binary")
+    found = tables.write(postings.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(candidate_task(ratio), CANDIDATES_DDL), "candidates")
+    verifier = Verifier(spark, tables, texts, info, width, ratio, identity, lines)
+    links = verifier.links(verifier.possible(found.where("a is not null").select("a", "b").distinct(), "first"), "first")
+    matched = tables.write(_matched(links, info), "matched")
+    groups = tables.write(found.where("gid is not null").select("gid", "size", "members").distinct(), "groups")
+    tables.drop("candidates", "first-possible")
+    if groups.limit(1).count():
+        near = tables.write(_rest(groups, info, matched, ratio, True), "nearest")
+        matched = tables.write(matched.union(_matched(verifier.links(near, "nearest"), info)).distinct(), "matched-nearest")
+        rest = tables.write(_rest(groups, info, matched, ratio, False).join(near, ["a", "b"], "left_anti"), "rest")
+        if rest.limit(1).count():
+            matched = tables.write(matched.union(_matched(verifier.links(rest, "rest"), info)).distinct(), "matched-rest")
+        tables.drop("nearest", "rest", "groups")
+    # of the others each line stays
+    fate = info.join(matched.withColumn("matched", F.lit(True)), "set", "left").where("matched OR copies > 1").select("set", F.struct(*PLACE).alias("first"), F.col("matched").isNotNull().alias("matched"))
+    hot = hot_values(info, "set", "copies")
+    gone = salted_join(rows.select("doc_id", "th", "line", "set"), fate, "set", hot, "doc_id", "th", "line").where((at != F.col("first")) | F.col("matched"))
+    gone = gone.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("line")).alias("removed")).toDF("gone_id", "gone_th", "removed")
     counts = profile.where("n_lines is not null").select("doc_id", "th", "n_lines")
-    gone = gone.toDF("gone_id", "gone_th", "removed")
     return counts.join(gone, F.expr("doc_id <=> gone_id AND th <=> gone_th"), "left").select("doc_id", "th", "n_lines", F.coalesce("removed", F.array().cast("array<long>")).alias("removed"))
 
 
-def without_repeated_lines(spark: SparkSession, docs: DataFrame, width: int = 5, ratio: tuple[int, int] = (3, 4)) -> DataFrame:
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, width: int = 5, ratio: Ratio = (3, 4)) -> DataFrame:
     """``docs`` (columns doc_id and text at least) with the lines that stay."""
-    gone = removed_lines(spark, docs, width, ratio).where(F.size("removed") > 0).select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th"), "removed").dropDuplicates(["gone_id", "gone_th"])
-    both = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("gone_th")), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("removed", i.cast("long"))), "\n")
-    return both.withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
+    gone = removed_lines(spark, docs, width, ratio).where(F.size("removed") > 0).dropDuplicates(["doc_id", "th"])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("own"))
+    both = rows.join(gone.select("doc_id", "th", "removed"), F.expr("id <=> doc_id AND own = th"), "left")
+    kept = F.array_join(F.filter(F.split("row.text", "\n"), lambda x, i: ~F.array_contains("removed", i.cast("long"))), "\n")
+    text = F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(kept).alias("text")
+    return both.select(*[text if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def digests(spark: SparkSession, docs: DataFrame) -> DataFrame:

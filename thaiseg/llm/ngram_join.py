@@ -6,34 +6,40 @@ Jaccard similarity reaches the threshold (3/4).  The join is exact:
 1. *Size bands.*  Sets of size (B/2, B] form a band; a set that may have a
    partner in the next band is signed for that band as well, so any two
    sufficiently similar sets meet in one band.
-2. *Partitions.*  A band cuts the domain of shingle hashes into n = 0.6 B
-   partitions (small bands: one for each hash).  Similar sets of sizes a <= b
-   differ in at most (a + b)/7 <= a/3 shingles, so among the first a//3 + 1
-   non-empty partitions of either at least one holds the same shingles in both.
-   A set therefore enumerates just these one-partition subsets as signatures
-   (with more partitions than needed a larger set has more, and they include
-   those of the smaller).  Shingles that very many texts share stand last in
-   the order of partitions, so that a shared passage signs hardly any text.
-3. *Candidates.*  Postings (signature, set) travel as packed arrays to the task
+2. *Partitions.*  A band cuts the domain of shingle hashes into n1 first-level
+   partitions of 3 to 4 shingles of a set of size B, and each of these into
+   n2 = 3 second-level ones.  Similar sets of sizes a <= b differ in at most
+   k = floor(a / 3) shingles.  Of any floor(k / 2) + 1 first-level partitions,
+   one has at most k2 = 1 shingle that differs; so one of the C(n2, k2) subsets of
+   n2 - k2 of its second-level partitions holds the same shingles in both sets.
+   A set enumerates these subsets as signatures, for its partitions in order
+   up to the (floor(k / 2) + 1)-th that has shingles in two or more second-level
+   ones.  The order is of the partitions that either set has, so both see the
+   same one: its place among a set's own can't be later.
+3. *Sparse sets.*  Of two similar sets without so many such partitions between
+   them, neither has them alone.  Such sets enumerate the one-level case as
+   well (n1 = the domain, k2 = 0): k + 1 shingles, the rarest first.  Shingles
+   that very many texts share belong to this case alone and come last in it,
+   so that a shared passage signs hardly any text.
+4. *Candidates.*  Postings (signature, set) travel as packed arrays to the task
    that owns the signature.  Small groups give all their pairs; large groups
    give the pairs with one of their members and are kept.  Pairs stay if sizes
-   and parity sketches leave them possible (bits that differ can't
-   outnumber the shingles that differ).
-4. *Verification* of pairs on the whole sets, then connected components.
-5. *The rest of the large groups*: pairs whose members are still in different
-   components and that pass the same tests.  For some rounds each block of a
-   group only gives a spanning forest of these, from its best connected members
-   on, which joins what is similar without listing it pair by pair; pairs that
-   verification has refuted are left out of later rounds.  A last round takes
-   whatever is then still open.  Blocks of a large group are tasks of their own.
+   and parity sketches leave them possible.
+5. *Verification* of pairs on the whole sets, then connected components.
+6. *The rest of the large groups*: possible pairs whose members are still in
+   different components.  First each block of a group only gives a spanning
+   forest of these, from its best connected members on, which joins what is
+   similar without listing it pair by pair; then what is still open is listed
+   and verified, but for the pairs that were refuted.  Blocks of a large group
+   are tasks of their own.
 
 Equal sets are one node throughout, so copies cost one row each.
 
 Defined results: null and empty texts, and texts without words, have size 0 and
 link with nothing; a row with a null ``doc_id`` counts for its text, and gets
 the component of its text (null if no row of it has an id); repeated rows stay
-repeated; an empty table gives an empty result; other columns are ignored.
-Sets and shingles are known by 64-bit hashes.
+repeated; an empty table gives an empty result; other columns are ignored; a
+threshold below 1/2 raises ValueError.  Sets are known by 128 bits, shingles by 64.
 """
 
 from __future__ import annotations
@@ -42,495 +48,246 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytekernel import Words, distinct_within, finalise, shingles, slices, utf8
+from .bytekernel import finalise, slices
 from .components import components
-from .storage import Tables, only, partitions_for
-
-#: A shingle of at least so many texts of a task's counts is common; the
-#: table of common ones has a fixed bound.  It only orders partitions.
-COMMON_MIN, COMMON_MOST = 12, 1 << 17
-SMALL_BAND, SMALL_GROUP, BLOCK = 64, 6, 2048
-FLUSH, BUCKET_POSTINGS = 1 << 20, 4 << 20
-SEEN_MOST = 1 << 18
-BITMAP_BITS = 1 << 23
-FOREST_ROUNDS = 2
-#: Sketches compared at once.
-CELLS = 1 << 16
-SKETCH_BITS = 1 << 10
-
+from .set_pairs import BUCKET_POSTINGS, CANDIDATES_DDL, FLUSH, SMALL_GROUP, Common, Identity, Ratio, Recurring, Seen, Sketches, Verifier, blocks, by_bucket, check_ratio, common_table, group_batches, groups_of, near_pairs, packed_postings, pair_batches, picked, rarest, sets_of, settled, sketches, small_pairs, whole_groups, within
+from .storage import Tables, hot_values, only, partitions_for, salted_join
 
-# --- one text's set -----------------------------------------------------------
-
-
-def sets_of(column: pa.Array, width: int, units=utf8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct shingles of all units (texts, unless ``units`` cuts the
-    column's bytes otherwise), n + 1 offsets, and set hashes."""
-    elements, offsets = distinct_within(*shingles(Words(*units(column)), width))
-    return elements, offsets, set_hashes(elements, offsets)
-
-
-def set_hashes(elements: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(finalise(elements ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)])
-    return finalise(sums[offsets[1:]] - sums[offsets[:-1]] + np.diff(offsets).astype(np.uint64)).view(np.int64)
-
-
-def parity_sketch(elements: np.ndarray, least: int = SKETCH_BITS) -> bytes:
-    """Parities of the counts of elements in slots, as many slots as elements or more."""
-    bits = max(least, 1 << max(0, len(elements) - 1).bit_length())
-    odd = np.bincount((elements & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8)).tobytes()
-
-
-class Sketches:
-    """Hamming distances of parity sketches; the longer of two folds onto the
-    shorter, which gives the sketch that it would have had at that length."""
-
-    def __init__(self, sketches: list[bytes]):
-        self.sizes = np.array([len(x) // 8 for x in sketches], np.int64)
-        self.levels: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for size in np.unique(self.sizes).tolist():
-            rows = [x for x in sketches if len(x) in (8 * size, 16 * size)]
-            at = np.flatnonzero((self.sizes == size) | (self.sizes == 2 * size))
-            flat = [np.frombuffer(x, np.uint64) for x in rows]
-            place = np.full(len(sketches), -1)
-            place[at] = np.arange(len(at))
-            self.levels[size] = (np.stack([x if len(x) == size else x[:size] ^ x[size:] for x in flat]), place)
-
-    def near(self, i: np.ndarray, lo: np.ndarray, hi: np.ndarray, n: np.ndarray, ratio: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Pairs (i, j) with j in [lo, hi) whose sketches leave them possible, and
-        their distances.  n ascends, and sizes of sketches with it; those of a
-        pair are within a factor of two."""
-        num, den = ratio
-        out = []
-        at = 0
-        while at < len(i):
-            # a few rows at a time, against all columns that any of them needs
-            width = max(1, int(hi[at : at + 64].max() - lo[at : at + 64].min()))
-            own = slice(at, at + max(1, min(64, CELLS // width)))
-            rows, left, right = i[own], lo[own].min(), hi[own].max()
-            at = own.stop
-            for size in np.unique(self.sizes[rows]).tolist():
-                r = rows[self.sizes[rows] == size]
-                for other in np.unique(self.sizes[left:right]).tolist():
-                    level = min(size, other)
-                    if max(size, other) > 2 * level:
-                        continue
-                    c = left + np.flatnonzero(self.sizes[left:right] == other)
-                    table, place = self.levels[level]
-                    apart = np.bitwise_count(table[place[r]][:, None, :] ^ table[place[c]][None, :, :]).sum(2, dtype=np.int64)
-                    x, y = np.nonzero(apart <= (n[r][:, None] + n[c][None, :]) * (den - num) // (den + num))
-                    out.append((r[x], c[y], apart[x, y]))
-        a, b, d = (np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in range(3))
-        first, last = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
-        first[i], last[i] = lo, hi
-        inside = (b >= first[a]) & (b < last[a])
-        return a[inside], b[inside], d[inside]
-
-
-class Seen:
-    """Whether a set came before in this task; forgets when it is full."""
-
-    def __init__(self):
-        self.known: set[int] = set()
-
-    def new(self, key: int) -> bool:
-        if key in self.known:
-            return False
-        if len(self.known) >= SEEN_MOST:
-            self.known.clear()
-        self.known.add(key)
-        return True
-
-
-class Recurring:
-    """Counts of the commonest values of many sets, in bounded memory."""
-
-    def __init__(self):
-        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.pending, self.held = [], 0
-
-    def add(self, own: np.ndarray) -> None:
-        self.pending.append(own)
-        self.held += len(own)
-        if self.held > FLUSH:
-            self._merge()
-
-    def _merge(self) -> None:
-        if not self.pending:
-            return
-        new, n = np.unique(np.concatenate(self.pending), return_counts=True)
-        new, n = new[n > 1], n[n > 1]
-        both, at = np.unique(np.concatenate([self.keys, new]), return_inverse=True)
-        total = np.bincount(at, np.concatenate([self.counts, n]), len(both)).astype(np.int64)
-        if len(both) > 2 * COMMON_MOST:
-            top = np.sort(np.argpartition(-total, 2 * COMMON_MOST)[: 2 * COMMON_MOST])
-            both, total = both[top], total[top]
-        self.keys, self.counts, self.pending, self.held = both, total, [], 0
-
-    def counted(self, least: int = 3) -> tuple[np.ndarray, np.ndarray]:
-        self._merge()
-        return self.keys[self.counts >= least], self.counts[self.counts >= least]
+#: Second-level partitions, and how many of them a subset leaves out.
+SECOND, LEFT_OUT = 3, 1
+#: First-level partitions of a band of sets up to B: B * LEVEL[0] // LEVEL[1].
+LEVEL = (2, 7)
+SKETCH_BITS = 1 << 10
 
 
 # --- signatures ---------------------------------------------------------------
 
 
-def bands_of(size: int, ratio: tuple[int, int]) -> list[int]:
-    """The set's band and, if a partner may be there, the next; a band is its largest size."""
-    num, den = ratio
-    top = max(SMALL_BAND, 1 << (size - 1).bit_length())
-    return [top, 2 * top] if size * den // num > top else [top]
-
-
-def signatures(own: np.ndarray, common: np.ndarray, ratio: tuple[int, int]) -> np.ndarray:
+def signatures(elements: np.ndarray, offsets: np.ndarray, common: Common, ratio: Ratio) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of non-empty sets, and which set each belongs to."""
     num, den = ratio
-    size = len(own)
+    sizes = np.diff(offsets)
     # |A ^ B| <= (a + b)(1 - 2 j / (1 + j)) with b <= a / j, hence a (1 - j) / j
-    needed = size * (den - num) // num + 1
-    if len(common):
-        at = np.searchsorted(common, own)
-        at[at == len(common)] = 0
-        is_common = common[at] == own
-        rare, rest = own[~is_common], own[is_common]
-    else:
-        rare, rest = own, own[:0]
-    out = []
-    for top in bands_of(size, ratio):
-        if top <= SMALL_BAND:
-            cell = rare
-        else:
-            parts = np.uint64(top * 6 // 10)
-            index = ((rare >> np.uint64(32)) * parts) >> np.uint64(32)
-            first = np.flatnonzero(np.concatenate([[True], index[1:] != index[:-1]])) if len(rare) else np.zeros(0, np.int64)
-            cell = np.add.reduceat(finalise(rare), first) + index[first] if len(first) else rare
-        cell = cell[:needed]
-        if len(cell) < needed:
-            cell = np.concatenate([cell, rest[: needed - len(cell)]])
-        out.append(finalise(cell + np.uint64(top * 0x9E3779B97F4A7C15 % (1 << 64))))
-    return np.concatenate(out)
+    differing = sizes * (den - num) // num
+    needed = differing // (LEFT_OUT + 1) + 1
+    band = (1 << np.ceil(np.log2(sizes)).astype(np.int64)).astype(np.int64)
+    ranks = common.rank(elements)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    rare, owners = elements[ranks < 0], owner[ranks < 0]
+    out, whose = [], []
+    for top, inside in ((band, np.ones(len(sizes), bool)), (2 * band, sizes * den // num > band)):
+        own = inside[owners]
+        sig, of, full = _two_level(rare[own], owners[own], top, needed, len(sizes))
+        out.append(sig)
+        whose.append(of)
+        # sets that lack partitions, for their partners that lack them too
+        short = inside & (full < needed)
+        values, at = picked(elements, offsets, short)
+        value, of = rarest(values, at, ranks[np.repeat(short, sizes)], differing[short] + 1)
+        of = np.flatnonzero(short)[of]
+        out.append(finalise(value + finalise(top[of].astype(np.uint64) * np.uint64(8))))
+        whose.append(of)
+    return np.concatenate(out), np.concatenate(whose)
+
+
+def _two_level(values: np.ndarray, owner: np.ndarray, top: np.ndarray, needed: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of the subsets, their owners, and how many partitions each set
+    has with shingles in more than LEFT_OUT second-level ones."""
+    if not len(values):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(n, np.int64)
+    level = np.maximum(1, top * LEVEL[0] // LEVEL[1]).astype(np.uint64)
+    part = ((values >> np.uint64(32)) * level[owner]) >> np.uint64(32)
+    sub = ((values & np.uint64(0xFFFFFFFF)) * np.uint64(SECOND)) >> np.uint64(32)
+    first = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (owner[1:] != owner[:-1])]))
+    of, part = owner[first], part[first]
+    mixed = finalise(values)
+    sums = np.stack([np.add.reduceat(np.where(sub == j, mixed, np.uint64(0)), first) for j in range(SECOND)])
+    held = np.stack([np.bitwise_or.reduceat(sub == j, first) for j in range(SECOND)])
+    full = held.sum(0) > LEFT_OUT
+    per_set = np.bincount(of, full, n).astype(np.int64)
+    # the full partitions of the same set before this one
+    before = np.cumsum(full) - full - (np.cumsum(per_set) - per_set)[of]
+    chosen = np.flatnonzero(before < needed[of])
+    sums, held, of, part = sums[:, chosen], held[:, chosen], of[chosen], part[chosen]
+    tag = finalise(part * np.uint64(64) + finalise(top[of].astype(np.uint64) * np.uint64(8) + np.uint64(1)))
+    out, whose = [], []
+    for k, gone in enumerate(combinations(range(SECOND), LEFT_OUT)):
+        kept = [j for j in range(SECOND) if j not in gone]
+        some = np.flatnonzero(held[kept].any(0))
+        out.append(finalise(sums[kept][:, some].sum(0, dtype=np.uint64) + finalise(tag[some] + np.uint64(k + 1))))
+        whose.append(of[some])
+    return np.concatenate(out), np.concatenate(whose), per_set
 
 
 # --- tasks over texts ---------------------------------------------------------
 
-_PROFILE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set", pa.int64()), ("sketch", pa.binary()), ("shingle", pa.int64()), ("texts", pa.int64())])
+_PROFILE = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set", pa.int64()), ("check", pa.int64()), ("sketch", pa.binary()), ("shingle", pa.int64()), ("times", pa.int64())])
+_PROFILE_DDL = "doc_id long, n long, set long, check long, sketch binary, shingle long, times long"
 
 
-def profile_task(width: int):
+def profile_task(width: int, identity: Identity):
     """Rows of documents, then counts of the shingles that recur in the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, recurring = Seen(), Recurring()
         for batch in slices(batches):
-            elements, offsets, sets = sets_of(batch.column("text"), width)
-            sketches = []
-            for i, s in enumerate(sets.tolist()):
-                own = elements[offsets[i] : offsets[i + 1]]
-                sketches.append(parity_sketch(own))
-                if len(own) and seen.new(s):
-                    recurring.add(own)
+            elements, offsets = sets_of(batch.column("text"), width)
+            sets, checks = identity.ids(elements, offsets)
+            new = seen.new(sets) & (offsets[1:] > offsets[:-1])
+            recurring.add(picked(elements, offsets, new)[0])
             nothing = pa.nulls(len(sets), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(np.diff(offsets)), pa.array(sets), pa.array(sketches, pa.binary()), nothing, nothing], schema=_PROFILE)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(np.diff(offsets)), pa.array(sets), pa.array(checks), sketches(elements, offsets, new, SKETCH_BITS), nothing, nothing], schema=_PROFILE)
         keys, counts = recurring.counted()
-        n = len(keys)
-        if n:
-            none = pa.nulls(n, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(n, pa.binary()), pa.array(keys.view(np.int64)), pa.array(counts)], schema=_PROFILE)
+        k = len(keys)
+        if k:
+            none = pa.nulls(k, pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(k, pa.binary()), pa.array(keys.view(np.int64)), pa.array(counts)], schema=_PROFILE)
 
     return run
 
 
-_POSTINGS = pa.schema([("bucket", pa.int32()), ("signatures", pa.binary()), ("sets", pa.binary())])
+_POSTINGS = pa.schema([("bucket", pa.int32()), ("signatures", pa.binary()), ("sets", pa.binary()), ("sizes", pa.binary())])
 
 
-def posting_task(width: int, ratio: tuple[int, int], common, buckets: int):
+def posting_task(width: int, ratio: Ratio, common, buckets: int, identity: Identity):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, known, sigs, owners, held = Seen(), common.value, [], [], 0
-
-        def packed():
-            s, o = np.concatenate(sigs), np.concatenate(owners)
-            bucket = ((s >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-            order = np.argsort(bucket, kind="stable")
-            s, o, bucket = s[order].astype(np.uint32), o[order], bucket[order]
-            cuts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]])
-            for k in range(0, len(cuts) - 1, 64):
-                part = range(k, min(k + 64, len(cuts) - 1))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([int(bucket[cuts[j]]) for j in part], pa.int32()),
-                        pa.array([s[cuts[j] : cuts[j + 1]].tobytes() for j in part], pa.binary()),
-                        pa.array([o[cuts[j] : cuts[j + 1]].tobytes() for j in part], pa.binary()),
-                    ],
-                    schema=_POSTINGS,
-                )
+        seen, held, pending = Seen(), 0, []
 
-        for batch in slices(batches):
-            elements, offsets, sets = sets_of(batch.column("text"), width)
-            for i, key in enumerate(sets.tolist()):
-                own = elements[offsets[i] : offsets[i + 1]]
-                if len(own) and seen.new(key):
-                    made = signatures(own, known, ratio)
-                    sigs.append(made)
-                    owners.append(np.full(len(made), key, np.int64))
-                    held += len(made)
-                if held > FLUSH:
-                    yield from packed()
-                    sigs, owners, held = [], [], 0
-        if held:
-            yield from packed()
+        def flushed():
+            sig, sets, n = (np.concatenate(x) for x in zip(*pending))
+            yield from packed_postings([sets, n], sig, buckets, _POSTINGS)
 
-    return run
-
-
-_CANDIDATES = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("gid", pa.int64()), ("size", pa.int64()), ("members", pa.list_(pa.int64()))])
-
-
-def candidate_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Groups of the sets that share a signature; the input is sorted by bucket."""
-    for sigs, sets in _by_bucket(batches):
-        order = np.lexsort((sets, sigs))
-        sigs, sets = sigs[order], sets[order]
-        keep = np.ones(len(sigs), bool)
-        keep[1:] = (sigs[1:] != sigs[:-1]) | (sets[1:] != sets[:-1])
-        sigs, sets = sigs[keep], sets[keep]
-        first = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]]))
-        size = np.diff(np.concatenate([first, [len(sigs)]]))
-        if not (size > 1).any():
-            continue
-        gid = np.add.reduceat(finalise(sets.view(np.uint64)), first)
-        first, size, gid = first[size > 1], size[size > 1], gid[size > 1]
-        _, one = np.unique(gid, return_index=True)
-        first, size, gid = first[one], size[one], gid[one].view(np.int64)
-        a, b = [sets[first[size == 2]]], [sets[first[size == 2] + 1]]
-        for f, n in zip(first[(size > 2) & (size <= SMALL_GROUP)].tolist(), size[(size > 2) & (size <= SMALL_GROUP)].tolist()):
-            for i, j in combinations(range(f, f + n), 2):
-                a.append(sets[i : i + 1])
-                b.append(sets[j : j + 1])
-        for f, n in zip(first[size > SMALL_GROUP].tolist(), size[size > SMALL_GROUP].tolist()):
-            a.append(np.full(n - 1, sets[f]))
-            b.append(sets[f + 1 : f + n])
-        a, b = np.concatenate(a), np.concatenate(b)
-        for k in range(0, len(a), 1 << 16):
-            n = len(a[k : k + (1 << 16)])
-            yield pa.RecordBatch.from_arrays([pa.array(a[k : k + n]), pa.array(b[k : k + n]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64()))], schema=_CANDIDATES)
-        for f, n, g in zip(first[size > SMALL_GROUP].tolist(), size[size > SMALL_GROUP].tolist(), gid[size > SMALL_GROUP].tolist()):
-            for k in range(f, f + n, BLOCK):
-                one_row = [pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([g]), pa.array([n]), pa.array([sets[k : min(k + BLOCK, f + n)].tolist()], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(one_row, schema=_CANDIDATES)
-
-
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    now, sigs, sets = None, [], []
-    for batch in batches:
-        for bucket, s, o in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-            if bucket != now and sigs:
-                yield np.concatenate(sigs), np.concatenate(sets)
-                sigs, sets = [], []
-            now = bucket
-            sigs.append(np.frombuffer(s.as_buffer(), np.uint32))
-            sets.append(np.frombuffer(o.as_buffer(), np.int64))
-    if sigs:
-        yield np.concatenate(sigs), np.concatenate(sets)
-
-
-# --- verification -------------------------------------------------------------
-
-_ELEMENTS = pa.schema([("set", pa.int64()), ("n", pa.int64()), ("elements", pa.binary())])
-
-
-def element_task(width: int, wanted, units=utf8):
-    """Whole sets of the units whose set's bit is on in a bitmap of fixed size."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = wanted.value, Seen()
         for batch in slices(batches):
-            elements, offsets, sets = sets_of(batch.column("text"), width, units)
-            slot = sets & (BITMAP_BITS - 1)
-            hit = np.flatnonzero(((bits[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1)) == 1)
-            hit = [i for i in hit.tolist() if offsets[i + 1] > offsets[i] and seen.new(int(sets[i]))]
-            if hit:
-                yield pa.RecordBatch.from_arrays([pa.array(sets[hit]), pa.array(np.diff(offsets)[hit]), pa.array([elements[offsets[i] : offsets[i + 1]].tobytes() for i in hit], pa.binary())], schema=_ELEMENTS)
+            elements, offsets = sets_of(batch.column("text"), width)
+            sets, _ = identity.ids(elements, offsets)
+            new = (offsets[1:] > offsets[:-1]) & seen.new(sets)
+            if not new.any():
+                continue
+            sig, of = signatures(*picked(elements, offsets, new), common.value, ratio)
+            pending.append((sig, sets[new][of], np.diff(offsets)[new][of].astype(np.uint32)))
+            held += len(sig)
+            if held > FLUSH:
+                yield from flushed()
+                pending, held = [], 0
+        if pending:
+            yield from flushed()
 
     return run
 
 
-def verify_task(ratio: tuple[int, int]):
+def candidate_task(ratio: Ratio):
+    """Groups of the sets that share a signature; the input is sorted by bucket."""
     num, den = ratio
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                good.append(den * both >= num * (len(x) + len(y) - both))
-            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+        for sigs, sets, n in by_bucket(batches, [np.uint32, np.int64, np.uint32]):
+            first, size = groups_of(sigs)
+            i, j = small_pairs(first, size)
+            x, y = n[i].astype(np.int64), n[j].astype(np.int64)
+            fits = np.minimum(x, y) * den >= np.maximum(x, y) * num
+            yield from pair_batches(sets[i[fits]], sets[j[fits]])
+            yield from group_batches(sets, first[size > SMALL_GROUP], size[size > SMALL_GROUP])
 
     return run
 
 
-def _elements(spark: SparkSession, texts: DataFrame, pairs: DataFrame, width: int, units=utf8) -> DataFrame:
-    """Sets that occur in pairs.  The bitmap has a fixed size, whatever the input."""
-    slot = f"(s & {BITMAP_BITS - 1})"
-    words = pairs.select(F.explode(F.array("a", "b")).alias("s")).selectExpr(f"shiftright({slot}, 6) AS w", f"shiftleft(1L, CAST({slot} & 63 AS INT)) AS v")
-    found = words.groupBy("w").agg(F.bit_or("v").alias("v")).toPandas()
-    bits = np.zeros(BITMAP_BITS // 64, np.uint64)
-    bits[found.w.to_numpy(np.int64)] = found.v.to_numpy(np.int64).view(np.uint64)
-    wanted = spark.sparkContext.broadcast(bits)
-    made = texts.mapInArrow(element_task(width, wanted, units), "set long, n long, elements binary")
-    return made.groupBy("set").agg(F.first("n").alias("n"), F.first("elements").alias("elements"))
-
-
-def possible_task(ratio: tuple[int, int]):
-    num, den = ratio
+# --- the rest of large groups -------------------------------------------------
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-            good = np.minimum(na, nb) * den >= np.maximum(na, nb) * num
-            fits = np.flatnonzero(good)
-            sa, sb = (batch.column(c).take(pa.array(fits)).to_pylist() for c in ("sa", "sb"))
-            for k, x, y in zip(fits.tolist(), sa, sb):
-                x, y = (np.frombuffer(v, np.uint64) for v in ((x, y) if len(x) >= len(y) else (y, x)))
-                x = x if len(x) == len(y) else x[: len(y)] ^ x[len(y) :]
-                good[k] = int(np.bitwise_count(x ^ y).sum()) <= (na[k] + nb[k]) * (den - num) // (den + num)
-            yield batch.select(["a", "b"]).filter(pa.array(good))
 
-    return run
-
-
-def verified(spark: SparkSession, tables: Tables, name: str, texts: DataFrame, pairs: DataFrame, info: DataFrame, width: int, ratio: tuple[int, int], units=utf8) -> DataFrame:
-    """The pairs (a, b) of sets that reach the threshold, as a written table."""
-    sketched = pairs.join(info.toDF("a", "na", "sa"), "a").join(info.toDF("b", "nb", "sb"), "b")
-    pairs = tables.write(sketched.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(possible_task(ratio), "a long, b long"), f"{name}-possible")
-    elements = tables.write(_elements(spark, texts, pairs, width, units), f"{name}-elements")
-    fitting = pairs.toDF("x", "y")
-    both = fitting.join(elements.select(F.col("set").alias("x"), F.col("elements").alias("ex")), "x").join(elements.select(F.col("set").alias("y"), F.col("elements").alias("ey")), "y").select("x", "y", "ex", "ey")
-    good = both.mapInArrow(verify_task(ratio), "x long, y long")
-    out = tables.write(good.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), f"{name}-links")
-    tables.drop(f"{name}-elements")
-    return out
-
-
-def sorted_groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Whole groups of a partition that is sorted by ``keys``."""
-    kept = None
-    for frame in frames:
-        frame = frame if kept is None else pd.concat([kept, frame], ignore_index=True)
-        end = (frame[keys] == frame[keys].iloc[-1]).all(axis=1)
-        kept = frame[end]
-        for _, g in frame[~end].groupby(keys, sort=False):
-            yield g
-    if kept is not None and len(kept):
-        yield kept
-
-
-def rest_task(ratio: tuple[int, int], forest: bool):
+def rest_task(ratio: Ratio, forest: bool):
     """Open pairs of each block of a large group, or a spanning forest of them."""
-    num, den = ratio
 
-    def block(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("n", kind="stable")
-        n, comp, s, side = g.n.to_numpy(), g.comp.to_numpy(), g.set.to_numpy(), g.side.to_numpy()
-        i = np.arange(len(g))
-        a, b, _ = Sketches(g.sketch.tolist()).near(i, i + 1, np.searchsorted(n, n * den // num, "right"), n, ratio)
-        open_ = (comp[a] != comp[b]) & ((side[a] != side[b]) | (side[a] == 2)) & ~told_before(s, a, b, g.refuted.tolist())
-        a, b = a[open_], b[open_]
-        if forest:
-            a, b = spanning_forest(a, b, comp)
-        return pd.DataFrame({"gid": g.gid.iloc[0], "p": g.p.iloc[0], "q": g.q.iloc[0], "a": np.minimum(s[a], s[b]), "b": np.maximum(s[a], s[b])})
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in sorted_groups(frames, ["gid", "p", "q"]):
-            yield block(g)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, group in whole_groups(batches, ["gid", "p", "q"]):
+            table = table.combine_chunks()
+            n, comp, side, s = (table.column(c).to_numpy() for c in ("n", "comp", "side", "set"))
+            order = np.lexsort((n, group))
+            n, comp, side, s, group = n[order], comp[order], side[order], s[order], group[order]
+            made = Sketches(table.column("sketch").take(pa.array(order)))
+            open_ = lambda i, j: (comp[i] != comp[j]) & ((side[i] != side[j]) | (side[i] == 2))
+            for i, j, _ in near_pairs(group, n, made, ratio, open_):
+                if forest:
+                    i, j = spanning_forest(i, j, comp)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(s[i], s[j])), pa.array(np.maximum(s[i], s[j]))], names=["a", "b"])
 
     return run
 
 
-def told_before(s: np.ndarray, a: np.ndarray, b: np.ndarray, refuted: list) -> np.ndarray:
-    """Whether verification has refuted the pairs (a, b)."""
-    out = np.zeros(len(a), bool)
-    for i in np.unique(a).tolist():
-        if refuted[i] is not None and len(refuted[i]):
-            own = a == i
-            out[own] = np.isin(s[b[own]], refuted[i])
-    return out
-
-
 def spanning_forest(a: np.ndarray, b: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Those of the edges (a, b) that join components, hubs first."""
     degree = np.bincount(a, minlength=len(comp)) + np.bincount(b, minlength=len(comp))
-    root = {c: c for c in comp.tolist()}
+    order = np.argsort(-np.maximum(degree[a], degree[b]), kind="stable")
+    lo, hi = np.minimum(comp[a], comp[b])[order], np.maximum(comp[a], comp[b])[order]
+    # of the edges between two components only the first one counts
+    at = np.lexsort((np.arange(len(lo)), hi, lo))
+    first = np.ones(len(at), bool)
+    first[1:] = (lo[at][1:] != lo[at][:-1]) | (hi[at][1:] != hi[at][:-1])
+    root: dict[int, int] = {}
 
     def find(c: int) -> int:
-        while root[c] != c:
+        while root.setdefault(c, c) != c:
             root[c] = root[root[c]]
             c = root[c]
         return c
 
     kept = []
-    for k in np.argsort(-np.maximum(degree[a], degree[b]), kind="stable").tolist():
-        x, y = find(int(comp[a[k]])), find(int(comp[b[k]]))
+    for k in np.sort(at[first]).tolist():
+        x, y = find(int(lo[k])), find(int(hi[k]))
         if x != y:
             root[x] = y
-            kept.append(k)
+            kept.append(order[k])
     return a[kept], b[kept]
 
 
-def _rest(groups: DataFrame, info: DataFrame, comps: DataFrame, refuted: DataFrame, ratio: tuple[int, int], forest: bool, live: DataFrame | None) -> DataFrame:
-    """Pairs across components inside the large groups, with the block that gave
-    them.  ``live``: blocks of the round before; what gave nothing then won't."""
-    members = groups.select("gid", "size", F.explode("members").alias("set")).distinct()
+def _rest(groups: DataFrame, info: DataFrame, comps: DataFrame, ratio: Ratio, forest: bool) -> DataFrame:
+    """Distinct possible pairs (a, b) across components inside the large groups."""
+    members = groups.select("gid", "size", F.explode("members").alias("set"))
     members = members.join(comps, "set", "left").withColumn("comp", F.coalesce("comp", "set"))
     mixed = members.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gid")
-    no = refuted.groupBy(F.col("a").alias("set")).agg(F.collect_list("b").alias("refuted"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("set"), blocks).cast("int")
-    rows = members.join(mixed, "gid").join(info, "set").join(no, "set", "left").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("gid", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int")).alias("side"), "set", "n", "comp", "sketch", "refuted")
-    rows = rows if live is None else rows.join(live, ["gid", "p", "q"], "left_semi")
-    return rows.repartition("gid", "p", "q").sortWithinPartitions("gid", "p", "q").mapInPandas(rest_task(ratio, forest), "gid long, p int, q int, a long, b long")
+    rows = within(members, mixed).join(info.select("set", "n", "sketch"), "set")
+    return blocks(rows).mapInArrow(rest_task(ratio, forest), "a long, b long").distinct()
 
 
-def similar_documents(spark: SparkSession, docs: DataFrame, width: int = 5, ratio: tuple[int, int] = (3, 4)) -> DataFrame:
+def similar_documents(spark: SparkSession, docs: DataFrame, width: int = 5, ratio: Ratio = (3, 4), id_bits: int = 64) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
+    check_ratio(ratio)
     tables, docs = Tables(spark, "ngram-join"), only(docs, "doc_id", "text")
     texts = docs.select("text")
-    profile = tables.write(docs.mapInArrow(profile_task(width), "doc_id long, n long, set long, sketch binary, shingle long, texts long"), "profile")
-    rows = profile.where("set is not null").select("doc_id", "n", "set", "sketch")
-    common = profile.where("shingle is not null").groupBy("shingle").agg(F.sum("texts").alias("texts")).where(F.col("texts") >= COMMON_MIN).orderBy(F.desc("texts"), "shingle").limit(COMMON_MOST).toPandas()
-    total = rows.agg(F.sum(F.col("n"))).first()[0] or 0
-    buckets = max(partitions_for(spark), int(total * 0.45 / BUCKET_POSTINGS))
-    handle = spark.sparkContext.broadcast(np.sort(common.shingle.to_numpy(np.int64).view(np.uint64)))
-    postings = docs.select("text").mapInArrow(posting_task(width, ratio, handle, buckets), "bucket int, signatures binary, sets binary")
-    found = tables.write(postings.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(candidate_task, "a long, b long, gid long, size long, members array<long>"), "candidates")
-    pairs = found.where("a is not null").select("a", "b").distinct()
-    info = tables.write(rows.where("n > 0").groupBy("set").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "info")
-    links = verified(spark, tables, "first", texts, pairs, info, width, ratio)
-    groups = found.where("gid is not null")
+
+    def write(identity: Identity) -> DataFrame:
+        return tables.write(docs.mapInArrow(profile_task(width, identity), _PROFILE_DDL), f"profile-{len(identity.collided)}")
+
+    profile, rows, identity = settled(write, id_bits)
+    table = common_table(profile.where("shingle is not null"))
+    rows = rows.select("doc_id", "n", "set", "sketch")
+    info = tables.write(rows.where("n > 0").groupBy("set").agg(F.first("n").alias("n"), F.first("sketch", ignorenulls=True).alias("sketch"), F.min("doc_id").alias("first"), F.count("*").alias("copies")), "info")
+    total = info.agg(F.sum("n")).first()[0] or 0
+    buckets = max(partitions_for(spark), int(total / BUCKET_POSTINGS))
+    handle = spark.sparkContext.broadcast(table)
+    postings = texts.mapInArrow(posting_task(width, ratio, handle, buckets, identity), "bucket int, signatures binary, sets binary, sizes binary")
+    found = tables.write(postings.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(candidate_task(ratio), CANDIDATES_DDL), "candidates")
+    verifier = Verifier(spark, tables, texts, info, width, ratio, identity)
+    links = verifier.links(verifier.possible(found.where("a is not null").select("a", "b").distinct(), "first"), "first")
+    groups = tables.write(found.where("gid is not null").select("gid", "size", "members").distinct(), "groups")
     comps = components(spark, tables, "first", links)
-    refuted = spark.createDataFrame([], "a long, b long")
-    live = None
-    for step in range(FOREST_ROUNDS + 1):
-        found = tables.write(_rest(groups, info, comps, refuted, ratio, step < FOREST_ROUNDS, live), f"rest-{step}")
-        if not found.limit(1).count():
-            break
-        live, rest = found.select("gid", "p", "q").distinct(), found.select("a", "b").distinct()
-        more = verified(spark, tables, f"rest-{step}", texts, rest, info, width, ratio)
-        links = links.union(more)
-        comps = components(spark, tables, f"rest-{step}", links)
-        # in both directions, as a set's list serves whichever end it is
-        told = rest.join(more, ["a", "b"], "left_anti")
-        refuted = refuted.union(told).union(told.select("b", "a"))
-    first = rows.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("first"))
-    named = first.join(comps, "set", "left").withColumn("comp", F.coalesce("comp", "set"))
+    tables.drop("candidates", "first-possible")
+    if groups.limit(1).count():
+        forest = tables.write(_rest(groups, info, comps, ratio, True), "forest")
+        more = verifier.links(forest, "forest")
+        comps = components(spark, tables, "second", links.union(more))
+        rest = tables.write(_rest(groups, info, comps, ratio, False).join(forest, ["a", "b"], "left_anti"), "rest")
+        if rest.limit(1).count():
+            last = verifier.links(rest, "rest")
+            comps = components(spark, tables, "third", links.union(more).union(last))
+        tables.drop("forest", "rest", "groups")
+    named = info.select("set", "first", "copies").join(comps, "set", "left").withColumn("comp", F.coalesce("comp", "set"))
+    hot = hot_values(comps, "comp")
     lowest = named.groupBy("comp").agg(F.min("first").alias("component_id"))
-    by_set = named.join(lowest, "comp").select("set", "component_id")
-    filled = rows.where("n > 0").join(by_set, "set").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    by_set = salted_join(named, lowest, "comp", hot, "set").select("set", "component_id")
+    hot = hot_values(info, "set", "copies")
+    filled = salted_join(rows.where("n > 0"), by_set, "set", hot, "doc_id").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return filled.union(rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))

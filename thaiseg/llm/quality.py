@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytekernel import FOLDED, Words, finalise, slices, utf8
+from .bytekernel import Words, finalise, slices, utf8
 from .storage import Tables, only
 from .toxicity import fold, language_table, word_rows
 
@@ -100,7 +100,7 @@ def statistics(column: pa.Array) -> np.ndarray:
     """A row of STATISTICS for each text; shares are of bytes, words or lines."""
     raw, offsets = utf8(column)
     n = len(offsets) - 1
-    w = Words(raw, offsets, FOLDED)
+    w = Words(raw, offsets)
     size, words = np.diff(offsets), w.counts
     counted = np.zeros((256, len(_CLASSES)), bool)
     for j, own in enumerate(_CLASSES.values()):

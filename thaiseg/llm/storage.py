@@ -5,14 +5,21 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A key with more than one in HOT_PARTS of all rows (and HOT_LEAST rows) is hot
+#: and dealt over SALTS tasks; so there are HOT_PARTS hot keys at most.
+HOT_PARTS, HOT_LEAST, SALTS = 500, 256, 64
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder where it is unset (tests)."""
+    """``spark.checkpoint.dir``, which every executor must reach; ValueError where
+    it is unset, except on a local master, which has but one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="thaiseg-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
@@ -45,6 +52,27 @@ class Tables:
             path.getFileSystem(conf).delete(path, True)
 
 
+def hot_values(rows: DataFrame, key: str, weight: str | None = None) -> list[int]:
+    """The hot keys of ``rows``, by number of rows or sum of ``weight``: HOT_PARTS at most."""
+    counts = rows.groupBy(key).agg((F.count("*") if weight is None else F.sum(weight)).alias("rows_of_key"))
+    total = rows.agg(F.count("*") if weight is None else F.sum(weight)).first()[0] or 0
+    return [r[0] for r in counts.where(F.col("rows_of_key") > max(HOT_LEAST, total // HOT_PARTS)).select(key).collect()]
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, hot: list[int], *by: str, how: str = "inner") -> DataFrame:
+    """Joins on ``key``, with the rows of hot keys on the left dealt by ``by`` and
+    copied on the right, where a key has one row."""
+    if not hot:
+        return left.join(right, key, how)
+
+    def is_hot() -> Column:
+        return F.coalesce(F.col(key).isin(hot), F.lit(False))
+
+    left = left.withColumn("_salt", F.when(is_hot(), F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).otherwise(0))
+    right = right.withColumn("_salt", F.explode(F.when(is_hot(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
 def partitions_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

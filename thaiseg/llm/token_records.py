@@ -42,15 +42,13 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytekernel import EXACT, Words, slices, utf8
+from .bytekernel import Words, exact, not_blank, slices, utf8
 from .storage import new_folder, only, partitions_for
 
 END_ID = 0
 MEMO_MOST = 1 << 20
 ROWS_PER_SHARD = 20_000
 _MASK = 0xA282EAD8
-_SPACE = np.zeros(256, bool)
-_SPACE[0x20] = True
 #: A piece with such a first byte may start with (Unicode) white space.
 _ODD = np.zeros(256, bool)
 _ODD[[*range(0x09, 0x0E), *range(0x1C, 0x21), 0xC2, 0xE1, 0xE2, 0xE3]] = True
@@ -143,12 +141,12 @@ class Encoder:
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts joined, and n + 1 offsets."""
         raw, offsets = utf8(column)
-        words = Words(raw, offsets, EXACT, _SPACE)
+        words = Words(raw, offsets, exact, not_blank)
         n = len(offsets) - 1
         # a piece is a word with the one space before it; a text's first has none
         leads = np.zeros(len(words.starts), bool)
         leads[words.first[:-1][words.counts > 0]] = True
-        spaces = np.concatenate([[0], np.cumsum(_SPACE[raw])])
+        spaces = np.concatenate([[0], np.cumsum(raw == 0x20)])
         gaps = spaces[offsets[1:]] - spaces[offsets[:-1]]
         owner = np.repeat(np.arange(n), words.counts)
         odd = (gaps != words.counts - 1) & (offsets[1:] > offsets[:-1])

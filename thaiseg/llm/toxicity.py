@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytekernel import FOLDED, PUNCTUATION, Words, slices, utf8
+from .bytekernel import Words, alphanumeric, folded, slices, utf8
 from .storage import only
 
 WIDTHS = (1, 2, 3)
@@ -71,7 +71,7 @@ class Model:
 
 def word_rows(column: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Embedding rows (word and prefixes) of all words, and words by text."""
-    w = Words(*utf8(column), FOLDED, PUNCTUATION)
+    w = Words(*utf8(column), folded, alphanumeric)
     rows = np.full((len(w.hashes), 1 + len(PREFIXES)), buckets, np.int32)
     rows[:, 0] = w.hashes % np.uint64(buckets)
     for j, size in enumerate(PREFIXES, 1):
