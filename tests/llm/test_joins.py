@@ -115,21 +115,19 @@ def test_signatures_of_similar_sets_meet():
             sets = [a, *at_threshold(rng, a)]
             made = signatures(sets)
             assert all(made[0] & m for m in made[1:])
-    # the two-level case does most of it: without the sparse one, sets of full partitions still meet
-    a = np.unique(rng.integers(0, 1 << 63, 600, dtype=np.uint64) * np.uint64(2))
-    assert len(signatures([a])[0]) < 2 * len(a)
 
 
-def test_two_level_signatures_alone():
-    """Of sets that have enough partitions each subset signature is of two or more shingles on average."""
+@pytest.mark.parametrize("plan", [*ngram_join.PLANS, ngram_join.Plan(1 << 62, (1, 6), 5, 2)])
+def test_subset_signatures_alone(plan):
+    """Similar sets that have enough partitions share a subset, without the finest case."""
     rng = np.random.default_rng(12)
     a = np.unique(rng.integers(0, 1 << 63, 1000, dtype=np.uint64) * np.uint64(2))
     for b in at_threshold(rng, a):
         values = np.concatenate([a, b])
         owner = np.repeat([0, 1], [len(a), len(b)])
-        n = np.array([len(a), len(b)])
-        sig, of, full = ngram_join._two_level(values, owner, np.array([1024, 1024]), n // 3 // 2 + 1, 2)
-        assert (full >= n // 3 // 2 + 1).all() and set(sig[of == 0].tolist()) & set(sig[of == 1].tolist())
+        needed = np.array([len(a), len(b)]) // 3 // (plan.left_out + 1) + 1
+        sig, of, full = ngram_join.subset_signatures(values, owner, np.array([1024, 1024]), needed, plan)
+        assert (full >= needed).any() and set(sig[of == 0].tolist()) & set(sig[of == 1].tolist())
 
 
 def test_common_shingles_keep_the_guarantee():

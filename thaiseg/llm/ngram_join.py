@@ -7,20 +7,22 @@ Jaccard similarity reaches the threshold (3/4).  The join is exact:
    partner in the next band is signed for that band as well, so any two
    sufficiently similar sets meet in one band.
 2. *Partitions.*  A band cuts the domain of shingle hashes into n1 first-level
-   partitions of 3 to 4 shingles of a set of size B, and each of these into
-   n2 = 3 second-level ones.  Similar sets of sizes a <= b differ in at most
-   k = floor(a / 3) shingles.  Of any floor(k / 2) + 1 first-level partitions,
-   one has at most k2 = 1 shingle that differs; so one of the C(n2, k2) subsets of
-   n2 - k2 of its second-level partitions holds the same shingles in both sets.
-   A set enumerates these subsets as signatures, for its partitions in order
-   up to the (floor(k / 2) + 1)-th that has shingles in two or more second-level
+   partitions, and each of these into n2 second-level ones.  Similar sets of
+   sizes a <= b differ in at most k = floor(a / 3) shingles.  Of any
+   floor(k / (k2 + 1)) + 1 first-level partitions, one has at most k2 shingles that
+   differ; so one of the C(n2, k2) subsets of n2 - k2 of its second-level
+   partitions holds the same shingles in both sets.  A set enumerates these
+   subsets as signatures, for its partitions in order up to the
+   (floor(k / (k2 + 1)) + 1)-th that has shingles in more than k2 second-level
    ones.  The order is of the partitions that either set has, so both see the
-   same one: its place among a set's own can't be later.
+   same one: its place among a set's own can't be later.  PLANS has n1, n2, k2 by
+   band: subsets of two of three up to SUBSETS_TO shingles, and one-level
+   partitions beyond, where subsets cost twice the postings for as many candidates.
 3. *Sparse sets.*  Of two similar sets without so many such partitions between
-   them, neither has them alone.  Such sets enumerate the one-level case as
-   well (n1 = the domain, k2 = 0): k + 1 shingles, the rarest first.  Shingles
-   that very many texts share belong to this case alone and come last in it,
-   so that a shared passage signs hardly any text.
+   them, neither has them alone.  Such sets enumerate the finest case as
+   well (a partition for each hash, k2 = 0): k + 1 shingles, the rarest first.
+   Shingles that very many texts share belong to this case alone and come last
+   in it, so that a shared passage signs hardly any text.
 4. *Candidates.*  Postings (signature, set) travel as packed arrays to the task
    that owns the signature.  Small groups give all their pairs; large groups
    give the pairs with one of their members and are kept.  Pairs stay if sizes
@@ -45,6 +47,7 @@ threshold below 1/2 raises ValueError.  Sets are known by 128 bits, shingles by
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -57,10 +60,20 @@ from .components import components
 from .set_pairs import BUCKET_POSTINGS, CANDIDATES_DDL, FLUSH, SMALL_GROUP, Common, Identity, Ratio, Recurring, Seen, Sketches, Verifier, blocks, by_bucket, check_ratio, common_table, group_batches, groups_of, near_pairs, packed_postings, pair_batches, picked, rarest, sets_of, settled, sketches, small_pairs, whole_groups, within
 from .storage import Tables, hot_values, only, partitions_for, salted_join
 
-#: Second-level partitions, and how many of them a subset leaves out.
-SECOND, LEFT_OUT = 3, 1
-#: First-level partitions of a band of sets up to B: B * LEVEL[0] // LEVEL[1].
-LEVEL = (2, 7)
+
+@dataclass(frozen=True)
+class Plan:
+    """How a band of sets of up to B shingles is partitioned: n1 = B * level[0] //
+    level[1], n2 = second, k2 = left_out."""
+
+    to: int
+    level: tuple[int, int]
+    second: int
+    left_out: int
+
+
+SUBSETS_TO = 256
+PLANS = (Plan(SUBSETS_TO, (2, 7), 3, 1), Plan(1 << 62, (1, 2), 1, 0))
 SKETCH_BITS = 1 << 10
 
 
@@ -73,50 +86,55 @@ def signatures(elements: np.ndarray, offsets: np.ndarray, common: Common, ratio:
     sizes = np.diff(offsets)
     # |A ^ B| <= (a + b)(1 - 2 j / (1 + j)) with b <= a / j, hence a (1 - j) / j
     differing = sizes * (den - num) // num
-    needed = differing // (LEFT_OUT + 1) + 1
     band = (1 << np.ceil(np.log2(sizes)).astype(np.int64)).astype(np.int64)
     ranks = common.rank(elements)
     owner = np.repeat(np.arange(len(sizes)), sizes)
     rare, owners = elements[ranks < 0], owner[ranks < 0]
     out, whose = [], []
     for top, inside in ((band, np.ones(len(sizes), bool)), (2 * band, sizes * den // num > band)):
-        own = inside[owners]
-        sig, of, full = _two_level(rare[own], owners[own], top, needed, len(sizes))
-        out.append(sig)
-        whose.append(of)
-        # sets that lack partitions, for their partners that lack them too
-        short = inside & (full < needed)
-        values, at = picked(elements, offsets, short)
-        value, of = rarest(values, at, ranks[np.repeat(short, sizes)], differing[short] + 1)
-        of = np.flatnonzero(short)[of]
-        out.append(finalise(value + finalise(top[of].astype(np.uint64) * np.uint64(8))))
-        whose.append(of)
+        least = 0
+        for plan in PLANS:
+            now = inside & (top > least) & (top <= plan.to)
+            least = plan.to
+            if not now.any():
+                continue
+            own = now[owners]
+            needed = differing // (plan.left_out + 1) + 1
+            sig, of, full = subset_signatures(rare[own], owners[own], top, needed, plan)
+            # sets that lack partitions, for their partners that lack them too
+            short = now & (full < needed)
+            values, at = picked(elements, offsets, short)
+            value, place = rarest(values, at, ranks[np.repeat(short, sizes)], differing[short] + 1)
+            place = np.flatnonzero(short)[place]
+            out += [sig, finalise(value + finalise(top[place].astype(np.uint64) * np.uint64(8)))]
+            whose += [of, place]
     return np.concatenate(out), np.concatenate(whose)
 
 
-def _two_level(values: np.ndarray, owner: np.ndarray, top: np.ndarray, needed: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def subset_signatures(values: np.ndarray, owner: np.ndarray, top: np.ndarray, needed: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Signatures of the subsets, their owners, and how many partitions each set
-    has with shingles in more than LEFT_OUT second-level ones."""
+    has with shingles in more than ``left_out`` second-level ones."""
     if not len(values):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(n, np.int64)
-    level = np.maximum(1, top * LEVEL[0] // LEVEL[1]).astype(np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(top), np.int64)
+    n2 = plan.second
+    level = np.maximum(1, top * plan.level[0] // plan.level[1]).astype(np.uint64)
     part = ((values >> np.uint64(32)) * level[owner]) >> np.uint64(32)
-    sub = ((values & np.uint64(0xFFFFFFFF)) * np.uint64(SECOND)) >> np.uint64(32)
+    sub = ((values & np.uint64(0xFFFFFFFF)) * np.uint64(n2)) >> np.uint64(32)
     first = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (owner[1:] != owner[:-1])]))
     of, part = owner[first], part[first]
     mixed = finalise(values)
-    sums = np.stack([np.add.reduceat(np.where(sub == j, mixed, np.uint64(0)), first) for j in range(SECOND)])
-    held = np.stack([np.bitwise_or.reduceat(sub == j, first) for j in range(SECOND)])
-    full = held.sum(0) > LEFT_OUT
-    per_set = np.bincount(of, full, n).astype(np.int64)
+    sums = np.stack([np.add.reduceat(np.where(sub == j, mixed, np.uint64(0)), first) for j in range(n2)])
+    held = np.stack([np.bitwise_or.reduceat(sub == j, first) for j in range(n2)])
+    full = held.sum(0) > plan.left_out
+    per_set = np.bincount(of, full, len(top)).astype(np.int64)
     # the full partitions of the same set before this one
     before = np.cumsum(full) - full - (np.cumsum(per_set) - per_set)[of]
     chosen = np.flatnonzero(before < needed[of])
     sums, held, of, part = sums[:, chosen], held[:, chosen], of[chosen], part[chosen]
     tag = finalise(part * np.uint64(64) + finalise(top[of].astype(np.uint64) * np.uint64(8) + np.uint64(1)))
     out, whose = [], []
-    for k, gone in enumerate(combinations(range(SECOND), LEFT_OUT)):
-        kept = [j for j in range(SECOND) if j not in gone]
+    for k, gone in enumerate(combinations(range(n2), plan.left_out)):
+        kept = [j for j in range(n2) if j not in gone]
         some = np.flatnonzero(held[kept].any(0))
         out.append(finalise(sums[kept][:, some].sum(0, dtype=np.uint64) + finalise(tag[some] + np.uint64(k + 1))))
         whose.append(of[some])
@@ -150,6 +168,8 @@ def profile_task(width: int, identity: Identity):
     return run
 
 
+#: Sizes from this on are not known exactly.
+_SIZE_MOST = 65535
 _POSTINGS = pa.schema([("bucket", pa.int32()), ("signatures", pa.binary()), ("sets", pa.binary()), ("sizes", pa.binary())])
 
 
@@ -168,7 +188,7 @@ def posting_task(width: int, ratio: Ratio, common, buckets: int, identity: Ident
             if not new.any():
                 continue
             sig, of = signatures(*picked(elements, offsets, new), common.value, ratio)
-            pending.append((sig, sets[new][of], np.diff(offsets)[new][of].astype(np.uint32)))
+            pending.append((sig, sets[new][of], np.minimum(np.diff(offsets)[new], _SIZE_MOST)[of].astype(np.uint16)))
             held += len(sig)
             if held > FLUSH:
                 yield from flushed()
@@ -184,11 +204,11 @@ def candidate_task(ratio: Ratio):
     num, den = ratio
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for sigs, sets, n in by_bucket(batches, [np.uint32, np.int64, np.uint32]):
+        for sigs, sets, n in by_bucket(batches, [np.uint32, np.int64, np.uint16]):
             first, size = groups_of(sigs)
             i, j = small_pairs(first, size)
             x, y = n[i].astype(np.int64), n[j].astype(np.int64)
-            fits = np.minimum(x, y) * den >= np.maximum(x, y) * num
+            fits = (np.minimum(x, y) * den >= np.maximum(x, y) * num) | (np.maximum(x, y) == _SIZE_MOST)
             yield from pair_batches(sets[i[fits]], sets[j[fits]])
             yield from group_batches(sets, first[size > SMALL_GROUP], size[size > SMALL_GROUP])
 
@@ -266,7 +286,7 @@ def similar_documents(spark: SparkSession, docs: DataFrame, width: int = 5, rati
     rows = rows.select("doc_id", "n", "set", "sketch")
     info = tables.write(rows.where("n > 0").groupBy("set").agg(F.first("n").alias("n"), F.first("sketch", ignorenulls=True).alias("sketch"), F.min("doc_id").alias("first"), F.count("*").alias("copies")), "info")
     total = info.agg(F.sum("n")).first()[0] or 0
-    buckets = max(partitions_for(spark), int(total / BUCKET_POSTINGS))
+    buckets = max(partitions_for(spark), int(total * 0.6 / BUCKET_POSTINGS))
     handle = spark.sparkContext.broadcast(table)
     postings = texts.mapInArrow(posting_task(width, ratio, handle, buckets, identity), "bucket int, signatures binary, sets binary, sizes binary")
     found = tables.write(postings.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(candidate_task(ratio), CANDIDATES_DDL), "candidates")
