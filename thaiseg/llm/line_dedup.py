@@ -35,8 +35,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytekernel import finalise, slices, utf8
-from .set_pairs import BUCKET_POSTINGS, CANDIDATES_DDL, FLUSH, SMALL_GROUP, Identity, Ratio, Recurring, Seen, Sketches, Verifier, blocks, by_bucket, check_ratio, common_table, group_batches, groups_of, near_pairs, packed_postings, pair_batches, picked, rarest, sets_of, settled, sketches, small_pairs, whole_groups, within
-from .storage import Tables, hot_values, only, partitions_for, salted_join
+from .set_pairs import BUCKET_POSTINGS, CANDIDATES_DDL, FLUSH, SMALL_GROUP, Identity, Ratio, Recurring, Seen, Sketches, Verifier, blocks, by_bucket, check_ratio, common_table, first_pairs, group_batches, groups_of, near_pairs, packed_postings, pair_batches, picked, rarest, sets_of, settled, sketches, small_pairs, whole_groups, within
+from .storage import Tables, hot_values, only, salted_join
 
 SKETCH = 256
 _FIRST = -(1 << 63)
@@ -241,11 +241,11 @@ def removed_lines(spark: SparkSession, docs: DataFrame, width: int = 5, ratio: R
     info = rows.groupBy("set").agg(F.first("n").alias("n"), F.first("sketch", ignorenulls=True).alias("sketch"), F.min(at).alias("at"), F.count("*").alias("copies"))
     info = tables.write(info.select("set", "n", "sketch", "at.*", "copies"), "info")
     total = info.agg(F.sum("n")).first()[0] or 0
-    buckets = max(partitions_for(spark), int(total * 0.3 / BUCKET_POSTINGS))
+    buckets = max(1, int(total * 0.3 / BUCKET_POSTINGS))
     postings = texts.mapInArrow(posting_task(width, ratio, handle, buckets, identity), "bucket int, signatures binary, sets binary, places binary")
     found = tables.write(postings.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(candidate_task(ratio), CANDIDATES_DDL), "candidates")
     verifier = Verifier(spark, tables, texts, info, width, ratio, identity, lines)
-    links = verifier.links(verifier.possible(found.where("a is not null").select("a", "b").distinct(), "first"), "first")
+    links = verifier.links(verifier.possible(first_pairs(found), "first"), "first")
     matched = tables.write(_matched(links, info), "matched")
     groups = tables.write(found.where("gid is not null").select("gid", "size", "members").distinct(), "groups")
     tables.drop("candidates", "first-possible")

@@ -57,8 +57,8 @@ from pyspark.sql import functions as F
 
 from .bytekernel import finalise, slices
 from .components import components
-from .set_pairs import BUCKET_POSTINGS, CANDIDATES_DDL, FLUSH, SMALL_GROUP, Common, Identity, Ratio, Recurring, Seen, Sketches, Verifier, blocks, by_bucket, check_ratio, common_table, group_batches, groups_of, near_pairs, packed_postings, pair_batches, picked, rarest, sets_of, settled, sketches, small_pairs, whole_groups, within
-from .storage import Tables, hot_values, only, partitions_for, salted_join
+from .set_pairs import BUCKET_POSTINGS, CANDIDATES_DDL, FLUSH, SMALL_GROUP, Common, Identity, Ratio, Recurring, Seen, Sketches, Verifier, blocks, by_bucket, check_ratio, common_table, first_pairs, group_batches, groups_of, near_pairs, packed_postings, pair_batches, picked, rarest, sets_of, settled, sketches, small_pairs, whole_groups, within
+from .storage import Tables, hot_values, only, salted_join
 
 
 @dataclass(frozen=True)
@@ -286,12 +286,12 @@ def similar_documents(spark: SparkSession, docs: DataFrame, width: int = 5, rati
     rows = rows.select("doc_id", "n", "set", "sketch")
     info = tables.write(rows.where("n > 0").groupBy("set").agg(F.first("n").alias("n"), F.first("sketch", ignorenulls=True).alias("sketch"), F.min("doc_id").alias("first"), F.count("*").alias("copies")), "info")
     total = info.agg(F.sum("n")).first()[0] or 0
-    buckets = max(partitions_for(spark), int(total * 0.6 / BUCKET_POSTINGS))
+    buckets = max(1, int(total * 0.6 / BUCKET_POSTINGS))
     handle = spark.sparkContext.broadcast(table)
     postings = texts.mapInArrow(posting_task(width, ratio, handle, buckets, identity), "bucket int, signatures binary, sets binary, sizes binary")
     found = tables.write(postings.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(candidate_task(ratio), CANDIDATES_DDL), "candidates")
     verifier = Verifier(spark, tables, texts, info, width, ratio, identity)
-    links = verifier.links(verifier.possible(found.where("a is not null").select("a", "b").distinct(), "first"), "first")
+    links = verifier.links(verifier.possible(first_pairs(found), "first"), "first")
     groups = tables.write(found.where("gid is not null").select("gid", "size", "members").distinct(), "groups")
     comps = components(spark, tables, "first", links)
     tables.drop("candidates", "first-possible")

@@ -330,7 +330,8 @@ def pair_batches(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 
 def group_batches(sets: np.ndarray, first: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Large groups, as rows of up to BLOCK members; equal groups once."""
+    """Large groups, as rows of up to BLOCK members, with the first one as ``a``;
+    equal groups once."""
     told = set()
     gids = []
     for f, n in zip(first.tolist(), size.tolist()):
@@ -342,12 +343,11 @@ def group_batches(sets: np.ndarray, first: np.ndarray, size: np.ndarray) -> Iter
         cuts = np.append(np.arange(0, n, BLOCK), n).astype(np.int32)
         members = pa.ListArray.from_arrays(pa.array(cuts), pa.array(sets[f : f + n]))
         k = len(members)
-        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array([gid] * k), pa.array([n] * k), members], schema=CANDIDATES)
+        yield pa.RecordBatch.from_arrays([pa.array([int(sets[f])] * k), pa.nulls(k, pa.int64()), pa.array([gid] * k), pa.array([n] * k), members], schema=CANDIDATES)
 
 
 def small_pairs(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of all pairs of the small groups, and of the large groups' first
-    members with each other one."""
+    """Positions of all pairs of the small groups."""
     i, j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for n in range(2, SMALL_GROUP + 1):
         own = first[size == n]
@@ -355,12 +355,15 @@ def small_pairs(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.nda
             for y in range(x + 1, n):
                 i.append(own + x)
                 j.append(own + y)
-    large, n = first[size > SMALL_GROUP], size[size > SMALL_GROUP] - 1
-    i.append(np.repeat(large, n))
-    j.append(np.repeat(large + 1, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
     return np.concatenate(i), np.concatenate(j)
 
 
+def first_pairs(found: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b): those listed, and of large groups those with the first member."""
+    stars = found.where("gid is not null").select("a", F.explode("members").alias("b")).where("a <> b")
+    return found.where("b is not null").select("a", "b").union(stars.select(F.least("a", "b"), F.greatest("a", "b"))).distinct()
+
+
 def packed_postings(columns: list[np.ndarray], signatures: np.ndarray, buckets: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Postings as a row for each bucket: the low halves of the signatures and the
     columns, as packed arrays."""
