@@ -28,7 +28,7 @@ COMMON_MIN, COMMON_MOST = 12, 1 << 17
 #: Groups of more sets than SMALL_GROUP don't list their pairs; those of more
 #: than BLOCK are cut into blocks.
 SMALL_GROUP, BLOCK = 6, 2048
-FLUSH, BUCKET_POSTINGS = 1 << 20, 4 << 20
+FLUSH, BUCKET_POSTINGS = 1 << 20, 3 << 19
 SEEN_MOST = 1 << 18
 BITMAP_BITS = 1 << 23
 #: Rows and pairs that are looked at together.
