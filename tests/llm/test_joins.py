@@ -175,6 +175,13 @@ def test_near_pairs_of_groups_cut_anywhere(monkeypatch):
     assert got < fits and len(got) > 0.7 * len(fits)
 
 
+def test_groups_covered_by_the_signature_before():
+    before = np.array([0, 0, 5, 5, 7, 8, 8, 8, 9], np.uint64)
+    first, size = np.array([0, 2, 4, 6]), np.array([2, 2, 2, 3])
+    assert set_pairs.uncovered(before, first, size).tolist() == [True, False, True, True]
+    assert set_pairs.uncovered(before, first[:0], size[:0]).tolist() == []
+
+
 def test_hot_keys_are_dealt(spark):
     rows = spark.createDataFrame([(7, i) for i in range(4000)] + [(i, 1) for i in range(100, 900)] + [(None, 5)], "k long, v long")
     hot = storage.hot_values(rows, "k")

@@ -8,7 +8,8 @@ lines.  Whether the earlier line is itself removed makes no difference.
 1. *Rarity.*  Tokens stand rarest first: those outside the (bounded) table of
    tokens that many lines share by hash, then the table's by ascending count.
 2. *Prefix filter.*  A set of n tokens posts its first n - ceil(3n/4) + 1; two
-   similar sets share a token there.
+   similar sets share a token there.  Of a group of sets whose tokens before the
+   shared one are the same as well, nothing is taken: that token's group has it.
 3. *Length and positional filters.*  A pair goes on if its sizes allow 3/4, and
    if the tokens from the shared one on can still make up the needed overlap.
 4. *Parity sketches*, then verification on the whole sets.
@@ -35,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytekernel import finalise, slices, utf8
-from .set_pairs import BUCKET_POSTINGS, CANDIDATES_DDL, FLUSH, SMALL_GROUP, Identity, Ratio, Recurring, Seen, Sketches, Verifier, blocks, by_bucket, check_ratio, common_table, first_pairs, group_batches, groups_of, near_pairs, packed_postings, pair_batches, picked, rarest, sets_of, settled, sketches, small_pairs, whole_groups, within
+from .set_pairs import BUCKET_POSTINGS, CANDIDATES_DDL, FLUSH, SMALL_GROUP, Identity, Ratio, Recurring, Seen, Sketches, Verifier, blocks, by_bucket, check_ratio, common_table, first_pairs, group_batches, groups_of, near_pairs, packed_postings, pair_batches, picked, rarest, sets_of, settled, sketches, small_pairs, uncovered, whole_groups, within
 from .storage import Tables, hot_values, only, salted_join
 
 SKETCH = 256
@@ -102,7 +103,7 @@ def prefix_size(n, ratio: Ratio):
     return n - -(-n * num // den) + 1
 
 
-_POSTINGS = pa.schema([("bucket", pa.int32()), ("signatures", pa.binary()), ("sets", pa.binary()), ("places", pa.binary())])
+_POSTINGS = pa.schema([("bucket", pa.int32()), ("signatures", pa.binary()), ("sets", pa.binary()), ("places", pa.binary()), ("before", pa.binary())])
 
 
 def posting_task(width: int, ratio: Ratio, common, buckets: int, identity: Identity):
@@ -110,8 +111,8 @@ def posting_task(width: int, ratio: Ratio, common, buckets: int, identity: Ident
         seen, held, pending = Seen(), 0, []
 
         def flushed():
-            tokens, sets, place = (np.concatenate(x) for x in zip(*pending))
-            yield from packed_postings([sets, place], finalise(tokens ^ np.uint64(0x7F4A7C15)), buckets, _POSTINGS)
+            tokens, sets, place, before = (np.concatenate(x) for x in zip(*pending))
+            yield from packed_postings([sets, place, before], finalise(tokens ^ np.uint64(0x7F4A7C15)), buckets, _POSTINGS)
 
         for batch in slices(batches):
             elements, offsets = sets_of(batch.column("text"), width, lines)
@@ -125,7 +126,8 @@ def posting_task(width: int, ratio: Ratio, common, buckets: int, identity: Ident
             tokens, of = rarest(elements, offsets, common.value.rank(elements), prefix_size(n, ratio))
             pos = np.arange(len(of)) - np.searchsorted(of, of)
             place = (np.minimum(n[of], 65535).astype(np.uint32) << np.uint32(16)) | np.minimum(pos, 65535).astype(np.uint32)
-            pending.append((tokens, sets[new][of], place))
+            before = np.where(pos > 0, np.concatenate([tokens[:1], tokens[:-1]]), np.uint64(0))
+            pending.append((tokens, sets[new][of], place, before))
             held += len(tokens)
             if held > FLUSH:
                 yield from flushed()
@@ -147,9 +149,11 @@ def passes(na: np.ndarray, pa_: np.ndarray, nb: np.ndarray, pb: np.ndarray, rati
 
 def candidate_task(ratio: Ratio):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tokens, sets, place in by_bucket(batches, [np.uint32, np.int64, np.uint32]):
+        for tokens, sets, place, before in by_bucket(batches, [np.uint32, np.int64, np.uint32, np.uint64]):
             n, pos = (place >> np.uint32(16)).astype(np.int64), (place & np.uint32(65535)).astype(np.int64)
             first, size = groups_of(tokens)
+            more = uncovered(before, first, size)
+            first, size = first[more], size[more]
             i, j = small_pairs(first, size)
             good = passes(n[i], pos[i], n[j], pos[j], ratio)
             yield from pair_batches(sets[i[good]], sets[j[good]])
@@ -242,12 +246,13 @@ def removed_lines(spark: SparkSession, docs: DataFrame, width: int = 5, ratio: R
     info = tables.write(info.select("set", "n", "sketch", "at.*", "copies"), "info")
     total = info.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, int(total * 0.3 / BUCKET_POSTINGS))
-    postings = texts.mapInArrow(posting_task(width, ratio, handle, buckets, identity), "bucket int, signatures binary, sets binary, places binary")
+    postings = texts.mapInArrow(posting_task(width, ratio, handle, buckets, identity), "bucket int, signatures binary, sets binary, places binary, before binary")
     found = tables.write(postings.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(candidate_task(ratio), CANDIDATES_DDL), "candidates")
     verifier = Verifier(spark, tables, texts, info, width, ratio, identity, lines)
-    links = verifier.links(verifier.possible(first_pairs(found), "first"), "first")
-    matched = tables.write(_matched(links, info), "matched")
     groups = tables.write(found.where("gid is not null").select("gid", "size", "members").distinct(), "groups")
+    pairs = verifier.possible(first_pairs(found), "first")
+    verifier.prepare(pairs, groups)
+    matched = tables.write(_matched(verifier.links(pairs, "first"), info), "matched")
     tables.drop("candidates", "first-possible")
     if groups.limit(1).count():
         near = tables.write(_rest(groups, info, matched, ratio, True), "nearest")
@@ -255,7 +260,7 @@ def removed_lines(spark: SparkSession, docs: DataFrame, width: int = 5, ratio: R
         rest = tables.write(_rest(groups, info, matched, ratio, False).join(near, ["a", "b"], "left_anti"), "rest")
         if rest.limit(1).count():
             matched = tables.write(matched.union(_matched(verifier.links(rest, "rest"), info)).distinct(), "matched-rest")
-        tables.drop("nearest", "rest", "groups")
+        tables.drop("nearest", "rest", "groups", "elements")
     # of the others each line stays
     fate = info.join(matched.withColumn("matched", F.lit(True)), "set", "left").where("matched OR copies > 1").select("set", F.struct(*PLACE).alias("first"), F.col("matched").isNotNull().alias("matched"))
     hot = hot_values(info, "set", "copies")

@@ -24,7 +24,8 @@ Jaccard similarity reaches the threshold (3/4).  The join is exact:
    Shingles that very many texts share belong to this case alone and come last
    in it, so that a shared passage signs hardly any text.
 4. *Candidates.*  Postings (signature, set) travel as packed arrays to the task
-   that owns the signature.  Small groups give all their pairs; large groups
+   that owns the signature, with the set's signature before it: a group whose
+   members all have the same one before adds nothing to the group of that one.  Small groups give all their pairs; large groups
    give the pairs with one of their members and are kept.  Pairs stay if sizes
    and parity sketches leave them possible.
 5. *Verification* of pairs on the whole sets, then connected components.
@@ -55,9 +56,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytekernel import finalise, slices
+from .bytekernel import distinct_within, finalise, slices
 from .components import components
-from .set_pairs import BUCKET_POSTINGS, CANDIDATES_DDL, FLUSH, SMALL_GROUP, Common, Identity, Ratio, Recurring, Seen, Sketches, Verifier, blocks, by_bucket, check_ratio, common_table, first_pairs, group_batches, groups_of, near_pairs, packed_postings, pair_batches, picked, rarest, sets_of, settled, sketches, small_pairs, whole_groups, within
+from .set_pairs import BUCKET_POSTINGS, CANDIDATES_DDL, FLUSH, SMALL_GROUP, Common, Identity, Ratio, Recurring, Seen, Sketches, Verifier, blocks, by_bucket, check_ratio, common_table, first_pairs, group_batches, groups_of, near_pairs, packed_postings, pair_batches, picked, rarest, sets_of, settled, sketches, small_pairs, uncovered, whole_groups, within
 from .storage import Tables, hot_values, only, salted_join
 
 
@@ -170,7 +171,7 @@ def profile_task(width: int, identity: Identity):
 
 #: Sizes from this on are not known exactly.
 _SIZE_MOST = 65535
-_POSTINGS = pa.schema([("bucket", pa.int32()), ("signatures", pa.binary()), ("sets", pa.binary()), ("sizes", pa.binary())])
+_POSTINGS = pa.schema([("bucket", pa.int32()), ("signatures", pa.binary()), ("sets", pa.binary()), ("sizes", pa.binary()), ("before", pa.binary())])
 
 
 def posting_task(width: int, ratio: Ratio, common, buckets: int, identity: Identity):
@@ -178,8 +179,8 @@ def posting_task(width: int, ratio: Ratio, common, buckets: int, identity: Ident
         seen, held, pending = Seen(), 0, []
 
         def flushed():
-            sig, sets, n = (np.concatenate(x) for x in zip(*pending))
-            yield from packed_postings([sets, n], sig, buckets, _POSTINGS)
+            sig, sets, n, before = (np.concatenate(x) for x in zip(*pending))
+            yield from packed_postings([sets, n, before], sig, buckets, _POSTINGS)
 
         for batch in slices(batches):
             elements, offsets = sets_of(batch.column("text"), width)
@@ -187,8 +188,14 @@ def posting_task(width: int, ratio: Ratio, common, buckets: int, identity: Ident
             new = (offsets[1:] > offsets[:-1]) & seen.new(sets)
             if not new.any():
                 continue
-            sig, of = signatures(*picked(elements, offsets, new), common.value, ratio)
-            pending.append((sig, sets[new][of], np.minimum(np.diff(offsets)[new], _SIZE_MOST)[of].astype(np.uint16)))
+            elements, offsets = picked(elements, offsets, new)
+            sig, of = signatures(elements, offsets, common.value, ratio)
+            order = np.argsort(of, kind="stable")
+            sig, at = distinct_within(sig[order], np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(offsets) - 1))]))
+            of = np.repeat(np.arange(len(at) - 1), np.diff(at))
+            before = np.concatenate([np.zeros(1, np.uint64), sig[:-1]])
+            before[at[:-1][np.diff(at) > 0]] = 0
+            pending.append((sig, sets[new][of], np.minimum(np.diff(offsets), _SIZE_MOST)[of].astype(np.uint16), before))
             held += len(sig)
             if held > FLUSH:
                 yield from flushed()
@@ -204,8 +211,10 @@ def candidate_task(ratio: Ratio):
     num, den = ratio
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for sigs, sets, n in by_bucket(batches, [np.uint32, np.int64, np.uint16]):
+        for sigs, sets, n, before in by_bucket(batches, [np.uint32, np.int64, np.uint16, np.uint64]):
             first, size = groups_of(sigs)
+            more = uncovered(before, first, size)
+            first, size = first[more], size[more]
             i, j = small_pairs(first, size)
             x, y = n[i].astype(np.int64), n[j].astype(np.int64)
             fits = (np.minimum(x, y) * den >= np.maximum(x, y) * num) | (np.maximum(x, y) == _SIZE_MOST)
@@ -288,7 +297,7 @@ def similar_documents(spark: SparkSession, docs: DataFrame, width: int = 5, rati
     total = info.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, int(total * 0.6 / BUCKET_POSTINGS))
     handle = spark.sparkContext.broadcast(table)
-    postings = texts.mapInArrow(posting_task(width, ratio, handle, buckets, identity), "bucket int, signatures binary, sets binary, sizes binary")
+    postings = texts.mapInArrow(posting_task(width, ratio, handle, buckets, identity), "bucket int, signatures binary, sets binary, sizes binary, before binary")
     found = tables.write(postings.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(candidate_task(ratio), CANDIDATES_DDL), "candidates")
     verifier = Verifier(spark, tables, texts, info, width, ratio, identity)
     links = verifier.links(verifier.possible(first_pairs(found), "first"), "first")

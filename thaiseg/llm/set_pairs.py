@@ -364,6 +364,16 @@ def first_pairs(found: DataFrame) -> DataFrame:
     return found.where("b is not null").select("a", "b").union(stars.select(F.least("a", "b"), F.greatest("a", "b"))).distinct()
 
 
+def uncovered(before: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which groups have members with unlike signatures before this one.  Where all
+    have the same, they share that one too, and its group has all their pairs."""
+    if not len(first):
+        return np.zeros(0, bool)
+    own = before[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+    at = np.cumsum(size) - size
+    return (np.minimum.reduceat(own, at) != np.maximum.reduceat(own, at)) | (own[at] == 0)
+
+
 def packed_postings(columns: list[np.ndarray], signatures: np.ndarray, buckets: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Postings as a row for each bucket: the low halves of the signatures and the
     columns, as packed arrays."""
@@ -492,15 +502,17 @@ class Verifier:
         self.spark, self.tables, self.texts, self.info = spark, tables, texts, info.select("set", "n", "sketch")
         self.width, self.ratio, self.identity, self.units = width, ratio, identity, units
 
-    def _elements(self, pairs: DataFrame) -> DataFrame:
-        """Sets that occur in pairs.  The bitmap has a fixed size, whatever the input."""
+        self.prepared: DataFrame | None = None
+
+    def _elements(self, wanted: DataFrame) -> DataFrame:
+        """The sets of column s.  The bitmap has a fixed size, whatever the input."""
         slot = f"(s & {BITMAP_BITS - 1})"
-        words = pairs.select(F.explode(F.array("a", "b")).alias("s")).selectExpr(f"shiftright({slot}, 6) AS w", f"shiftleft(1L, CAST({slot} & 63 AS INT)) AS v")
+        words = wanted.selectExpr(f"shiftright({slot}, 6) AS w", f"shiftleft(1L, CAST({slot} & 63 AS INT)) AS v")
         found = words.groupBy("w").agg(F.bit_or("v").alias("v")).toPandas()
         bits = np.zeros(BITMAP_BITS // 64, np.uint64)
         bits[found.w.to_numpy(np.int64)] = found.v.to_numpy(np.int64).view(np.uint64)
-        wanted = self.spark.sparkContext.broadcast(bits)
-        made = self.texts.mapInArrow(element_task(self.width, self.identity, wanted, self.units), "set long, elements binary")
+        handle = self.spark.sparkContext.broadcast(bits)
+        made = self.texts.mapInArrow(element_task(self.width, self.identity, handle, self.units), "set long, elements binary")
         return made.groupBy("set").agg(F.first("elements").alias("elements"))
 
     def possible(self, pairs: DataFrame, name: str) -> DataFrame:
@@ -508,10 +520,18 @@ class Verifier:
         sketched = pairs.join(self.info.toDF("a", "na", "sa"), "a").join(self.info.toDF("b", "nb", "sb"), "b")
         return self.tables.write(sketched.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(possible_task(self.ratio), "a long, b long"), f"{name}-possible")
 
+    def prepare(self, pairs: DataFrame, groups: DataFrame) -> None:
+        """Reads the sets of pairs and large groups once, for all calls of ``links``."""
+        members = groups.select(F.explode("members").alias("s"))
+        self.prepared = self.tables.write(self._elements(pairs.select(F.explode(F.array("a", "b")).alias("s")).union(members)), "elements")
+
     def links(self, pairs: DataFrame, name: str) -> DataFrame:
         """Of possible pairs those that reach the threshold, as a written table."""
-        elements = self.tables.write(self._elements(pairs), f"{name}-elements")
+        elements = self.prepared
+        if elements is None:
+            elements = self.tables.write(self._elements(pairs.select(F.explode(F.array("a", "b")).alias("s"))), f"{name}-elements")
         both = pairs.join(elements.toDF("a", "ea"), "a").join(elements.toDF("b", "eb"), "b").select("a", "b", "ea", "eb")
         out = self.tables.write(both.mapInArrow(verify_task(self.ratio), "a long, b long"), f"{name}-links")
-        self.tables.drop(f"{name}-elements")
+        if self.prepared is None:
+            self.tables.drop(f"{name}-elements")
         return out
