@@ -1,17 +1,22 @@
 import pathlib
+import subprocess
+import sys
+import time
 
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from thaiseg.functions import text as X
-from thaiseg.functions.segmenting import register, segment
+from thaiseg.functions.segmenting import register, segment, spread
 from thaiseg.operators.dictionary import Dictionary
 from thaiseg.operators.lattice import Lexicon, bounds, segment_text
+from thaiseg.operators.prefixes import words_at
 from thaiseg.operators.registry import Registry
 from thaiseg.plans.native import shortest_segmentations
 from thaiseg.plans.queries import WORDS
 from thaiseg.sources.lines import main, segment_files
+from thaiseg.sources.shared import shared_folder
 from thaiseg.streaming.lines import line_stream, segment_stream
 
 
@@ -120,3 +125,57 @@ def test_entry_contract():
     assert set(e.oracle_sql()) <= set(e.queries())
     source = pathlib.Path(e.__file__).read_text()
     assert "def entry(" in source
+
+
+def test_registry_takes_any_name(spark, tmp_path):
+    path = tmp_path / "words.txt"
+    path.write_text("ไข่\n คน \n", encoding="utf-8")
+    known = Registry(spark)
+    for name in ("a-b", "my dict", "ไทย", ""):
+        assert known.load_dict(str(path), name)[1] and not known.load_dict(str(path), name)[1]
+        known.add(name, ["ไก่"])
+        known.remove(name, ["คน"])
+        assert known.segment("ไข่ไก่คน", name) == ["ไข่", "ไก่", "คน"] and known.dictionary(name).count() == 2
+
+
+def test_clashing_columns(spark):
+    d = Dictionary.from_words(spark, ["a", "b"])
+    rows = spark.createDataFrame([("a", 1, "x"), ("c", 2, "y"), (None, 3, "z")], "word string, known int, row string")
+    out = d.contains(rows, "word")
+    assert out.columns == ["word", "known", "row", "contained"] and sorted(r.known for r in out.collect() if r.contained) == [1]
+    with pytest.raises(ValueError):
+        d.contains(out, "word")
+    with pytest.raises(ValueError):
+        words_at(rows.withColumnRenamed("known", "pos"), "pos", "word", d)
+
+
+def test_spread_and_line_ends(spark, tmp_path):
+    one = spark.range(100).coalesce(1)
+    assert spread(one).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    assert spread(spark.range(0, 100, 1, 64)).rdd.getNumPartitions() == 64
+    words = tmp_path / "words.txt"
+    words.write_text("ไข่\nคน\n", encoding="utf-8")
+    run = subprocess.run([sys.executable, "-m", "thaiseg.sources.lines", "-d", str(words)], input="ไข่คน\r\nไข่\rคน\n\nคน".encode(), capture_output=True, check=True)
+    assert run.stdout.decode().split("\n") == ["ไข่|คน", "ไข่|\rคน", "", "คน", ""]  # two bare consonants don't end an unknown token
+
+
+def test_linear_on_repeated_consonants():
+    """With two words of bare consonants: four times the text, about four times the time."""
+    lexicon = Lexicon(["กก", "กกก"])
+
+    def seconds(n):
+        began = time.perf_counter()
+        assert "".join(segment_text("ก" * n, lexicon)) == "ก" * n
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert min(seconds(64_000) for _ in range(3)) < 12 * min(seconds(16_000) for _ in range(3))
+
+
+def test_shared_folder_is_refused_on_a_cluster_without_a_setting():
+    class Session:
+        conf = type("C", (), {"get": staticmethod(lambda key, default=None: default)})
+        sparkContext = type("S", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError):
+        shared_folder(Session)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +29,15 @@ def segment(text: Column | str, dictionary: Dictionary, safe: bool = False) -> C
     return segmenter(dictionary, safe)(F.col(text) if isinstance(text, str) else text)
 
 
+def spread(rows: DataFrame, splits_most: int = 4) -> DataFrame:
+    """``rows`` dealt over all cores, if they come in few partitions: segmenting
+    takes far longer than a shuffle, but large tables have splits enough."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if rows._jdf.rdd().getNumPartitions() >= splits_most * cores:
+        return rows
+    return rows.repartition(splits_most * cores)
+
+
 def register(spark: SparkSession, dictionary: Dictionary, name: str = "segment") -> None:
     """SQL names: ``name(text)``, ``name_safe(text)`` and the table function
     ``name_rows(text)`` with rows (pos, token), for LATERAL."""

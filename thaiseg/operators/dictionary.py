@@ -44,10 +44,15 @@ class Dictionary:
         """Without these words; words that it doesn't hold make no difference."""
         return Dictionary(self.words.join(self._clean(words), "word", "left_anti"))
 
-    def contains(self, rows: DataFrame, column: str) -> DataFrame:
-        """``rows`` with a boolean ``contained``: exact membership, not trimmed."""
-        known = self.words.select(F.col("word").alias("_known"))
-        return rows.join(known, F.col(column) == F.col("_known"), "left").withColumn("contained", F.col("_known").isNotNull()).drop("_known")
+    def contains(self, rows: DataFrame, column: str, name: str = "contained") -> DataFrame:
+        """``rows`` with a boolean column ``name``: exact membership, not trimmed, and
+        false for null.  ValueError if ``rows`` has a column of that name."""
+        if name in rows.columns:
+            raise ValueError(f"the rows have a column {name}")
+        known = self.words.select(F.struct("word").alias("known"))
+        row = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"))
+        both = row.join(known, F.col("row").getField(column) == F.col("known.word"), "left")
+        return both.select(*[F.col("row").getField(c).alias(c) for c in rows.columns], F.col("known").isNotNull().alias(name))
 
     def count(self) -> int:
         return self.words.count()

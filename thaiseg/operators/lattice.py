@@ -27,6 +27,9 @@ SAMPLE_FROM, SAMPLE_TO = 100, 140
 _cluster = re.compile(P.CLUSTER)
 _run = re.compile(P.RUN)
 _bare = re.compile("[ก-ฮ]{0,2}")
+#: Clusters of more than one character are inside such parts of a text.
+_thai = re.compile("[ก-๎][ก-๎ ]*")
+_plain = re.compile(P.PLAIN_SCAN)
 
 
 class Lexicon:
@@ -35,6 +38,10 @@ class Lexicon:
     def __init__(self, words: Iterable[str]):
         self.words = frozenset(w for w in words if w)
         self.beginnings = frozenset(w[:k] for w in self.words for k in range(1, len(w) + 1))
+        firsts = "".join(re.escape(c) for c in sorted({w[0] for w in self.words}))
+        #: Where a word or a run may start, and what a plain text doesn't have.
+        self.starts = re.compile(f"[{firsts}]|{P.RUN}" if firsts else P.RUN)
+        self.special = re.compile(f"[\\r\u0e00-\u0e7f{firsts}]")
 
     def ends(self, text: str, start: int) -> Iterator[int]:
         """Ends of the words that start here, nearest first."""
@@ -46,49 +53,99 @@ class Lexicon:
                 yield end
 
 
+def cluster_ends(text: str) -> bytearray:
+    """A flag for each position: whether a cluster ends there."""
+    flags = bytearray(b"\1") * (len(text) + 1)
+    flags[0] = 0
+    for part in _thai.finditer(text):
+        a, b = part.span()
+        flags[a + 1 : b + 1] = bytes(b - a)
+        for m in _cluster.finditer(text, a, b):
+            flags[m.end()] = 1
+    return flags
+
+
 def bounds(text: str) -> set[int]:
-    return {m.end() for m in _cluster.finditer(text)}
+    return {i for i, flag in enumerate(cluster_ends(text)) if flag}
+
+
+#: The best way to a position: number of words, position, the way before.
+Way = tuple[int, int, "Way | None"]
+
+
+def _better(one: Way, other: Way) -> bool:
+    """Whether a way to some position has fewer words than another, or as many and
+    its ends come first in order: what counts is their first difference."""
+    if one[0] != other[0]:
+        return one[0] < other[0]
+    sooner = False
+    while one is not other and one is not None:
+        if one[1] != other[1]:
+            sooner = one[1] < other[1]
+        one, other = one[2], other[2]
+    return sooner
+
+
+def _ends(way: Way) -> list[int]:
+    out = []
+    while way[2] is not None:
+        out.append(way[1])
+        way = way[2]
+    return out[::-1]
 
 
 def settle(text: str, lexicon: Lexicon) -> list[str]:
     """The tokens of a whole text; joined they give the text again."""
-    valid = bounds(text)
+    if not lexicon.special.search(text):
+        return _plain.findall(text)
+    valid = cluster_ends(text)
     cuts = [0]  # ends of emitted tokens
-    best: dict[int, tuple[int, tuple[int, ...]]] = {0: (0, ())}  # open positions: words, and their ends
+    best: dict[int, Way] = {0: (0, 0, None)}  # open positions
     open_ = [0]
     edges = 0
     starts: dict[int, bool] = {}
 
     def word_or_run(at: int) -> bool:
         if at not in starts:
-            starts[at] = any(e in valid and not _bare.fullmatch(text, at, e) for e in lexicon.ends(text, at)) or _run.match(text, at) is not None
+            starts[at] = any(valid[e] and not _bare.fullmatch(text, at, e) for e in lexicon.ends(text, at)) or _run.match(text, at) is not None
         return starts[at]
 
+    def next_start(at: int) -> int:
+        while at < len(text):
+            m = lexicon.starts.search(text, at)
+            if m is None:
+                break
+            at = m.start()
+            if valid[at] and word_or_run(at):
+                return at
+            at += 1
+        return len(text)
+
     while open_ and open_[0] < len(text):
         at = heapq.heappop(open_)
-        count, path = best.pop(at)
+        way = best.pop(at)
         for end in lexicon.ends(text, at):
-            if end not in valid:
+            if not valid[end]:
                 continue
             edges += 1
-            found = (count + 1, (*path, end))
+            found = (way[0] + 1, end, way)
             if end not in best:
                 heapq.heappush(open_, end)
                 best[end] = found
-            else:
-                best[end] = min(best[end], found)
+            elif _better(found, best[end]):
+                best[end] = found
             if edges > EDGES_MOST:
                 break
         if len(open_) == 1:
             end = open_[0]
-            cuts += best[end][1]
-            best, edges = {end: (0, ())}, 0
+            cuts += _ends(best[end])
+            best, edges = {end: (0, end, None)}, 0
         elif not open_:
             run = _run.match(text, at)
-            end = run.end() if run else next((p for p in range(at + 1, len(text)) if p in valid and word_or_run(p)), len(text))
+            end = run.end() if run else next_start(at + 1)
             edges += 1
             cuts.append(end)
-            open_, best = [end], {end: (0, ())}
+            open_, best = [end], {end: (0, end, None)}
     return [text[a:b] for a, b in zip(cuts, cuts[1:])]
 
 

@@ -14,17 +14,20 @@ def words_at(rows: DataFrame, key: str, text: str, dictionary: Dictionary) -> Da
 
     The words' distinct lengths are few, so each position probes one substring
     a length: an equi-join on the substring, which Spark broadcasts or shuffles
-    by the dictionary's size, in place of a join on startswith.
+    by the dictionary's size, in place of a join on startswith.  ValueError if
+    ``key`` is one of the other columns of the result.
     """
-    lengths = dictionary.words.agg(F.array_sort(F.collect_set(F.length("word"))).alias("lengths"))
+    if key in ("pos", "word", "end"):
+        raise ValueError(f"the key may not be called {key}")
+    lengths = dictionary.words.agg(F.array_sort(F.collect_set(F.length("word"))).alias("_probed_lengths"))
     probes = (
-        rows.select(F.col(key).alias(key), F.col(text).alias("_text"))
-        .where(F.length("_text") > 0)
+        rows.select(F.col(key).alias(key), F.col(text).alias("_probed_text"))
+        .where(F.length("_probed_text") > 0)
         .join(F.broadcast(lengths))  # one row
-        .select(key, "_text", "lengths", F.explode(F.sequence(F.lit(0), F.length("_text") - 1)).alias("pos"))
-        .select(key, "pos", "_text", F.explode("lengths").alias("_n"))
-        .where(F.col("pos") + F.col("_n") <= F.length("_text"))
-        .select(key, "pos", F.expr("substring(_text, pos + 1, _n)").alias("word"))
+        .select(key, "_probed_text", "_probed_lengths", F.explode(F.sequence(F.lit(0), F.length("_probed_text") - 1)).alias("pos"))
+        .select(key, "pos", "_probed_text", F.explode("_probed_lengths").alias("_probed_n"))
+        .where(F.col("pos") + F.col("_probed_n") <= F.length("_probed_text"))
+        .select(key, "pos", F.expr("substring(_probed_text, pos + 1, _probed_n)").alias("word"))
     )
     return probes.join(dictionary.words, "word").select(key, "pos", "word", (F.col("pos") + F.length("word")).alias("end"))
 

@@ -8,15 +8,20 @@ out by hand, or come from a recursive query over the same dictionary.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as X
-from ..functions.segmenting import register, segment
+from ..functions.segmenting import register, segment, spread
 from ..operators.dictionary import Dictionary
 from ..operators.prefixes import edges, words_at
+from ..operators.registry import Registry
+from ..sources.lines import segment_files
+from ..sources.shared import new_folder
+from ..streaming.lines import line_stream, segment_stream
 from .native import plain_tokens, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -192,7 +197,7 @@ def token_top_k(spark, sf_dir):
 def segment_documents(spark, sf_dir):
     """All documents through the lattice, with a dictionary that they don't use."""
     tokens = segment("text", _word_dictionary(spark))
-    return table(spark, sf_dir, "documents").select("doc_id", tokens.alias("t")).select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.md5(X.joined("t")).alias("digest"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", tokens.alias("t")).select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.md5(X.joined("t")).alias("digest"))
 
 
 _DUCK_PATHS = f"""
@@ -316,15 +321,107 @@ def segment_null_empty(spark, sf_dir):
 @query(f"SELECT doc_id, len(regexp_extract_all(text, '{P.PLAIN_SCAN}')) AS n_tokens FROM documents")
 def stream_documents(spark, sf_dir):
     """Documents as a stream, segmented and written, then read as a table."""
-    import tempfile
-
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="thaiseg-")).rstrip("/")
-    from uuid import uuid4
-
-    out = f"{base}/stream-{uuid4().hex}"
+    out = new_folder(spark, "stream")
     schema = table(spark, sf_dir, "documents").schema
     # a stream reads folders; the table is a file or a folder of files
     docs = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{sf_dir}/documents.parquet*")
     tokens = docs.select("doc_id", F.size(plain_tokens("text")).cast("long").alias("n_tokens"))
     tokens.writeStream.format("parquet").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start(f"{out}/table").awaitTermination()
     return spark.read.schema("doc_id long, n_tokens long").parquet(f"{out}/table")
+
+
+# --- dictionary files, the registry, line jobs --------------------------------
+
+
+def _word_file(spark: SparkSession, words: DataFrame) -> str:
+    """A folder of word files, one word a line."""
+    path = new_folder(spark, "words")
+    words.write.text(path)
+    return path
+
+
+@query(_DUCK_WORDS)
+def dict_file(spark, sf_dir):
+    """Padded and repeated words in files, read as a dictionary."""
+    names = table(spark, sf_dir, "part").selectExpr("p_size AS size", "explode(split(p_name, ' ')) AS word")
+    return Dictionary.from_file(spark, _word_file(spark, names.selectExpr(f"{_PADDED} AS value"))).words
+
+
+_NAMES = ("a-b", "my dict", "ไทย")
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', true, false, 6, 7, 'ไข่|คน')" for n in _NAMES) + ") t(name, loaded, again, n_before, n_after, tokens)")
+def dict_registry(spark, sf_dir):
+    """Names of any kind; a name is given once; added words are found at once."""
+    known, rows = Registry(spark), []
+    path = _word_file(spark, spark.createDataFrame([(w,) for w in WORDS[:6]], "value string"))
+    for name in _NAMES:
+        loaded, again, before = known.load_dict(path, name)[1], known.load_dict(path, name)[1], known.dictionary(name).count()
+        known.add(name, ["ไข่"])
+        rows.append((name, loaded, again, before, known.dictionary(name).count(), "|".join(known.segment("ไข่คน", name))))
+    return spark.createDataFrame(rows, "name string, loaded boolean, again boolean, n_before int, n_after int, tokens string")
+
+
+_DUCK_LINES = f"SELECT line, count(*) AS n FROM (SELECT concat({_LIST}[1 + c_custkey % 11], '|', {_LIST}[1 + (c_custkey // 11) % 11], '|', {_LIST}[1 + (c_custkey // 121) % 11]) AS line FROM customer) GROUP BY line"
+
+
+def _counted_lines(lines: DataFrame) -> DataFrame:
+    return lines.groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
+
+
+@query(_DUCK_LINES)
+def line_job(spark, sf_dir):
+    """Text files in, delimited text files out, with a dictionary file."""
+    source, target = new_folder(spark, "lines"), new_folder(spark, "segmented")
+    _thai(spark, sf_dir).select("text").write.text(source)
+    segment_files(spark, source, target, _word_file(spark, spark.createDataFrame([(w,) for w in WORDS], "value string")))
+    return _counted_lines(spark.read.text(target))
+
+
+@query(_DUCK_LINES)
+def line_stream_job(spark, sf_dir):
+    """The same as a stream."""
+    source, target = new_folder(spark, "lines"), new_folder(spark, "streamed")
+    _thai(spark, sf_dir).select("text").write.text(source)
+    segment_stream(line_stream(spark, source), _word_dictionary(spark), target, f"{target}-checkpoint", once=True).awaitTermination()
+    return _counted_lines(spark.read.text(target))
+
+
+# Words of three syllables, each a consonant with one vowel: 64,000 of them, as
+# many as a real dictionary has.
+_SYLLABLES = 40
+
+
+def _word_sql(number: str) -> str:
+    k = [f"({number}) % 40", f"(({number}) // 40) % 40", f"(({number}) // 1600) % 40"]
+    return "concat(" + ", ".join(f"chr(CAST(3585 + {x} AS INTEGER)), 'า'" for x in k) + ")"
+
+
+def _numbered_word(number: str) -> str:
+    k = [f"({number}) % 40", f"(({number}) div 40) % 40", f"(({number}) div 1600) % 40"]
+    letters = "array(" + ", ".join(f"'{chr(3585 + i)}า'" for i in range(_SYLLABLES)) + ")"
+    return "concat(" + ", ".join(f"element_at({letters}, CAST(1 + {x} AS INT))" for x in k) + ")"
+
+
+_KEYS = ("l_partkey * 7919", "l_suppkey * 104729", "l_orderkey")
+
+
+@query(f"SELECT l_orderkey, l_linenumber, concat_ws('|', {', '.join(_word_sql(k) for k in _KEYS)}) AS tokens FROM lineitem")
+def segment_large_dictionary(spark, sf_dir):
+    """Three words each of a dictionary of 64,000."""
+    words = spark.range(_SYLLABLES**3).selectExpr(f"{_numbered_word('id')} AS word")
+    rows = spread(table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", f"concat({', '.join(_numbered_word(k) for k in _KEYS)}) AS text"))
+    return rows.select("l_orderkey", "l_linenumber", F.array_join(segment("text", Dictionary.from_column(words, "word")), "|").alias("tokens"))
+
+
+#: Texts made to be slow or hard: long runs without a space of bare consonants,
+#: repeated words, leading vowels and marks.
+_HARD = ("ก", "กา", "ค่าจ้าง", "เ", "์", "ก็", "ปฏิวัติปฏิรูป", "ab1 ", "ไข่คน")
+
+
+@query("SELECT CAST(i AS INTEGER) AS i, safe, true AS whole FROM range(0, %d) r(i), (VALUES (true), (false)) s(safe)" % len(_HARD))
+def segment_hard_texts(spark, sf_dir):
+    """20,000 characters or more each, in both modes: the tokens are the text."""
+    rows = spark.createDataFrame([(i, t * (20_000 // len(t) + 1)) for i, t in enumerate(_HARD)], "i int, text string")
+    words = _word_dictionary(spark).add(["กก", "กกก"])
+    return reduce(DataFrame.union, [rows.select("i", F.lit(safe).alias("safe"), (F.array_join(segment("text", words, safe), "") == F.col("text")).alias("whole")) for safe in (True, False)])

@@ -29,6 +29,7 @@ def segment_files(spark: SparkSession, source: str, target: str, dict_path: str,
 def main(argv: list[str] | None = None) -> int:
     """segment -d DICT [-s DELIMITER] [-z] [-p] < lines: one output line for each."""
     import argparse
+    import io
     import sys
 
     from .. import ship
@@ -49,8 +50,10 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     with open(a.dict_path, encoding="utf-8") as f:
         lexicon = Lexicon(line.strip(TRIMMED) for line in f)
-    for line in sys.stdin:
-        print(a.word_delimiter.join(segment_text(line.rstrip("\n"), lexicon, a.safe)))
+    # only a line feed ends a line, with a carriage return before it or without
+    for line in io.TextIOWrapper(sys.stdin.buffer, encoding="utf-8", newline="\n"):
+        line = line.removesuffix("\n").removesuffix("\r") if line.endswith("\n") else line
+        print(a.word_delimiter.join(segment_text(line, lexicon, a.safe)))
     return 0
 
 
