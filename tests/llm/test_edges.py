@@ -95,6 +95,14 @@ def test_op2_without_ids(spark):
     assert (ones[0][2], twos) in [("", ["0", "0"]), ("0", ["", "0"])], kept
 
 
+def test_without_repeated_lines_keeps_clashing_columns(spark):
+    df = docs(spark).withColumn("removed", F.lit("clash")).withColumn("gone_id", F.lit(1)).withColumn("id", F.lit(2))
+    out = line_dedup.without_repeated_lines(spark, df)
+    assert out.columns == df.columns
+    rows = {(r.doc_id, r.text) for r in out.where("removed = 'clash' AND gone_id = 1 AND id = 2").collect()}
+    assert {(1, None), (2, ""), (5, ROWS[4][1]), (6, ""), (8, "")} <= rows and out.count() == len(ROWS)
+
+
 def test_op5_edges(spark):
     out = source_mix.taken_words(spark, docs(spark)).collect()
     assert all(0 <= r.taken <= 2 * r["size"] for r in out)
@@ -110,6 +118,8 @@ def test_op7_and_op3_without_labels(spark):
     none = labels(spark).where("doc_id > 1000")
     assert {r.score for r in quality.quality_scores(spark, docs(spark), none).collect()} == {0.5}
     assert {r.score for r in toxicity.toxic_documents(spark, docs(spark), none).collect()} == {0.0}
+    toxic = labels(spark).withColumn("toxic", F.lit(1))
+    assert {r.score for r in toxicity.toxic_documents(spark, docs(spark), toxic).collect()} == {1.0}
 
 
 def test_op9_edges(spark):

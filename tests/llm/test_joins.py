@@ -312,6 +312,25 @@ def test_items_come_in_blocks(spark, monkeypatch):
     assert decontaminate.without_contaminated(spark, df, benchmark).count() == 0
 
 
+def test_what_is_broadcast_of_long_items_is_small():
+    """1,000 items of 50 to 1,049 words; every one is found in itself."""
+    import pickle
+
+    texts = [" ".join(f"i{i}w{k % (40 + i % 9)}x{k // 7}" for k in range(50 + i)) for i in range(1000)]
+    items = decontaminate.Items(list(range(1000)), pa.array(texts), decontaminate.Search())
+    assert len(pickle.dumps(items)) < 50 << 20
+    found = decontaminate.found_in(items, pa.array(texts[::97]))
+    assert {(j, i): 0 for j, i in enumerate(range(0, 1000, 97))} == {k: v[0] for k, v in found.items() if v[0] == 0}
+
+
+def test_a_run_common_to_very_many_items(monkeypatch):
+    monkeypatch.setattr(decontaminate, "CELLS", 1 << 10)
+    texts = [f"read the text and answer in one word question{i} topic{i * 7} name{i * 3}" for i in range(400)]
+    items = decontaminate.Items(list(range(400)), pa.array(texts), decontaminate.Search(max_edits=0.1))
+    found = decontaminate.found_in(items, pa.array([texts[5] + " " + "read the text and answer in one word " * 30, texts[399]]))
+    assert set(found) == {(0, 5), (1, 399)}
+
+
 def test_words_and_shingles_of_the_kernel():
     texts = ["", None, "a", "A b", " x\ty\nz\x0bw\x0cv\ru ", "é ü é ü é ü é", "one two three four five six", "x" * 100]
     w = bytekernel.Words(*bytekernel.utf8(pa.array(texts)))

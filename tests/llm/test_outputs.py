@@ -25,6 +25,35 @@ def test_encoder_equals_the_library():
         assert all(np.array_equal(flat[offsets[i] : offsets[i + 1]], w) for i, w in enumerate(whole))
 
 
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_made_to_collide(n):
+    a = "a"
+    while len(a) < n:
+        a += a.translate(str.maketrans("ab", "ba"))
+    texts = [f"x {w} y" for w in (a, a.translate(str.maketrans("ab", "ba")))]
+    encoder = token_records.Encoder(tokenizer_path())
+    for group in (texts, texts[::-1]):
+        ids, offsets = encoder.encode(pa.array(group))
+        for k, t in enumerate(group):
+            assert ids[offsets[k] : offsets[k + 1]].tolist() == encoder.model.encode(t, add_special_tokens=False).ids
+
+
+def test_equal_hashes_of_different_pieces(monkeypatch):
+    """Every piece of one length has the same hash: nothing comes from another's memo."""
+    real = token_records.Words
+
+    class Colliding(real):
+        def __init__(self, *a):
+            super().__init__(*a)
+            self.hashes = self.sizes.astype(np.uint64)
+
+    monkeypatch.setattr(token_records, "Words", Colliding)
+    encoder = token_records.Encoder(tokenizer_path())
+    for group in (["one two", "six ten"], ["abc one"], ["def", "abc"], ["one one"]):
+        ids, offsets = encoder.encode(pa.array(group))
+        assert [ids[offsets[k] : offsets[k + 1]].tolist() for k in range(len(group))] == [encoder.model.encode(t, add_special_tokens=False).ids for t in group]
+
+
 def test_memo_is_bounded(monkeypatch):
     monkeypatch.setattr(token_records, "MEMO_MOST", 50)
     e = token_records.Encoder(tokenizer_path())

@@ -11,7 +11,7 @@ Words are runs of letters, digits and other non-ASCII characters, A-Z folded.
    matters is left out.
 2. *CGK embedding.*  ``repeats`` random walks read a window: at step t they
    output the word they are at, and move on if a random bit of (t, word) says
-   so.  Sequences at a small edit distance give walks that meet again, hence
+   so (bits are hashes, so nothing is kept for each step).  Sequences at a small edit distance give walks that meet again, hence
    outputs at a small Hamming distance.
 3. *Bit sampling.*  Each walk keeps ``samples`` of its outputs, at steps drawn
    once for each item length; the hash of these is its bucket.  Windows look
@@ -20,8 +20,9 @@ Words are runs of letters, digits and other non-ASCII characters, A-Z folded.
    window with k words more at either end, by dynamic programming.
 
 Items are a stated query set against all documents.  They are broadcast in
-blocks of ITEMS_MOST, one pass over the documents each, so what is broadcast
-has a fixed bound.
+blocks of about ITEMS_MOST items and WORDS_MOST words, one pass over the documents
+each, so what is broadcast has a fixed bound (or is one item).  Windows are
+looked at CELLS words at a time, however long items are or often a run recurs.
 
 Defined results: null and empty texts and items (or those without words) match
 nothing; repeated rows are each reported; rows without doc_id or item_id are
@@ -41,8 +42,8 @@ from pyspark.sql import functions as F
 from .bytekernel import Words, alphanumeric, finalise, folded, slices, utf8
 from .storage import only
 
-ITEMS_MOST = 20_000
-WINDOWS = 1 << 10
+ITEMS_MOST, WORDS_MOST = 20_000, 1 << 20
+CELLS = 1 << 18
 _PAD = np.uint64(0x1234567)
 
 
@@ -73,7 +74,6 @@ class Items:
         self.words = [w.hashes[w.first[i] : w.first[i + 1]] for i in keep]
         self.lengths = np.array([len(x) for x in self.words], np.int64)
         self.edits = np.floor(self.lengths * search.max_edits + 1e-9).astype(np.int64)
-        self.longest = int(self.lengths.max()) if len(keep) else 0
         grams: dict[int, list] = {1: [], 2: [], 3: []}
         for i, x in enumerate(self.words):
             q = gram_width(len(x), int(self.edits[i]))
@@ -84,41 +84,49 @@ class Items:
                 rows.sort()
                 key = np.array([r[0] for r in rows], np.uint64)
                 self.grams[q] = (key, np.array([r[1] for r in rows]), np.array([r[2] for r in rows]))
-        # which steps a walk keeps, as multipliers by (item length, walk)
-        steps = 2 * self.longest
-        self.keep = {}
-        for length in np.unique(self.lengths).tolist():
-            rng = np.random.default_rng([search.seed, length])
-            kept = np.zeros((steps, search.repeats), np.uint64)
-            for r in range(search.repeats):
-                at = rng.choice(2 * length, min(search.samples, 2 * length), replace=False)
-                kept[at, r] = rng.integers(1, 1 << 62, len(at), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-            self.keep[length] = kept
-        self.salt = np.random.default_rng(search.seed).integers(1, 1 << 63, (max(1, steps), search.repeats), dtype=np.uint64)
-        if len(keep):
-            padded = np.full((len(keep), self.longest), _PAD)
-            for i, x in enumerate(self.words):
-                padded[i, : len(x)] = x
-            buckets = self.buckets(padded, self.lengths)
-            order = np.argsort(buckets.ravel(), kind="stable")
-            self.bucket_keys, self.bucket_items = buckets.ravel()[order], np.repeat(np.arange(len(keep)), search.repeats)[order]
+        buckets = np.zeros((len(keep), search.repeats), np.uint64)
+        order = np.argsort(self.lengths, kind="stable")
+        for own in portions(order, self.lengths[order]):
+            rows = np.full((len(own), int(self.lengths[own].max())), _PAD)
+            for k, i in enumerate(own.tolist()):
+                rows[k, : self.lengths[i]] = self.words[i]
+            buckets[own] = self.buckets(rows, self.lengths[own])
+        order = np.argsort(buckets.ravel(), kind="stable")
+        self.bucket_keys, self.bucket_items = buckets.ravel()[order], np.repeat(np.arange(len(keep)), search.repeats)[order]
 
     def buckets(self, rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Bucket of every row (padded words) and walk."""
         n, walks = len(rows), self.search.repeats
+        # which steps of 2 * length a walk keeps, by item length and walk
+        tags = finalise(np.arange(walks, dtype=np.uint64) + lengths[:, None].astype(np.uint64) * np.uint64(1 << 20) + np.uint64(self.search.seed) * np.uint64(1 << 50))
+        draws = [finalise(tags + np.uint64(j + 1)) for j in range(self.search.samples)]
+        kept = [(d % (2 * lengths[:, None]).astype(np.uint64)).astype(np.int64) for d in draws]
+        weights = [finalise(d) | np.uint64(1) for d in draws]
         at, sums = np.zeros((n, walks), np.int64), np.zeros((n, walks), np.uint64)
         padded = np.concatenate([rows, np.full((n, 1), _PAD)], 1)
         row = np.arange(n)[:, None]
-        known = sorted(self.keep)
-        of = np.searchsorted(known, lengths)
-        kept = np.stack([self.keep[length] for length in known])
+        walk = np.arange(walks, dtype=np.uint64) * np.uint64(1 << 32)
         for t in range(2 * int(lengths.max())):
             y = padded[row, at]
-            sums += y * kept[of, t]
-            moves = ((y ^ self.salt[t]) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)
+            for k, w in zip(kept, weights):
+                hit = np.nonzero(k == t)
+                sums[hit] += y[hit] * w[hit]
+            moves = ((y ^ finalise(walk + np.uint64(t + 1))) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)
             at = np.minimum(at + moves.astype(np.int64), lengths[:, None])
-        tags = np.arange(walks, dtype=np.uint64) + lengths[:, None].astype(np.uint64) * np.uint64(1 << 20)
-        return finalise(sums + finalise(tags + np.uint64(1)))
+        return finalise(sums + tags)
+
+
+def portions(order: np.ndarray, lengths: np.ndarray) -> Iterator[np.ndarray]:
+    """Consecutive parts of ``order`` of CELLS words at most, at their (ascending)
+    greatest length, and one row at least."""
+    at = 0
+    while at < len(order):
+        to = at + 1
+        step = max(1, CELLS // max(1, int(lengths[at])))
+        fits = np.flatnonzero(lengths[at : at + step] * np.arange(1, len(lengths[at : at + step]) + 1) <= CELLS)
+        to = at + (int(fits[-1]) + 1 if len(fits) else 1)
+        yield order[at:to]
+        at = to
 
 
 def runs(h: np.ndarray, q: int) -> np.ndarray:
@@ -161,13 +169,18 @@ def found_in(items: Items, texts: pa.Array) -> dict[tuple[int, int], tuple[int,
         at[at == len(keys)] = 0
         hit = np.flatnonzero((keys[at] == grams) & (owner[: len(grams)] == owner[q - 1 :])) if len(grams) else np.zeros(0, np.int64)
         lo, hi = np.searchsorted(keys, grams[hit]), np.searchsorted(keys, grams[hit], "right")
-        many = np.repeat(hit, hi - lo)
-        place = np.repeat(lo - (np.cumsum(hi - lo) - (hi - lo)), hi - lo) + np.arange(len(many))
-        windows.append(np.stack([owner[many], many - offset[place], items.lengths[of[place]]], 1))
+        ends = np.cumsum(hi - lo)
+        done = 0
+        while done < len(hit):
+            to = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + CELLS, "right")))
+            many = np.repeat(hit[done:to], (hi - lo)[done:to])
+            place = np.repeat(lo[done:to] - (ends - (hi - lo))[done:to], (hi - lo)[done:to]) + np.arange(len(many)) + (ends[done - 1] if done else 0)
+            windows.append(np.unique(np.stack([items.lengths[of[place]], owner[many], many - offset[place]], 1), axis=0))
+            done = to
     windows = np.unique(np.concatenate(windows), axis=0)
     found: dict[tuple[int, int], tuple[int, int]] = {}
-    for k in range(0, len(windows), WINDOWS):
-        _search(items, w, windows[k : k + WINDOWS], found)
+    for part in portions(np.arange(len(windows)), windows[:, 0]):
+        _search(items, w, windows[part], found)
     return found
 
 
@@ -204,16 +217,15 @@ def _gather(w: Words, docs: np.ndarray, starts: np.ndarray, width: int, lengths:
 
 
 def _search(items: Items, w: Words, windows: np.ndarray, found: dict) -> None:
-    docs, starts, lengths = windows.T
-    buckets = items.buckets(_gather(w, docs, starts, items.longest, lengths), lengths)
+    lengths, docs, starts = windows.T
+    buckets = items.buckets(_gather(w, docs, starts, int(lengths.max()), lengths), lengths)
     lo, hi = np.searchsorted(items.bucket_keys, buckets.ravel()), np.searchsorted(items.bucket_keys, buckets.ravel(), "right")
     hit = np.flatnonzero(hi > lo)
     pairs = {(int(b) // items.search.repeats, int(i)) for b in hit for i in items.bucket_items[lo[b] : hi[b]]}
     by_item: dict[int, list[int]] = {}
     for window, item in pairs:
         by_item.setdefault(item, []).append(window)
-    for item, own in by_item.items():
-        own = np.array(sorted(own))
+    for item, own in ((i, part) for i, own in by_item.items() for part in portions(np.array(sorted(own)), np.full(len(own), 2 * items.lengths[i]))):
         k, m = int(items.edits[item]), int(items.lengths[item])
         rows = _gather(w, docs[own], starts[own] - k, m + 2 * k, np.full(len(own), m + 2 * k))
         best, end = least_distance(items.words[item], rows)
@@ -226,7 +238,8 @@ def _search(items: Items, w: Words, windows: np.ndarray, found: dict) -> None:
 def blocks_of(spark: SparkSession, benchmark: DataFrame, search: Search):
     """The items in blocks of bounded size, each broadcast."""
     items = only(benchmark, "item_id", "text").where("text is not null")
-    n = -(-items.count() // ITEMS_MOST)
+    counts = items.agg(F.count("*").alias("n"), F.sum(F.regexp_count("text", F.lit("[0-9A-Za-z\\x{80}-\\x{10FFFF}]+"))).alias("words")).first()
+    n = max(-(-counts.n // ITEMS_MOST), -(-(counts.words or 0) // WORDS_MOST))
     for k in range(max(1, n)):
         block = items if n <= 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
         rows = block.toPandas()  # about ITEMS_MOST rows

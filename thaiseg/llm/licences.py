@@ -114,11 +114,20 @@ def _published() -> Iterator[tuple[str, str]]:
                 yield name, web
 
 
+def _forms(texts: Mapping[str, Iterable[str]] | None = None) -> list[tuple[str, str]]:
+    """(licence, normal form) of all known texts."""
+    pairs = [*_published(), *((name, t) for table in (TEXTS, NOTICES, texts or {}) for name, own in table.items() for t in own)]
+    return [(name, form) for name, t in pairs if (form := normal_form(t))]
+
+
 def known(texts: Mapping[str, Iterable[str]] | None = None) -> list[tuple[str, str]]:
     """(digest, licence) of all known texts, and of the caller's ``texts`` by licence."""
-    pairs = [*_published(), *((name, t) for table in (TEXTS, NOTICES, texts or {}) for name, own in table.items() for t in own)]
-    forms = [(normal_form(t), name) for name, t in pairs]
-    return sorted({hashlib.sha256(form.encode()).hexdigest(): name for form, name in forms if form}.items())
+    return sorted({hashlib.sha256(form.encode()).hexdigest(): name for name, form in _forms(texts)}.items())
+
+
+#: Each known form holds one of these, in any spelling that the rules know: other
+#: lines can't be among them.
+_HINT = r"(?i)licen[cs]|permission|spdx"
 
 
 def scanned(spark: SparkSession, docs: DataFrame, texts: Mapping[str, Iterable[str]] | None = None) -> DataFrame:
@@ -126,11 +135,15 @@ def scanned(spark: SparkSession, docs: DataFrame, texts: Mapping[str, Iterable[s
     number and the (sorted, distinct) licences of those that are notices.
     ``texts``: more known texts or notices, by licence."""
     table = known(texts)
-    which = F.create_map(*[F.lit(x) for row in table for x in row])  # a hash table of constants
+    which = F.create_map(*[F.lit(x) for row in table for x in row])  # few entries: a scan of them
     docs = only(docs, "doc_id", "text")
     digest = F.sha2(normalised(F.col("text")), 256)
+    text = F.coalesce("text", F.lit(""))
+    hinted = all(re.search(_HINT, form) for _, form in _forms(texts))
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(_HINT) if hinted else F.lit(True))
+    lines = F.when(text.rlike(_HINT), lines).otherwise(F.array().cast("array<string>")) if hinted else lines
     names = spark.createDataFrame(table, "digest string, license string")
-    whole = docs.select("doc_id", digest.alias("digest"), F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.element_at(which, F.sha2(normalised(x), 256))), lambda x: x.isNotNull()).alias("n"))
+    whole = docs.select("doc_id", digest.alias("digest"), F.filter(F.transform(lines, lambda x: F.element_at(which, F.sha2(normalised(x), 256))), lambda x: x.isNotNull()).alias("n"))
     return whole.join(F.broadcast(names), "digest", "left").select("doc_id", "digest", "license", F.size("n").cast("long").alias("n_notices"), F.array_join(F.array_sort(F.array_distinct("n")), ",").alias("notices"))
 
 

@@ -20,7 +20,7 @@ or speculative attempt leaves whole files only.
 Encoding: byte-level BPE never merges across a single space that a non-space
 follows, so a text is the concatenation of its space-led pieces, and each
 distinct piece is encoded by the tokenizers library once for a worker (the memo
-is bounded).  Texts in which a space is followed by white space or by nothing go
+is bounded, and finds a piece by two hashes and its length).  Texts in which a space is followed by white space or by nothing go
 through the library whole.
 
 Defined results: null and empty texts give just the end id; null doc_ids come
@@ -39,11 +39,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import new_folder
 from .bytekernel import Words, exact, not_blank, slices, utf8
-from .storage import new_folder, only, partitions_for
+from .storage import only, partitions_for
 
 END_ID = 0
 MEMO_MOST = 1 << 20
@@ -101,6 +103,7 @@ class Encoder:
 
     def clear(self) -> None:
         self.known, self.known_at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.checks = np.zeros((0, 2), np.uint64)
         self.pool, self.used = np.zeros(1 << 16, self.dtype), 0
         self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
@@ -114,7 +117,7 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
+    def _learn(self, keys: np.ndarray, checks: np.ndarray, pieces: list[bytes]) -> None:
         """Encodes spaced pieces as one text and cuts its ids at their bytes."""
         ids = self.whole([b"".join(pieces).decode()])[0]
         ends = np.cumsum([len(p) for p in pieces])
@@ -122,9 +125,9 @@ class Encoder:
         reached = np.concatenate([[0], np.cumsum(self.token_bytes[ids])])
         if not np.array_equal(reached[cuts], ends):
             raise ValueError("a token crosses two pieces")
-        self._add(keys, ids, np.diff(np.concatenate([[0], cuts])))
+        self._add(keys, checks, ids, np.diff(np.concatenate([[0], cuts])))
 
-    def _add(self, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+    def _add(self, keys: np.ndarray, checks: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
         n = len(self.known)
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
@@ -134,6 +137,7 @@ class Encoder:
         self.starts[n : n + len(keys)] = self.used + np.cumsum(sizes) - sizes
         self.sizes[n : n + len(keys)] = sizes
         self.used += len(ids)
+        self.checks = np.concatenate([self.checks, checks])
         joined = np.concatenate([self.known, keys])
         order = np.argsort(joined, kind="stable")
         self.known, self.known_at = joined[order], np.concatenate([self.known_at, np.arange(n, n + len(keys))])[order]
@@ -152,22 +156,28 @@ class Encoder:
         odd = (gaps != words.counts - 1) & (offsets[1:] > offsets[:-1])
         np.logical_or.at(odd, owner[~leads & _ODD[raw[words.starts]]], True)
         keys = np.where(leads, words.hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5), words.hashes)
-        keys = keys[~odd[owner]]
+        checks = np.stack([words.checks, words.sizes.astype(np.uint64) * np.uint64(2) + leads.astype(np.uint64)], 1)
+        if not alike_within(keys, checks):  # two pieces with one hash: no memo for this batch
+            odd[:] = offsets[1:] > offsets[:-1]
         places = np.flatnonzero(~odd[owner])
+        keys, checks = keys[places], checks[places]
         distinct, first, back = np.unique(keys, return_index=True, return_inverse=True)
         if len(self.known) + len(distinct) > MEMO_MOST:
             self.clear()
         index = self._find(distinct)
+        if (self.checks[index[index >= 0]] != checks[first[index >= 0]]).any():
+            self.clear()  # it holds another piece with the hash of one of these
+            index = self._find(distinct)
         new = np.flatnonzero(index < 0)
         if len(new):
             at = places[first[new]]
             alone = leads[at]
             data = raw.tobytes()
             if (~alone).any():
-                self._learn(distinct[new[~alone]], [b" " + data[s:e] for s, e in zip(words.starts[at[~alone]].tolist(), words.ends[at[~alone]].tolist())])
+                self._learn(distinct[new[~alone]], checks[first[new[~alone]]], [b" " + data[s:e] for s, e in zip(words.starts[at[~alone]].tolist(), words.ends[at[~alone]].tolist())])
             if alone.any():
                 got = self.whole([data[s:e].decode() for s, e in zip(words.starts[at[alone]].tolist(), words.ends[at[alone]].tolist())])
-                self._add(distinct[new[alone]], np.concatenate(got), np.array([len(g) for g in got]))
+                self._add(distinct[new[alone]], checks[first[new[alone]]], np.concatenate(got), np.array([len(g) for g in got]))
             index = self._find(distinct)
         index = index[back]
         sizes, starts = self.sizes[index], self.starts[index]
@@ -183,17 +193,32 @@ class Encoder:
         return flat, np.concatenate([[0], np.cumsum(per_text)])
 
 
+def alike_within(keys: np.ndarray, checks: np.ndarray) -> bool:
+    """Whether equal keys always have equal checks."""
+    order = np.argsort(keys, kind="stable")
+    same = keys[order][1:] == keys[order][:-1]
+    return bool((checks[order][1:][same] == checks[order][:-1][same]).all())
+
+
+def open_store(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system and path of a folder; ValueError if pyarrow can't reach it."""
+    try:
+        return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+    except pa.ArrowInvalid as e:
+        raise ValueError(f"records can be written to local, s3, gs and hdfs folders, not to {uri}") from e
+
+
 _SHARDS = pa.schema([("shard", pa.int64()), ("path", pa.string()), ("records", pa.int64()), ("tokens", pa.int64())])
 
 
 def write_task(folder: str, tokenizer: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = open_store(folder)
         encoder, out, index, at, records, tokens, shard = None, None, [], 0, 0, 0, 0
         own = uuid.uuid4().hex
         for batch in slices(batches):
             encoder = encoder or Encoder.of(tokenizer)
-            shard = batch.column("shard")[0].as_py() if out is None else shard
+            shard = TaskContext.get().partitionId()
             out = out or store.open_output_stream(posixpath.join(root, f"{own}.rec.part"))
             ids, offsets = encoder.encode(batch.column("text"))
             kind = 1 if encoder.dtype.itemsize == 2 else 2
@@ -220,31 +245,21 @@ def write_task(folder: str, tokenizer: str):
 def write_records(spark: SparkSession, docs: DataFrame, folder: str, tokenizer: str) -> DataFrame:
     """Writes all texts; a row for each shard: shard, path (without suffix), records, tokens."""
     docs = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    store, root = fs.FileSystem.from_uri(folder)
+    store, root = open_store(folder)
     store.create_dir(root, recursive=True)
     n = docs.count()
     shards = max(1, min(n, max(partitions_for(spark), n // ROWS_PER_SHARD)))
-    bounds = docs.agg(F.percentile_approx("doc_id", [k / shards for k in range(1, shards)], 100 * shards)).first()[0] if shards > 1 and n else []
-    bounds = sorted(set(bounds or []))
-    # the number of bounds below the id, by a binary search over constants
-    shard = F.when(F.col("doc_id").isNull(), 0).otherwise(_below(F.col("doc_id"), bounds))
-    parts = docs.withColumn("shard", shard.cast("long"))
-    parts = parts.repartitionById(len(bounds) + 1, F.col("shard").cast("int")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
+    # ranges of (id, beginning of the text), so that rows of one id are dealt as well
+    order = [F.asc_nulls_first("doc_id"), F.asc_nulls_first(F.substring("text", 1, 16))]
+    parts = docs.repartitionByRange(shards, *order).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
     made = parts.mapInArrow(write_task(folder, tokenizer), "shard long, path string, records long, tokens long").collect()
     return spark.createDataFrame(made, "shard long, path string, records long, tokens long") if made else spark.createDataFrame([], "shard long, path string, records long, tokens long")
 
 
-def _below(column, bounds: list):
-    if not bounds:
-        return F.lit(0)
-    mid = len(bounds) // 2
-    return F.when(column <= F.lit(bounds[mid]), _below(column, bounds[:mid])).otherwise(F.lit(mid + 1) + _below(column, bounds[mid + 1 :]))
-
-
 def read_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist()):
-            store, root = fs.FileSystem.from_uri(path)
+            store, root = open_store(path)
             with store.open_input_stream(root + ".idx") as f:
                 index = np.frombuffer(f.read(), "<u8").reshape(-1, 2).astype(np.int64)
             with store.open_input_file(root + ".rec") as f:

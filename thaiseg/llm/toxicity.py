@@ -16,7 +16,7 @@ few rows.
 The classifier is fitted on at most ``train_rows`` labelled rows of at most
 ``train_chars`` characters; scoring reads every text whole, and any text has a
 score: null and empty ones that of an empty text.  A label that is null teaches
-nothing; without labels of both kinds every score is 0.  Repeated rows are each
+nothing; with labels of one kind alone every score is that label, without any 0.  Repeated rows are each
 scored; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -53,6 +53,7 @@ class Training:
     size: int = 16
     filters: int = 16
     epochs: int = 6
+    steps: int = 600  # at least: small samples are read more often
     batch: int = 64
     rate: float = 0.02
     decay: float = 1e-5
@@ -147,9 +148,10 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(z + self.model.shift[language], -30, 30)))
 
 
-def train(texts: list[str], labels: np.ndarray, how: Training) -> Model | None:
+def train(texts: list[str], labels: np.ndarray, how: Training) -> Model | float:
+    """The model, or the one label that there is (0 for none)."""
     if len(np.unique(labels)) < 2:
-        return None
+        return float(labels[0]) if len(labels) else 0.0
     rng = np.random.default_rng(how.seed)
     docs = _word_ids(texts, how.buckets)
     pad = np.full((2, 1 + len(PREFIXES)), how.buckets, np.int32)
@@ -175,7 +177,7 @@ def train(texts: list[str], labels: np.ndarray, how: Training) -> Model | None:
         held[:] = False
     mine = np.flatnonzero(~held)
     weight = np.where(labels == 1, 0.5 / labels[mine].mean(), 0.5 / (1 - labels[mine].mean())) ** 0.5
-    for _ in range(how.epochs):
+    for _ in range(max(how.epochs, -(-how.steps * how.batch // max(1, len(mine))))):
         for k in range(0, len(mine), how.batch):
             if k == 0:
                 rng.shuffle(mine)
@@ -275,21 +277,21 @@ def train_task(how: Training):
 def score_task(handle):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = handle.value
-        scorer = Scorer(model) if model is not None else None
+        scorer = Scorer(model) if isinstance(model, Model) else None
         for batch in slices(batches, most=1 << 20):
-            scores = scorer.scores(batch.column("text")) if scorer else np.zeros(len(batch))
+            scores = scorer.scores(batch.column("text")) if scorer else np.full(len(batch), model)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns)), pa.array(scores, pa.float64())], names=[*batch.schema.names, "toxicity_score"])
 
     return run
 
 
-def fitted(docs: DataFrame, labels: DataFrame, how: Training = Training(), folds: int = 5, out: int = 0) -> Model | None:
+def fitted(docs: DataFrame, labels: DataFrame, how: Training = Training(), folds: int = 5, out: int = 0) -> Model | float:
     sample = labelled(docs, labels, "toxic", folds, out, how.train_rows).repartition(1).sortWithinPartitions(F.length("text"), "doc_id")
     made = sample.mapInArrow(train_task(how), "model binary").first()  # no row if there is no text
-    return pickle.loads(made.model) if made else None
+    return pickle.loads(made.model) if made else 0.0
 
 
-def toxicity_scores(spark: SparkSession, docs: DataFrame, model: Model | None) -> DataFrame:
+def toxicity_scores(spark: SparkSession, docs: DataFrame, model: Model | float) -> DataFrame:
     """``docs`` with toxicity_score; needs a column text and none of that name."""
     handle = spark.sparkContext.broadcast(model)  # its size is set by Training
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
