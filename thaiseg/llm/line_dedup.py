@@ -247,7 +247,7 @@ def removed_lines(spark: SparkSession, docs: DataFrame, width: int = 5, ratio: R
     total = info.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, int(total * 0.3 / BUCKET_POSTINGS))
     postings = texts.mapInArrow(posting_task(width, ratio, handle, buckets, identity), "bucket int, signatures binary, sets binary, places binary, before binary")
-    found = tables.write(postings.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(candidate_task(ratio), CANDIDATES_DDL), "candidates")
+    found = tables.write(postings.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(candidate_task(ratio), CANDIDATES_DDL), "candidates")
     verifier = Verifier(spark, tables, texts, info, width, ratio, identity, lines)
     groups = tables.write(found.where("gid is not null").select("gid", "size", "members").distinct(), "groups")
     pairs = verifier.possible(first_pairs(found), "first")

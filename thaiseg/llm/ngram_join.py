@@ -298,7 +298,7 @@ def similar_documents(spark: SparkSession, docs: DataFrame, width: int = 5, rati
     buckets = max(1, int(total * 0.6 / BUCKET_POSTINGS))
     handle = spark.sparkContext.broadcast(table)
     postings = texts.mapInArrow(posting_task(width, ratio, handle, buckets, identity), "bucket int, signatures binary, sets binary, sizes binary, before binary")
-    found = tables.write(postings.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(candidate_task(ratio), CANDIDATES_DDL), "candidates")
+    found = tables.write(postings.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(candidate_task(ratio), CANDIDATES_DDL), "candidates")
     verifier = Verifier(spark, tables, texts, info, width, ratio, identity)
     links = verifier.links(verifier.possible(first_pairs(found), "first"), "first")
     groups = tables.write(found.where("gid is not null").select("gid", "size", "members").distinct(), "groups")

@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from .storage import only, partitions_for
 
 BITS, LANES = 128, 32
+#: Ranges of ids for the next document: of about so many bytes, and so many at most.
+PART_BYTES, PARTS_MOST = 64 << 20, 4096
 _SPACES = r"[\x20\x09-\x0D]+"
 _PAIR = (1 << 32) + 1
 
@@ -122,7 +124,8 @@ def fingerprints_with_edits(spark: SparkSession, docs: DataFrame) -> DataFrame:
     the range before, so "the next document" never leaves a range.
     """
     docs = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    bounds = _ranges(docs, partitions_for(spark))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bounds = _ranges(docs, max(partitions_for(spark), min(PARTS_MOST, size // PART_BYTES)))
     part = F.coalesce(_above(F.col("doc_id"), bounds), F.lit(len(bounds)))
     placed = docs.withColumn("part", part.cast("int"))
     # a few values for each range; null ids stand last
@@ -136,6 +139,8 @@ def fingerprints_with_edits(spark: SparkSession, docs: DataFrame) -> DataFrame:
         is_head = F.col("doc_id").eqNullSafe(F.element_at(head_of, F.col("part")))
         copies = F.when(is_head, F.array(F.struct(F.col("part").alias("p"), F.lit(True).alias("own")), F.struct(F.element_at(prev_of, F.col("part")).alias("p"), F.lit(False).alias("own")))).otherwise(copies)
     rows = placed.select("doc_id", "text", F.explode(copies).alias("c")).select("doc_id", "text", F.col("c.p").alias("part"), F.col("c.own").alias("own"))
+    # a task for each range: by hash several ranges would share one
+    rows = rows.repartitionById(len(bounds) + 1, F.col("part"))
     order = Window.partitionBy("part").orderBy(F.desc("own"), F.desc_nulls_last("doc_id"), "text")
     rows = rows.withColumn("pos", F.row_number().over(order)).withColumn("next", F.lead("text").over(order))
     edited = F.concat(F.expr("substring(text, 1, length(text) - CAST(floor(length(text) / 2) AS INT))"), F.expr("substring(next, 1, CAST(floor(length(text) / 2) AS INT))"))
