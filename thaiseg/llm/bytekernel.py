@@ -8,6 +8,8 @@ hash is linear in the bytes, so texts made to cancel out don't collide.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -174,6 +176,16 @@ def distinct_within(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray
     return out[keep], kept[offsets]
 
 
+def trim() -> None:
+    """Gives what a task has freed back to the system: workers outlive their tasks,
+    and share the executor's memory with the JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(batches, column: str = "text", most: int = 1 << 20):
     """Parts of record batches with about ``most`` bytes of text each (one text at least)."""
     for batch in batches:
@@ -186,3 +198,4 @@ def slices(batches, column: str = "text", most: int = 1 << 20):
             to = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
             yield batch.slice(at, to - at)
             at = to
+    trim()

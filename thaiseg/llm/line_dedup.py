@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytekernel import finalise, slices, utf8
-from .set_pairs import BUCKET_POSTINGS, CANDIDATES_DDL, FLUSH, SMALL_GROUP, Identity, Ratio, Recurring, Seen, Sketches, Verifier, blocks, by_bucket, check_ratio, common_table, first_pairs, group_batches, groups_of, near_pairs, packed_postings, pair_batches, picked, rarest, sets_of, settled, sketches, small_pairs, uncovered, whole_groups, within
+from .set_pairs import BUCKET_POSTINGS, CANDIDATES_DDL, HELD, SMALL_GROUP, Identity, Ratio, Recurring, Seen, Sketches, Verifier, blocks, by_bucket, check_ratio, common_table, first_pairs, group_batches, groups_of, near_pairs, packed_postings, pair_batches, picked, rarest, sets_of, settled, sketches, small_pairs, uncovered, whole_groups, within
 from .storage import Tables, hot_values, only, salted_join
 
 SKETCH = 256
@@ -129,7 +129,7 @@ def posting_task(width: int, ratio: Ratio, common, buckets: int, identity: Ident
             before = np.where(pos > 0, np.concatenate([tokens[:1], tokens[:-1]]), np.uint64(0))
             pending.append((tokens, sets[new][of], place, before))
             held += len(tokens)
-            if held > FLUSH:
+            if held > HELD:
                 yield from flushed()
                 pending, held = [], 0
         if pending:

@@ -58,7 +58,7 @@ from pyspark.sql import functions as F
 
 from .bytekernel import distinct_within, finalise, slices
 from .components import components
-from .set_pairs import BUCKET_POSTINGS, CANDIDATES_DDL, FLUSH, SMALL_GROUP, Common, Identity, Ratio, Recurring, Seen, Sketches, Verifier, blocks, by_bucket, check_ratio, common_table, first_pairs, group_batches, groups_of, near_pairs, packed_postings, pair_batches, picked, rarest, sets_of, settled, sketches, small_pairs, uncovered, whole_groups, within
+from .set_pairs import BUCKET_POSTINGS, CANDIDATES_DDL, HELD, SMALL_GROUP, Common, Identity, Ratio, Recurring, Seen, Sketches, Verifier, blocks, by_bucket, check_ratio, common_table, first_pairs, group_batches, groups_of, near_pairs, packed_postings, pair_batches, picked, rarest, sets_of, settled, sketches, small_pairs, uncovered, whole_groups, within
 from .storage import Tables, hot_values, only, salted_join
 
 
@@ -197,7 +197,7 @@ def posting_task(width: int, ratio: Ratio, common, buckets: int, identity: Ident
             before[at[:-1][np.diff(at) > 0]] = 0
             pending.append((sig, sets[new][of], np.minimum(np.diff(offsets), _SIZE_MOST)[of].astype(np.uint16), before))
             held += len(sig)
-            if held > FLUSH:
+            if held > HELD:
                 yield from flushed()
                 pending, held = [], 0
         if pending:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytekernel import Words, distinct_within, finalise, shingles, slices, utf8
+from .bytekernel import Words, distinct_within, finalise, shingles, slices, trim, utf8
 from .storage import Tables
 
 #: A shingle of at least so many sets of a task's counts is common; the table
@@ -29,6 +29,8 @@ COMMON_MIN, COMMON_MOST = 12, 1 << 17
 #: than BLOCK are cut into blocks.
 SMALL_GROUP, BLOCK = 6, 2048
 FLUSH, BUCKET_POSTINGS = 1 << 20, 3 << 19
+#: Postings that a task holds before it sends them.
+HELD = 1 << 18
 SEEN_MOST = 1 << 18
 BITMAP_BITS = 1 << 23
 #: Rows and pairs that are looked at together.
@@ -308,6 +310,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int =
     if held:
         table = pa.Table.from_batches(held)
         yield table, numbered(table)
+    trim()
 
 
 # --- candidates ---------------------------------------------------------------
@@ -395,6 +398,7 @@ def by_bucket(batches: Iterator[pa.RecordBatch], kinds: list) -> Iterator[list[n
 
     def whole() -> list[np.ndarray]:
         columns = [np.concatenate(x) for x in zip(*held)]
+        held.clear()
         order = np.lexsort((columns[1], columns[0]))
         columns = [c[order] for c in columns]
         keep = np.ones(len(order), bool)
@@ -405,11 +409,11 @@ def by_bucket(batches: Iterator[pa.RecordBatch], kinds: list) -> Iterator[list[n
         for row in zip(batch.column(0).to_pylist(), *(batch.column(k) for k in range(1, batch.num_columns))):
             if row[0] != now and held:
                 yield whole()
-                held = []
             now = row[0]
             held.append([np.frombuffer(x.as_buffer(), kind) for x, kind in zip(row[1:], kinds)])
     if held:
         yield whole()
+    trim()
 
 
 def groups_of(signatures: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -475,6 +479,7 @@ def verify_task(ratio: Ratio):
                 both = int(np.count_nonzero(z[1:] == z[:-1]))
                 good.append(den * both >= num * (len(z) - both))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+        trim()
 
     return run
 
