@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from .bytekernel import trim
 from .storage import Tables, only, partitions_for
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -117,6 +118,7 @@ def slot_task(n_blocks: list[int], seed: int):
                         own = j // n == turn
                         block[own] = permuted(j[own] % n, n, seed + 1_000_003 * source + int(turn))
                     yield pd.DataFrame({"shard": shard, "source_no": source, "slot": j, "turn": j // n, "block": block})
+        trim()
 
     return run
 
@@ -208,6 +210,7 @@ def _cut_task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             whole = len(merged) == 1 and merged[0] == [0, len(ends)]
             texts.append(text if whole else "\n".join(text[ends[a][0] : ends[b - 1][1]] for a, b in merged))
         yield pd.DataFrame({"doc_id": frame.doc_id, "text": texts, "lang": frame.lang, "source": frame.source})
+    trim()
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, mix: Mix = Mix()) -> DataFrame:

@@ -48,7 +48,7 @@ from .bytekernel import Words, exact, not_blank, slices, utf8
 from .storage import only, partitions_for
 
 END_ID = 0
-MEMO_MOST = 1 << 20
+MEMO_MOST = 1 << 19
 ROWS_PER_SHARD = 20_000
 _MASK = 0xA282EAD8
 #: A piece with such a first byte may start with (Unicode) white space.
@@ -115,7 +115,8 @@ class Encoder:
         return np.where(self.known[at] == keys, self.known_at[at], -1)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, self.dtype) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        # one at a time: the library's result holds far more than the ids
+        return [np.array(self.model.encode(t, add_special_tokens=False).ids, self.dtype) for t in texts]
 
     def _learn(self, keys: np.ndarray, checks: np.ndarray, pieces: list[bytes]) -> None:
         """Encodes spaced pieces as one text and cuts its ids at their bytes."""

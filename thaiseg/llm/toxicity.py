@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytekernel import Words, alphanumeric, folded, slices, utf8
+from .bytekernel import Words, alphanumeric, folded, slices, trim, utf8
 from .storage import only
 
 WIDTHS = (1, 2, 3)
@@ -269,7 +269,10 @@ def train_task(how: Training):
                 if used <= how.train_chars:
                     texts.append(text)
                     y.append(label)
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts, np.array(y, np.int64), how))], pa.binary())], names=["model"])
+        made = pickle.dumps(train(texts, np.array(y, np.int64), how))
+        texts.clear()
+        trim()
+        yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], names=["model"])
 
     return run
 
