@@ -50,6 +50,8 @@ from .storage import only, partitions_for
 END_ID = 0
 MEMO_MOST = 1 << 19
 ROWS_PER_SHARD = 20_000
+#: Characters that the library encodes at a time, or one text.
+CHARS = 1 << 16
 _MASK = 0xA282EAD8
 #: A piece with such a first byte may start with (Unicode) white space.
 _ODD = np.zeros(256, bool)
@@ -115,8 +117,14 @@ class Encoder:
         return np.where(self.known[at] == keys, self.known_at[at], -1)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
-        # one at a time: the library's result holds far more than the ids
-        return [np.array(self.model.encode(t, add_special_tokens=False).ids, self.dtype) for t in texts]
+        # in groups: the library's results hold far more than the ids
+        out, at = [], 0
+        ends = np.cumsum([len(t) for t in texts])
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHARS, "right")))
+            out += [np.array(e.ids, self.dtype) for e in self.model.encode_batch_fast(texts[at:to], add_special_tokens=False)]
+            at = to
+        return out
 
     def _learn(self, keys: np.ndarray, checks: np.ndarray, pieces: list[bytes]) -> None:
         """Encodes spaced pieces as one text and cuts its ids at their bytes."""
