@@ -48,7 +48,7 @@ from .bytekernel import Words, exact, not_blank, slices, utf8
 from .storage import only, partitions_for
 
 END_ID = 0
-MEMO_MOST = 1 << 19
+MEMO_MOST = 1 << 20
 ROWS_PER_SHARD = 20_000
 #: Characters that the library encodes at a time, or one text.
 CHARS = 1 << 16
