@@ -172,6 +172,33 @@ def test_pseudonyms_in_texts(spark):
     assert undone == dict(rows)
 
 
+def test_pseudonyms_of_other_scripts_countries_and_dates():
+    p, back = pii.Pseudonyms(b"key"), pii.Pseudonyms(b"key", undo=True)
+    sub = lambda names, text: pii.PATTERN.sub(lambda m: names.replaced(m)[0], text)
+    for text, kind in {
+        "müller@firma.de": "email", "josé.garcía@x.es": "email", "jose\u0301@x.es": "email", "иван.петров@почта.рф": "email", "x@bücher.de": "email",
+        "+49 30 1234567": "phone", "+33 1 42 68 53 00": "phone", "+33142685300": "phone", "+44 (0)20 7946 0958": "phone", "+44 (20) 7946-0958": "phone",
+        "+41.44.668.18.00": "phone", "12/31/1999": "date",
+    }.items():
+        m = pii.PATTERN.fullmatch(text)
+        new, found = p.replace(m)
+        assert found == kind and new != text and sub(back, f"a {new}, b") == f"a {text}, b", text
+        if kind == "email":
+            name, changed = text.split("@")[0], new.split("@")[0]
+            assert [c.isalpha() for c in name] == [c.isalpha() for c in changed]
+    # letters outside ASCII don't leave the others of the name in clear
+    assert not sub(p, "josé.garcía@x.es").startswith("josé") and "garc" not in sub(p, "josé.garcía@x.es")
+    phone, card = sub(p, "+49 30 1234567"), sub(p, "4111 1111 1111 1111")
+    assert sub(p, "+49 30 1234567 4111 1111 1111 1111") == f"{phone} {card}"
+    assert sub(p, "+49 30 1234567 2024-05-01") == f"{phone} {sub(p, '2024-05-01')}"
+    for text in ("+1 2", "+1234567", "x +100 x", "13/13/1999", "3 + 4", "+12 5"):
+        assert sub(p, text) == text
+    assert pii.PATTERN.search("+4930123456789012345").lastgroup == "digits"
+    days = [f"{m:02d}/{d}/2001" for m in range(1, 13) for d in range(13, 29)]
+    made = [sub(p, d) for d in days]
+    assert len(set(made)) == len(days) and all(int(d[3:5]) > 12 for d in made) and [sub(back, d) for d in made] == days
+
+
 def test_pseudonyms_of_joined_numbers():
     p, back = pii.Pseudonyms(b"key"), pii.Pseudonyms(b"key", undo=True)
     sub = lambda names, text: pii.PATTERN.sub(lambda m: names.replaced(m)[0], text)

@@ -11,12 +11,17 @@ card    13-19 digits that pass the Luhn check       all digits but the check dig
 number  13-19 digits that don't                     digits; the result never passes the check
 iban    two letters, ISO 7064 mod 97 holds          digits of the account part; check digits made anew
 ssn     ddd-dd-dddd of an assignable range          digits, walked until assignable
-phone   +d(dd) (ddd) ddd-dddd and similar           the last seven digits
+phone   (ddd) ddd-dddd; +, 8 to 15 digits, joined   the last seven digits
 ip      four octets up to 255                       the 32-bit address
 date    yyyy-mm-dd, dd/mm/yyyy, dd.mm.yyyy, real    the day number within 1900 to 2099
-email   name@host.tld                               letters and digits of the name
+date    mm/dd/yyyy that isn't dd/mm/yyyy            the same, walked until it isn't either
+email   name@host.tld, letters of any script        letters, marks and digits of the name
 secret  32-64 hexadecimal digits                    hexadecimal digits
 
+A date of month first is linked with others of its form only.  Letters are
+permuted within their block of 128 code points and their category, so é becomes
+another small Latin letter.
+
 Digits joined by single spaces or hyphens may be several numbers, or a number and
 something else (``number_spans`` tells them apart).  Equal numbers get equal
 pseudonyms, except in a run where the new digits would be told apart otherwise.
@@ -31,8 +36,10 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import datetime
+import functools
 import hashlib
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -45,11 +52,17 @@ ROUNDS = 8
 KINDS = ("card", "number", "iban", "ssn", "phone", "ip", "date", "email", "secret")
 _FIRST_DAY, _DAYS = datetime.date(1900, 1, 1).toordinal(), 73_049
 
-_EMAIL = r"(?<![\w.+-])[\w.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+# names and hosts in any script, combining marks included
+_EMAIL = r"(?u:(?<![\w\u0300-\u036f.+-])[\w\u0300-\u036f.+-]+@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,})"
 _SECRET = r"(?<![0-9A-Za-z])(?=[0-9]*[a-fA-F])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])"
 _DATE = r"(?<![\d.])(?:(?:19|20)\d\d-\d\d-\d\d|\d\d/\d\d/(?:19|20)\d\d|\d\d\.\d\d\.(?:19|20)\d\d)(?![\d.]*\d)"
 _SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 _IP = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)"
+# a plus and 8 to 15 digits in groups, up to a group that begins a card, a date or an address by its shape
+_CARD = r"\d{13,}|\d{4}(?:[ -]\d{4}){3}(?!\d)|\d{4}[ -]\d{6}[ -]\d{4,5}(?!\d)"
+_SHAPES = rf"{_CARD}|\d{{4}}-\d\d-\d\d(?!\d)|\d\d[/.]\d\d[/.]\d{{4}}(?!\d)"
+_JOINT = rf"(?: (?!\d{{1,3}}(?:\.\d{{1,3}}){{3}}(?!\d|\.\d))(?!{_SHAPES})|[.-](?!{_SHAPES})|[ .-]?\(|\)[ .-]?)"
+_WORLD = rf"(?<![\d+])\+(?!\d{{16}}|\d{{4}}(?:[ -]\d{{4}}){{3}}(?!\d))[1-9](?:{_JOINT}?\d){{7,14}}(?!\d)"
 _EXPIRY = r"\d\d/\d\d(?!\d)"
 # groups of digits joined by single spaces or hyphens, up to one that begins something else
 _GROUP = rf"(?!{_EMAIL}|{_SECRET}|{_DATE}|{_SSN}|{_IP}|{_EXPIRY})\d{{1,19}}(?!\d)"
@@ -58,7 +71,8 @@ PATTERN = re.compile(
     rf"|(?P<secret>{_SECRET})"
     r"|(?P<iban>(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z]))"
     rf"|(?P<date>{_DATE})"
-    r"|(?P<phone>(?<![\d+])\+\d{1,3}[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}-\d{4}(?!\d))"
+    r"|(?P<phone>(?<![\d+])\+\d{1,3}[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)"
+    rf"|{_WORLD})"
     rf"|(?P<ssn>{_SSN})"
     rf"|(?P<ip>{_IP})"
     rf"|(?P<digits>(?<!\d)(?=\d(?:[ -]?\d){{12}}){_GROUP}(?:[ -]{_GROUP})*)",
@@ -190,6 +204,16 @@ def _into(template: str, digits: str) -> str:
     return "".join(next(source) if c.isdigit() else c for c in template)
 
 
+@functools.lru_cache(4096)
+def _alphabet(c: str) -> str:
+    """What a character may become: its like among the 128 code points of its block."""
+    kind = unicodedata.category(c)
+    if kind[0] not in "LMN":
+        return c
+    first = ord(c) & ~127
+    return "".join(x for x in map(chr, range(first, first + 128)) if unicodedata.category(x) == kind)
+
+
 class Pseudonyms:
     def __init__(self, key: bytes, undo: bool = False):
         f = Feistel(key)
@@ -264,28 +288,33 @@ class Pseudonyms:
     def _date(self, value: str) -> str | None:
         day = _day(value)
         if day is None:
-            return None
+            return self._month_first(value) if "/" in value else None
         d = datetime.date.fromordinal(_FIRST_DAY + self.move(day - _FIRST_DAY, _DAYS, "date"))
         return d.strftime("%Y-%m-%d" if value[4] == "-" else "%d/%m/%Y" if "/" in value else "%d.%m.%Y")
 
+    def _month_first(self, value: str) -> str | None:
+        day = _day(f"{value[3:5]}/{value[:2]}/{value[6:]}")
+        while day is not None:
+            day = _FIRST_DAY + self.move(day - _FIRST_DAY, _DAYS, "date")
+            d = datetime.date.fromordinal(day)
+            if d.day > 12:
+                return d.strftime("%m/%d/%Y")
+        return None
+
     def _email(self, value: str) -> str:
         name, host = value.split("@", 1)
         return f"{self._alike(name, 'email')}@{host}"
 
     def _alike(self, text: str, tweak: str) -> str:
-        """Letters of each case and digits permuted among themselves, as one number."""
-        bases = [(10, "0") if c.isdigit() and c.isascii() else (26, "a") if c.isascii() and c.islower() else (26, "A") if c.isascii() and c.isupper() else None for c in text]
+        """Letters, marks and digits permuted among their like, as one number."""
+        alphabets = [_alphabet(c) for c in text]
         x, n = 0, 1
-        for c, b in zip(text, bases):
-            if b:
-                x, n = x * b[0] + ord(c) - ord(b[1]), n * b[0]
-        shape = "".join(b[1] if b else c for c, b in zip(text, bases))
-        x, out = self.move(x, n, f"{tweak}/{shape}"), []
-        for c, b in zip(reversed(text), reversed(bases)):
-            if b:
-                x, r = divmod(x, b[0])
-                c = chr(ord(b[1]) + r)
-            out.append(c)
+        for c, letters in zip(text, alphabets):
+            x, n = x * len(letters) + letters.index(c), n * len(letters)
+        x, out = self.move(x, n, f"{tweak}/{''.join(letters[0] for letters in alphabets)}"), []
+        for letters in reversed(alphabets):
+            x, r = divmod(x, len(letters))
+            out.append(letters[r])
         return "".join(reversed(out))
 
     def _secret(self, value: str) -> str:
