@@ -37,6 +37,8 @@ def test_fingerprints_beside_the_edited_text(spark, monkeypatch, parts):
         r = out[i]
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited[i].encode()).hexdigest())
         assert (r.fingerprint, r.edited_fingerprint) == (prints[i], edits[i])
+        near = [d for p in set(prints.values()) if 0 < (d := (int(p, 16) ^ int(prints[i], 16)).bit_count()) <= simhash.RADIUS]
+        assert (r.n_near, r.nearest) == (len(near), min(near, default=None))
         assert r.near_edited == likeness(prints[i], edits[i]) and r.near_next == likeness(prints[i], prints[(i - 1) % len(whole)])
 
 

@@ -257,6 +257,27 @@ def test_fingerprints_and_neighbours(spark):
     assert got == {(a, b, bits(a, b)) for a, b in itertools.combinations(sorted(halves), 2) if bits(a, b) <= 3}
 
 
+@pytest.mark.parametrize("group", [3, 4096])
+def test_near_counts_by_brute_force(spark, monkeypatch, group):
+    """A dense cluster and far fingerprints, with large keys dealt in groups or not."""
+    monkeypatch.setattr(simhash, "GROUP", group)
+    rng = random.Random(7)
+    base = [rng.getrandbits(128) for _ in range(30)]
+    prints = {b ^ sum(1 << i for i in rng.sample(range(128), k)) for b in base for k in range(0, 12, 2)} | {base[0] ^ (1 << i) for i in range(60)} | {0, 1}
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    df = spark.createDataFrame([(signed(p >> 64), signed(p & ((1 << 64) - 1))) for p in prints] * 2, "hi long, lo long")
+    got = {(r.hi, r.lo): (r.n_near, r.nearest) for r in simhash.near_counts(df, simhash.RADIUS, simhash.BLOCKS).collect()}
+    want = {}
+    for p in prints:
+        near = [d for q in prints if 0 < (d := (p ^ q).bit_count()) <= simhash.RADIUS]
+        if near:
+            want[signed(p >> 64), signed(p & ((1 << 64) - 1))] = (len(near), min(near))
+    assert got == want and max(n for n, _ in got.values()) > 50
+    for radius, blocks in ((3, 3), (-1, 2), (6, 14)):
+        with pytest.raises(ValueError):
+            simhash.near_counts(df, radius, blocks)
+
+
 def test_fingerprint_votes_by_hand(spark):
     """One term alone gives its own hash bits; likeness follows what texts share."""
     words = [f"term{i}" for i in range(300)]

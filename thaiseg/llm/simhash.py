@@ -10,9 +10,10 @@ Votes are counted two bits to a long (bits i and i + 32 in lanes of 32 bits), so
 that one aggregation of 64 sums fingerprints all texts; map-side sums leave one
 row for each text in the shuffle.
 
-``neighbours`` finds all pairs of distinct fingerprints within a Hamming radius
-by permuted block tables: with b blocks, two fingerprints within radius r agree
-on b - r blocks at least, and each choice of b - r blocks is one table.
+``near_counts`` and ``neighbours`` find all distinct fingerprints within a Hamming
+radius of each other by permuted block tables: with b blocks, two fingerprints
+within radius r agree on b - r blocks at least, and each choice of b - r blocks is
+one table.
 
 Defined results: null and empty texts and texts without words have the
 fingerprint of no votes, zero; equal texts have equal fingerprints; rows with
@@ -28,11 +29,15 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .storage import only, partitions_for
+from .storage import Tables, hot_values, only, partitions_for, salted_join
 
 BITS, LANES = 128, 32
 #: Ranges of ids for the next document: of about so many bytes, and so many at most.
 PART_BYTES, PARTS_MOST = 64 << 20, 4096
+#: The block tables of the query: 28 of two blocks of 16 bits each.
+RADIUS, BLOCKS = 6, 8
+#: Rows of a key that are compared in one group, and tables at most (a power of two).
+GROUP, TABLES_MOST = 4096, 256
 _SPACES = r"[\x20\x09-\x0D]+"
 _PAIR = (1 << 32) + 1
 
@@ -78,28 +83,77 @@ def fingerprints(texts: DataFrame, text: str = "text", key: str = "doc_id") -> D
     return fingerprint_words(only(texts, key, text), text, key).select(key, as_hex("hi", "lo").alias("fingerprint"), "hi", "lo")
 
 
-def neighbours(prints: DataFrame, radius: int = 3, blocks: int = 5) -> DataFrame:
-    """hi, lo, other_hi, other_lo, distance of all distinct pairs within radius."""
-    distinct = prints.select("hi", "lo").distinct()
+def _linked(tables: Tables, prints: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """hi, lo, other_hi, other_lo, distance of all distinct fingerprints within
+    radius, each pair in both orders and once.
+
+    A pair is found in the first table whose blocks it agrees on.  The rows of a
+    key are dealt in groups of GROUP, each compared with all rows of the key in
+    a task's merge join, which holds them in memory or spills.
+    """
+    same = blocks - radius
+    choices = list(combinations(range(blocks), max(same, 1)))
+    if same < 1 or radius < 0 or len(choices) > TABLES_MOST:
+        raise ValueError(f"radius {radius} of {blocks} blocks: more blocks than radius, and {TABLES_MOST} tables at most")
     edges = [round(i * BITS / blocks) for i in range(blocks + 1)]
 
-    def block(a: int, b: int) -> Column:
-        parts = []
+    def masks(i: int) -> list[tuple[str, int]]:
+        out = []
         for half, word in enumerate(("hi", "lo")):
-            x, y = max(a - 64 * half, 0), min(b - 64 * half, 64)
+            x, y = max(edges[i] - 64 * half, 0), min(edges[i + 1] - 64 * half, 64)
             if x < y:
-                mask = (1 << (y - x)) - 1
-                parts.append(F.shiftrightunsigned(word, x).bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)))
-        return F.xxhash64(*parts) if len(parts) > 1 else parts[0]
+                mask = ((1 << (y - x)) - 1) << x
+                out.append((word, mask - (1 << 64) if mask >> 63 else mask))
+        return out
+
+    def key(no: int, choice: tuple[int, ...]) -> Column:
+        hashed = F.xxhash64(*[F.col(w).bitwiseAND(F.lit(m).cast("long")) for i in choice for w, m in masks(i)])
+        return hashed.bitwiseAND(F.lit(-TABLES_MOST).cast("long")).bitwiseOR(F.lit(no).cast("long"))
+
+    distinct = tables.write(prints.select("hi", "lo").distinct(), "distinct")
+    keyed = distinct.select("hi", "lo", F.explode(F.array(*[key(no, c) for no, c in enumerate(choices)])).alias("key"))
+    large = tables.write(keyed.groupBy("key").count().where(F.col("count") > GROUP).select("key", F.ceil(F.col("count") / GROUP).cast("int").alias("groups")), "large")
+    if large.isEmpty():
+        left = keyed.withColumn("group", F.lit(0))
+        right = left
+    else:
+        sized = salted_join(keyed, large, "key", hot_values(large, "key", "groups"), "hi", "lo", how="left").withColumn("groups", F.coalesce("groups", F.lit(1)))
+        left = sized.select("hi", "lo", "key", F.expr("CAST(pmod(xxhash64(lo, hi), groups) AS INT)").alias("group"))
+        right = sized.select("hi", "lo", "key", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"))
+    other = right.select("key", "group", F.col("hi").alias("other_hi"), F.col("lo").alias("other_lo"))
+    # by the set of blocks that agree, the first table that has only such blocks
+    numbers = {c: no for no, c in enumerate(choices)}
+    found_in = [numbers.get(tuple(i for i in range(blocks) if agree >> i & 1)[:same], -1) for agree in range(1 << blocks)]
+    agree = " + ".join("if(" + " AND ".join(f"(({w} ^ other_{w}) & {m}L) = 0" for w, m in masks(i)) + f", {1 << i}, 0)" for i in range(blocks))
+    pairs = left.join(other, ["key", "group"]).withColumn("distance", F.expr("bit_count(hi ^ other_hi) + bit_count(lo ^ other_lo)"))
+    first = F.element_at(F.array(*[F.lit(no) for no in found_in]), F.expr(f"1 + {agree}"))
+    pairs = pairs.where(F.col("distance").between(1, radius) & (first == F.expr(f"CAST(key & {TABLES_MOST - 1} AS INT)")))
+    return pairs.select("hi", "lo", "other_hi", "other_lo", "distance")
+
+
+def neighbours(prints: DataFrame, radius: int = 3, blocks: int = 5) -> DataFrame:
+    """hi, lo, other_hi, other_lo, distance of all pairs of distinct fingerprints
+    within radius.  ``near_counts`` has a row for each fingerprint instead."""
+    pairs = _linked(Tables(prints.sparkSession, "simhash"), prints, radius, blocks)
+    return pairs.where("hi < other_hi OR (hi = other_hi AND lo < other_lo)")
+
+
+def near_counts(prints: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """hi, lo, n_near, nearest of the fingerprints with others within radius: how
+    many there are and the least distance.  Pairs are counted where they are
+    found, so none of them is shuffled or written."""
+    pairs = _linked(Tables(prints.sparkSession, "simhash"), prints, radius, blocks)
+    return pairs.groupBy("hi", "lo").agg(F.count("*").alias("n_near"), F.min("distance").cast("int").alias("nearest"))
+
 
-    cut = [block(edges[i], edges[i + 1]) for i in range(blocks)]
-    tables = [F.struct(F.lit(t).alias("no"), F.xxhash64(*[cut[i] for i in choice]).alias("key")) for t, choice in enumerate(combinations(range(blocks), blocks - radius))]
-    rows = distinct.select("hi", "lo", F.explode(F.array(*tables)).alias("t")).select("hi", "lo", "t.no", "t.key")
-    # a key that one fingerprint has alone finds nothing
-    other = rows.select("no", "key", F.col("hi").alias("other_hi"), F.col("lo").alias("other_lo"))
-    pairs = rows.join(other, ["no", "key"]).where("(hi < other_hi) OR (hi = other_hi AND lo < other_lo)")
-    pairs = pairs.withColumn("distance", F.expr("bit_count(hi ^ other_hi) + bit_count(lo ^ other_lo)")).where(F.col("distance") <= radius)
-    return pairs.select("hi", "lo", "other_hi", "other_lo", "distance").distinct()
+def with_neighbours(found: DataFrame, radius: int, blocks: int, tables: Tables) -> DataFrame:
+    """``found`` (fingerprint, hi, lo and more) with n_near and nearest: the other
+    fingerprints within radius, equal ones not counted; nearest is null if none."""
+    found = tables.write(found, "found")
+    near = near_counts(found, radius, blocks).select(as_hex("hi", "lo").alias("fingerprint"), "n_near", "nearest")
+    near = tables.write(near, "near")
+    out = salted_join(found.drop("hi", "lo"), near, "fingerprint", hot_values(found, "fingerprint"), "doc_id", "edited_sha256", how="left")
+    return out.withColumn("n_near", F.coalesce("n_near", F.lit(0).cast("long")))
 
 
 def _ranges(docs: DataFrame, n: int) -> list[int]:
@@ -117,8 +171,9 @@ def _above(column: Column, bounds: list[int]) -> Column:
     return F.when(column > F.lit(bounds[mid]), _above(column, bounds[mid + 1 :])).otherwise(F.lit(len(bounds) - mid) + _above(column, bounds[:mid]))
 
 
-def fingerprints_with_edits(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Every text's fingerprint beside that of its edited text and the next document.
+def fingerprints_with_edits(spark: SparkSession, docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """Every text's fingerprint beside that of its edited text and the next document,
+    with the number of other fingerprints within radius and the least distance.
 
     Ids are cut into ranges; a range's first document is also put at the end of
     the range before, so "the next document" never leaves a range.
@@ -157,4 +212,6 @@ def fingerprints_with_edits(spark: SparkSession, docs: DataFrame) -> DataFrame:
     )
     after = Window.partitionBy("part").orderBy("pos")
     one = one.withColumn("hi2", F.lead("hi0").over(after)).withColumn("lo2", F.lead("lo0").over(after)).where("own")
-    return one.select("doc_id", "n_chars", "edited_sha256", as_hex("hi0", "lo0").alias("fingerprint"), as_hex("hi1", "lo1").alias("edited_fingerprint"), likeness("hi0", "lo0", "hi1", "lo1").alias("near_edited"), likeness("hi0", "lo0", "hi2", "lo2").alias("near_next"))
+    made = one.select("doc_id", "n_chars", "edited_sha256", as_hex("hi0", "lo0").alias("fingerprint"), as_hex("hi1", "lo1").alias("edited_fingerprint"), likeness("hi0", "lo0", "hi1", "lo1").alias("near_edited"), likeness("hi0", "lo0", "hi2", "lo2").alias("near_next"), F.col("hi0").alias("hi"), F.col("lo0").alias("lo"))
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_near", "nearest"]
+    return with_neighbours(made, radius, blocks, Tables(spark, "simhash")).select(*names)
