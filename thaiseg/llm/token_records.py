@@ -104,10 +104,10 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known, self.known_at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.checks = np.zeros((0, 2), np.uint64)
+        self.known, self.known_at = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.pool, self.used = np.zeros(1 << 16, self.dtype), 0
-        self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        # by place: second hashes, and where the ids are in the pool
+        self.checks, self.starts, self.sizes = np.zeros((1 << 14, 2), np.uint64), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
         """Memo places of ascending keys, -1 if absent."""
@@ -127,9 +127,10 @@ class Encoder:
         return out
 
     def _learn(self, keys: np.ndarray, checks: np.ndarray, pieces: list[bytes]) -> None:
-        """Encodes spaced pieces as one text and cuts its ids at their bytes."""
-        ids = self.whole([b"".join(pieces).decode()])[0]
+        """Encodes spaced pieces joined to texts of bounded size and cuts the ids at their bytes."""
         ends = np.cumsum([len(p) for p in pieces])
+        bounds = [0, *(np.flatnonzero(np.diff(ends // CHARS)) + 1).tolist(), len(pieces)]
+        ids = np.concatenate(self.whole([b"".join(pieces[i:j]).decode() for i, j in zip(bounds, bounds[1:])]))
         cuts = np.searchsorted(np.cumsum(self.token_bytes[ids]), ends) + 1
         reached = np.concatenate([[0], np.cumsum(self.token_bytes[ids])])
         if not np.array_equal(reached[cuts], ends):
@@ -141,15 +142,16 @@ class Encoder:
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         while n + len(keys) > len(self.starts):
-            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
+            self.checks, self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.checks, self.starts, self.sizes))
         self.pool[self.used : self.used + len(ids)] = ids
         self.starts[n : n + len(keys)] = self.used + np.cumsum(sizes) - sizes
         self.sizes[n : n + len(keys)] = sizes
+        self.checks[n : n + len(keys)] = checks
         self.used += len(ids)
-        self.checks = np.concatenate([self.checks, checks])
-        joined = np.concatenate([self.known, keys])
-        order = np.argsort(joined, kind="stable")
-        self.known, self.known_at = joined[order], np.concatenate([self.known_at, np.arange(n, n + len(keys))])[order]
+        # both are ascending, so the memo isn't sorted again
+        at = np.searchsorted(self.known, keys)
+        self.known = np.insert(self.known, at, keys)
+        self.known_at = np.insert(self.known_at, at, np.arange(n, n + len(keys), dtype=np.int32))
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts joined, and n + 1 offsets."""
@@ -189,7 +191,7 @@ class Encoder:
                 self._add(distinct[new[alone]], checks[first[new[alone]]], np.concatenate(got), np.array([len(g) for g in got]))
             index = self._find(distinct)
         index = index[back]
-        sizes, starts = self.sizes[index], self.starts[index]
+        sizes, starts = self.sizes[index].astype(np.int64), self.starts[index]
         ends = np.cumsum(sizes)
         flat = self.pool[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
         per_text = np.bincount(owner[places], sizes, n).astype(np.int64)
