@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from thaiseg.llm import bytekernel, decontaminate, line_dedup, ngram_join, set_pairs, simhash, storage
 
@@ -182,6 +183,17 @@ def test_groups_covered_by_the_signature_before():
     assert set_pairs.uncovered(before, first[:0], size[:0]).tolist() == []
 
 
+def test_members_of_groups_are_not_broadcast(spark):
+    """The copies of a group's row would all go to the driver; small groups have one."""
+    sizes = {gid: size for gid, size in enumerate([2, 7, 127, 128, 500, 5000])}
+    members = spark.createDataFrame([(g, n, 1000 * g + k) for g, n in sizes.items() for k in range(n)], "gid long, size long, set long")
+    groups = spark.createDataFrame([(g, n) for g, n in sizes.items() if g != 1], "gid long, size long")
+    got = set_pairs.within(members, groups)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert sorted(map(tuple, got.select("gid", "set").collect())) == [(g, 1000 * g + k) for g, n in sizes.items() if g != 1 for k in range(n)]
+
+
 def test_hot_keys_are_dealt(spark):
     rows = spark.createDataFrame([(7, i) for i in range(4000)] + [(i, 1) for i in range(100, 900)] + [(None, 5)], "k long, v long")
     hot = storage.hot_values(rows, "k")

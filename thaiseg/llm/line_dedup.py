@@ -218,7 +218,7 @@ def _rest(groups: DataFrame, info: DataFrame, matched: DataFrame, ratio: Ratio,
     members = members.join(matched.withColumn("matched", F.lit(True)), "set", "left").join(info.select("set", "n", "sketch", *PLACE), "set").withColumn("open", F.col("matched").isNull()).drop("matched")
     # a line can only match in the group if some member, open or not, is earlier
     place = F.struct(*PLACE)
-    undecided = members.groupBy("gid").agg(F.min(place).alias("first"), F.max(F.when(F.col("open"), place)).alias("last_open")).where("last_open > first").select("gid")
+    undecided = members.groupBy("gid").agg(F.min(place).alias("first"), F.max(F.when(F.col("open"), place)).alias("last_open"), F.max("size").alias("size")).where("last_open > first").select("gid", "size")
     rows = within(members, undecided)
     return blocks(rows).mapInArrow(rest_task(ratio, nearest), "a long, b long").distinct()
 

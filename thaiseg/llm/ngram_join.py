@@ -276,7 +276,7 @@ def _rest(groups: DataFrame, info: DataFrame, comps: DataFrame, ratio: Ratio, fo
     """Distinct possible pairs (a, b) across components inside the large groups."""
     members = groups.select("gid", "size", F.explode("members").alias("set"))
     members = members.join(comps, "set", "left").withColumn("comp", F.coalesce("comp", "set"))
-    mixed = members.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gid")
+    mixed = members.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("size").alias("size")).where("lo <> hi").select("gid", "size")
     rows = within(members, mixed).join(info.select("set", "n", "sketch"), "set")
     return blocks(rows).mapInArrow(rest_task(ratio, forest), "a long, b long").distinct()
 

@@ -423,10 +423,17 @@ def groups_of(signatures: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first[size > 1], size[size > 1]
 
 
-def within(members: DataFrame, groups: DataFrame, salts: int = 16) -> DataFrame:
-    """The members whose gid is in ``groups``.  Any group may be large, so all are salted."""
-    copied = groups.select("gid", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
-    return members.withColumn("salt", F.pmod("set", F.lit(salts))).join(copied, ["gid", "salt"]).drop("salt")
+#: A group in a join is copied once for each SALTED_BY members, SALTS_MOST times at most.
+SALTED_BY, SALTS_MOST = 128, 16
+
+
+def within(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """The members (gid, size, set, ...) whose gid is in ``groups`` (gid, size), with
+    large groups salted.  Spark's guess of the size leaves the copies out, so that it
+    would broadcast more than the driver holds."""
+    salts = F.least(F.lit(SALTS_MOST).cast("long"), 1 + F.floor(F.col("size") / SALTED_BY))
+    copied = groups.select("gid", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"))
+    return members.withColumn("salt", F.pmod("set", salts)).join(copied.hint("merge"), ["gid", "salt"]).drop("salt")
 
 
 def blocks(members: DataFrame) -> DataFrame:
