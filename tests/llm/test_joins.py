@@ -290,6 +290,13 @@ def test_near_counts_by_brute_force(spark, monkeypatch, group):
             simhash.near_counts(df, radius, blocks)
 
 
+def test_rows_of_block_tables_are_not_broadcast(spark):
+    """28 rows for each fingerprint, which Spark takes for one."""
+    prints = spark.range(50).select(F.xxhash64("id").alias("hi"), F.xxhash64("id", F.lit(1)).alias("lo"))
+    plan = simhash.near_counts(prints, simhash.RADIUS, simhash.BLOCKS)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_fingerprint_votes_by_hand(spark):
     """One term alone gives its own hash bits; likeness follows what texts share."""
     words = [f"term{i}" for i in range(300)]

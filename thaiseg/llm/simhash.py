@@ -125,7 +125,8 @@ def _linked(tables: Tables, prints: DataFrame, radius: int, blocks: int) -> Data
     numbers = {c: no for no, c in enumerate(choices)}
     found_in = [numbers.get(tuple(i for i in range(blocks) if agree >> i & 1)[:same], -1) for agree in range(1 << blocks)]
     agree = " + ".join("if(" + " AND ".join(f"(({w} ^ other_{w}) & {m}L) = 0" for w, m in masks(i)) + f", {1 << i}, 0)" for i in range(blocks))
-    pairs = left.join(other, ["key", "group"]).withColumn("distance", F.expr("bit_count(hi ^ other_hi) + bit_count(lo ^ other_lo)"))
+    # Spark's guess of the size leaves out that explode makes a row for each table, so it would send all of them to the driver to broadcast them
+    pairs = left.join(other.hint("merge"), ["key", "group"]).withColumn("distance", F.expr("bit_count(hi ^ other_hi) + bit_count(lo ^ other_lo)"))
     first = F.element_at(F.array(*[F.lit(no) for no in found_in]), F.expr(f"1 + {agree}"))
     pairs = pairs.where(F.col("distance").between(1, radius) & (first == F.expr(f"CAST(key & {TABLES_MOST - 1} AS INT)")))
     return pairs.select("hi", "lo", "other_hi", "other_lo", "distance")
