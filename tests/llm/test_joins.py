@@ -194,6 +194,21 @@ def test_members_of_groups_are_not_broadcast(spark):
     assert sorted(map(tuple, got.select("gid", "set").collect())) == [(g, 1000 * g + k) for g, n in sizes.items() if g != 1 for k in range(n)]
 
 
+@pytest.mark.parametrize("known", [32, 2])
+def test_a_pair_is_listed_by_its_first_group(monkeypatch, known):
+    """Of many groups with nearly the same sets only one lists a pair, if the sets
+    know all their groups; no pair is lost if they don't."""
+    monkeypatch.setattr(ngram_join, "FIRST_GROUPS", known)
+    rng = random.Random(8)
+    groups = {g: sorted(rng.sample(range(24), rng.randint(7, 20))) for g in rng.sample(range(-1000, 1000), 20)}
+    of = {s: sorted(g for g, sets in groups.items() if s in sets)[:known] for s in range(24)}
+    rows = [{"set": s, "gid": g, "comp": s, "n": 10, "sketch": bytes(128), "p": 0, "q": 0, "side": 2, "firsts": of[s]} for g in sorted(groups) for s in groups[g]]
+    table = pa.Table.from_pylist(rows, pa.schema([("set", pa.int64()), ("gid", pa.int64()), ("comp", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("p", pa.int32()), ("q", pa.int32()), ("side", pa.int32()), ("firsts", pa.list_(pa.int64()))]))
+    got = [(x["a"], x["b"]) for batch in ngram_join.rest_task((3, 4), False)(iter(table.to_batches(50))) for x in batch.to_pylist()]
+    want = {pair for sets in groups.values() for pair in itertools.combinations(sets, 2)}
+    assert set(got) == want and (known == 2 or len(got) == len(want))
+
+
 def test_hot_keys_are_dealt(spark):
     rows = spark.createDataFrame([(7, i) for i in range(4000)] + [(i, 1) for i in range(100, 900)] + [(None, 5)], "k long, v long")
     hot = storage.hot_values(rows, "k")

@@ -33,8 +33,10 @@ Jaccard similarity reaches the threshold (3/4).  The join is exact:
    different components.  First each block of a group only gives a spanning
    forest of these, from its best connected members on, which joins what is
    similar without listing it pair by pair; then what is still open is listed
-   and verified, but for the pairs that were refuted.  Blocks of a large group
-   are tasks of their own.
+   and verified, but for the pairs that were refuted.  Texts that share much
+   share many groups; a pair is listed by the first of them, which both know
+   from the first FIRST_GROUPS groups of each.  Blocks of a large group are
+   tasks of their own.
 
 Equal sets are one node throughout, so copies cost one row each.
 
@@ -76,6 +78,8 @@ class Plan:
 SUBSETS_TO = 256
 PLANS = (Plan(SUBSETS_TO, (2, 7), 3, 1), Plan(1 << 62, (1, 2), 1, 0))
 SKETCH_BITS = 1 << 10
+#: So many of its groups a set knows; and pairs whose groups are compared together.
+FIRST_GROUPS, FIRST_PAIRS = 32, 1 << 12
 
 
 # --- signatures ---------------------------------------------------------------
@@ -228,7 +232,8 @@ def candidate_task(ratio: Ratio):
 
 
 def rest_task(ratio: Ratio, forest: bool):
-    """Open pairs of each block of a large group, or a spanning forest of them."""
+    """Open pairs of each block of a large group that no group before it lists, or
+    a spanning forest of its open pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, group in whole_groups(batches, ["gid", "p", "q"]):
@@ -238,14 +243,42 @@ def rest_task(ratio: Ratio, forest: bool):
             n, comp, side, s, group = n[order], comp[order], side[order], s[order], group[order]
             made = Sketches(table.column("sketch").take(pa.array(order)))
             open_ = lambda i, j: (comp[i] != comp[j]) & ((side[i] != side[j]) | (side[i] == 2))
+            if not forest:
+                gid, firsts = table.column("gid").to_numpy()[order], padded(table.column("firsts").take(pa.array(order)))
             for i, j, _ in near_pairs(group, n, made, ratio, open_):
                 if forest:
                     i, j = spanning_forest(i, j, comp)
+                else:
+                    new = ~share_earlier(firsts, gid, i, j)
+                    i, j = i[new], j[new]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(s[i], s[j])), pa.array(np.maximum(s[i], s[j]))], names=["a", "b"])
 
     return run
 
 
+_NO_GROUP = np.iinfo(np.int64).max
+
+
+def padded(lists: pa.Array) -> np.ndarray:
+    """Lists of up to FIRST_GROUPS groups as rows of a table."""
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+    out = np.full((len(lists), FIRST_GROUPS), _NO_GROUP)
+    out[np.arange(FIRST_GROUPS) < sizes[:, None]] = lists.flatten().to_numpy()
+    return out
+
+
+def share_earlier(firsts: np.ndarray, gid: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs of a group surely share a lesser one, which lists them.  The
+    least group that two sets share is in the first ones of both if any shared one is."""
+    out = np.zeros(len(i), bool)
+    for k in range(0, len(i), FIRST_PAIRS):
+        x, y = firsts[i[k : k + FIRST_PAIRS]], firsts[j[k : k + FIRST_PAIRS]]
+        before = x < gid[i[k : k + FIRST_PAIRS]][:, None]
+        out[k : k + FIRST_PAIRS] = ((x[:, :, None] == y[:, None, :]).any(2) & before).any(1)
+    return out
+
+
 def spanning_forest(a: np.ndarray, b: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Those of the edges (a, b) that join components, hubs first."""
     degree = np.bincount(a, minlength=len(comp)) + np.bincount(b, minlength=len(comp))
@@ -278,6 +311,9 @@ def _rest(groups: DataFrame, info: DataFrame, comps: DataFrame, ratio: Ratio, fo
     members = members.join(comps, "set", "left").withColumn("comp", F.coalesce("comp", "set"))
     mixed = members.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("size").alias("size")).where("lo <> hi").select("gid", "size")
     rows = within(members, mixed).join(info.select("set", "n", "sketch"), "set")
+    if not forest:
+        firsts = groups.select("gid", F.explode("members").alias("set")).groupBy("set").agg(F.slice(F.array_sort(F.collect_set("gid")), 1, FIRST_GROUPS).alias("firsts"))
+        rows = rows.join(firsts, "set")
     return blocks(rows).mapInArrow(rest_task(ratio, forest), "a long, b long").distinct()
 
 
