@@ -187,7 +187,7 @@ def test_members_of_groups_are_not_broadcast(spark):
     """The copies of a group's row would all go to the driver; small groups have one."""
     sizes = {gid: size for gid, size in enumerate([2, 7, 127, 128, 500, 5000])}
     members = spark.createDataFrame([(g, n, 1000 * g + k) for g, n in sizes.items() for k in range(n)], "gid long, size long, set long")
-    groups = spark.createDataFrame([(g, n) for g, n in sizes.items() if g != 1], "gid long, size long")
+    groups = spark.range(len(sizes)).where("id <> 1").select(F.col("id").alias("gid"), F.element_at(F.array(*[F.lit(n).cast("long") for n in sizes.values()]), F.expr("CAST(id AS INT) + 1")).alias("size"))
     got = set_pairs.within(members, groups)
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
