@@ -209,6 +209,56 @@ def test_a_pair_is_listed_by_its_first_group(monkeypatch, known):
     assert set(got) == want and (known == 2 or len(got) == len(want))
 
 
+def test_the_forest_names_members_with_other_pairs():
+    """Every possible pair is in the forest, or one of its groups names both; nothing
+    else is named: none in one component, far apart or of unlike sizes."""
+    near, far = bytes(128), bytes([255]) * 64 + bytes(64)
+    groups = {
+        5: [(1, 1, 10, near), (2, 2, 10, near), (3, 3, 10, near), (4, 4, 10, far), (5, 5, 30, near)],
+        6: [(1, 1, 10, near), (2, 2, 10, near), (3, 3, 10, near)],
+        7: [(7, 7, 10, near), (8, 7, 10, near), (9, 9, 10, near), (4, 4, 10, far)],
+        8: [(9, 9, 10, near), (7, 7, 10, near), (4, 4, 10, far)],
+        9: [(8, 7, 10, near), (7, 7, 10, near)],
+    }
+    rows = [{"set": s, "gid": g, "whole": 100 + g, "comp": c, "n": n, "sketch": k, "p": 0, "q": 0, "side": 2} for g, own in groups.items() for s, c, n, k in own]
+    table = pa.Table.from_pylist(rows, pa.schema([(x, pa.int64()) for x in ("set", "gid", "whole", "comp", "n")] + [("sketch", pa.binary()), ("p", pa.int32()), ("q", pa.int32()), ("side", pa.int32())]))
+    out = [x for batch in ngram_join.rest_task((3, 4), True)(iter(table.to_batches(3))) for x in batch.to_pylist()]
+    pairs = {(x["a"], x["b"]) for x in out if x["a"] is not None}
+    open_ = {5: {(1, 2), (1, 3), (2, 3)}, 6: {(1, 2), (1, 3), (2, 3)}, 7: {(7, 9), (8, 9)}, 8: {(7, 9)}}
+    assert len(pairs & open_[5]) == 2 and len(pairs & open_[7]) == 1 and len(pairs) == 3
+    left = {(x["gid"], x["size"], x["set"]) for x in out if x["a"] is None}
+    assert left == {(g, 100 + g, s) for g in (5, 7) for pair in open_[g] - pairs for s in pair}
+
+
+def test_the_second_pass_only_reads_what_the_forest_leaves(spark, monkeypatch):
+    """Families that share half of their texts have many large groups and no
+    possible pair; of families of near copies few members are left."""
+    rng = random.Random(21)
+    words, texts = [f"w{i}" for i in range(4000)], []
+    for _ in range(12):
+        half = rng.choices(words, k=80)
+        texts += [" ".join(half + rng.choices(words, k=80)) for _ in range(12)]
+    for size in (90, 150, 300):
+        base = rng.choices(words, k=size)
+        texts += [" ".join(edited(rng, base, rng.randint(0, size // 22))) for _ in range(15)]
+    sets = [shingle_set(t) for t in texts]
+    component = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if similar(sets[i], sets[j]) and component[i] != component[j]:
+            lo, hi = sorted((component[i], component[j]))
+            component = [lo if c == hi else c for c in component]
+    read, rest = {}, ngram_join._rest
+
+    def counted(members, info, comps, ratio, forest):
+        read[forest] = [r.set for r in members.select(F.explode("members").alias("set") if "members" in members.columns else "set").collect()]
+        return rest(members, info, comps, ratio, forest)
+
+    monkeypatch.setattr(ngram_join, "_rest", counted)
+    got = ngram_join.similar_documents(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(component))
+    assert 0 < len(read[False]) < len(read[True]) / 4, (len(read[False]), len(read[True]))
+
+
 def test_hot_keys_are_dealt(spark):
     rows = spark.createDataFrame([(7, i) for i in range(4000)] + [(i, 1) for i in range(100, 900)] + [(None, 5)], "k long, v long")
     hot = storage.hot_values(rows, "k")

@@ -32,11 +32,12 @@ Jaccard similarity reaches the threshold (3/4).  The join is exact:
 6. *The rest of the large groups*: possible pairs whose members are still in
    different components.  First each block of a group only gives a spanning
    forest of these, from its best connected members on, which joins what is
-   similar without listing it pair by pair; then what is still open is listed
-   and verified, but for the pairs that were refuted.  Texts that share much
-   share many groups; a pair is listed by the first of them, which both know
-   from the first FIRST_GROUPS groups of each.  Blocks of a large group are
-   tasks of their own.
+   similar without listing it pair by pair, and names the members of each other
+   possible pair; then what is still open among these is listed and verified, but
+   for the pairs that were refuted.  Texts that share much share many groups; a
+   pair is listed by the first of those that name both, which they know from the
+   first FIRST_GROUPS groups that name each.  Blocks of a large group are tasks of
+   their own.
 
 Equal sets are one node throughout, so copies cost one row each.
 
@@ -231,9 +232,15 @@ def candidate_task(ratio: Ratio):
 # --- the rest of large groups -------------------------------------------------
 
 
+_REST = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_FOREST = pa.schema([*_REST, ("gid", pa.int64()), ("size", pa.int64()), ("set", pa.int64())])
+_FOREST_DDL = "a long, b long, gid long, size long, set long"
+
+
 def rest_task(ratio: Ratio, forest: bool):
-    """Open pairs of each block of a large group that no group before it lists, or
-    a spanning forest of its open pairs."""
+    """Open pairs of each block of a large group that no group before it lists; or
+    spanning forests of the open pairs of blocks that are read together, then the
+    members of each other pair in one of these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, group in whole_groups(batches, ["gid", "p", "q"]):
@@ -243,15 +250,24 @@ def rest_task(ratio: Ratio, forest: bool):
             n, comp, side, s, group = n[order], comp[order], side[order], s[order], group[order]
             made = Sketches(table.column("sketch").take(pa.array(order)))
             open_ = lambda i, j: (comp[i] != comp[j]) & ((side[i] != side[j]) | (side[i] == 2))
-            if not forest:
-                gid, firsts = table.column("gid").to_numpy()[order], padded(table.column("firsts").take(pa.array(order)))
+            gid, left = table.column("gid").to_numpy()[order], np.zeros(len(s), bool)
+            if forest:
+                size = table.column("whole").to_numpy()[order]
+            else:
+                firsts = padded(table.column("firsts").take(pa.array(order)))
             for i, j, _ in near_pairs(group, n, made, ratio, open_):
                 if forest:
-                    i, j = spanning_forest(i, j, comp)
+                    kept = spanning_forest(i, j, comp)
+                    other = unlisted(s[i], s[j], kept)
+                    left[i[other]] = left[j[other]] = True
                 else:
-                    new = ~share_earlier(firsts, gid, i, j)
-                    i, j = i[new], j[new]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(s[i], s[j])), pa.array(np.maximum(s[i], s[j]))], names=["a", "b"])
+                    kept = np.flatnonzero(~share_earlier(firsts, gid, i, j))
+                x, y = s[i[kept]], s[j[kept]]
+                pairs = [pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))]
+                yield pa.RecordBatch.from_arrays(pairs + [pa.nulls(len(x), pa.int64())] * 3, schema=_FOREST) if forest else pa.RecordBatch.from_arrays(pairs, schema=_REST)
+            if left.any():
+                none = pa.nulls(int(left.sum()), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, pa.array(gid[left]), pa.array(size[left]), pa.array(s[left])], schema=_FOREST)
 
     return run
 
@@ -279,8 +295,8 @@ def share_earlier(firsts: np.ndarray, gid: np.ndarray, i: np.ndarray, j: np.ndar
     return out
 
 
-def spanning_forest(a: np.ndarray, b: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Those of the edges (a, b) that join components, hubs first."""
+def spanning_forest(a: np.ndarray, b: np.ndarray, comp: np.ndarray) -> np.ndarray:
+    """Positions of those of the edges (a, b) that join components, hubs first."""
     degree = np.bincount(a, minlength=len(comp)) + np.bincount(b, minlength=len(comp))
     order = np.argsort(-np.maximum(degree[a], degree[b]), kind="stable")
     lo, hi = np.minimum(comp[a], comp[b])[order], np.maximum(comp[a], comp[b])[order]
@@ -302,19 +318,28 @@ def spanning_forest(a: np.ndarray, b: np.ndarray, comp: np.ndarray) -> tuple[np.
         if x != y:
             root[x] = y
             kept.append(order[k])
-    return a[kept], b[kept]
+    return np.array(kept, np.int64)
+
+
+def unlisted(a: np.ndarray, b: np.ndarray, kept: np.ndarray) -> np.ndarray:
+    """Of the pairs (a, b), in either order, the first places of those that aren't
+    equal to one of the ``kept``."""
+    pairs, first, number = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0, return_index=True, return_inverse=True)
+    listed = np.zeros(len(pairs), bool)
+    listed[number[kept]] = True
+    return first[~listed]
 
 
-def _rest(groups: DataFrame, info: DataFrame, comps: DataFrame, ratio: Ratio, forest: bool) -> DataFrame:
-    """Distinct possible pairs (a, b) across components inside the large groups."""
-    members = groups.select("gid", "size", F.explode("members").alias("set"))
-    members = members.join(comps, "set", "left").withColumn("comp", F.coalesce("comp", "set"))
-    mixed = members.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("size").alias("size")).where("lo <> hi").select("gid", "size")
-    rows = within(members, mixed).join(info.select("set", "n", "sketch"), "set")
-    if not forest:
-        firsts = groups.select("gid", F.explode("members").alias("set")).groupBy("set").agg(F.slice(F.array_sort(F.collect_set("gid")), 1, FIRST_GROUPS).alias("firsts"))
-        rows = rows.join(firsts, "set")
-    return blocks(rows).mapInArrow(rest_task(ratio, forest), "a long, b long").distinct()
+def _rest(members: DataFrame, info: DataFrame, comps: DataFrame, ratio: Ratio, forest: bool) -> DataFrame:
+    """Distinct possible pairs (a, b) across components inside the large groups with
+    ``members`` (gid, size, set); or rows of their forests and what these leave."""
+    known = members.join(comps, "set", "left").withColumn("comp", F.coalesce("comp", "set"))
+    mixed = known.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("size").alias("size")).where("lo <> hi").select("gid", "size")
+    rows = within(known, mixed).join(info.select("set", "n", "sketch"), "set")
+    if forest:
+        return blocks(rows.withColumn("whole", F.col("size"))).mapInArrow(rest_task(ratio, True), _FOREST_DDL)
+    firsts = members.groupBy("set").agg(F.slice(F.array_sort(F.collect_set("gid")), 1, FIRST_GROUPS).alias("firsts"))
+    return blocks(rows.join(firsts, "set")).mapInArrow(rest_task(ratio, False), "a long, b long").distinct()
 
 
 def similar_documents(spark: SparkSession, docs: DataFrame, width: int = 5, ratio: Ratio = (3, 4), id_bits: int = 64) -> DataFrame:
@@ -341,14 +366,18 @@ def similar_documents(spark: SparkSession, docs: DataFrame, width: int = 5, rati
     comps = components(spark, tables, "first", links)
     tables.drop("candidates", "first-possible")
     if groups.limit(1).count():
-        forest = tables.write(_rest(groups, info, comps, ratio, True), "forest")
+        members = groups.select("gid", "size", F.explode("members").alias("set"))
+        named = tables.write(_rest(members, info, comps, ratio, True), "forest")
+        forest = tables.write(named.where("a is not null").select("a", "b").distinct(), "forest-pairs")
+        left = tables.write(named.where("set is not null").select("gid", "size", "set").distinct(), "left")
+        tables.drop("forest", "groups")
         more = verifier.links(forest, "forest")
         comps = components(spark, tables, "second", links.union(more))
-        rest = tables.write(_rest(groups, info, comps, ratio, False).join(forest, ["a", "b"], "left_anti"), "rest")
+        rest = tables.write(_rest(left, info, comps, ratio, False).join(forest, ["a", "b"], "left_anti"), "rest")
         if rest.limit(1).count():
             last = verifier.links(rest, "rest")
             comps = components(spark, tables, "third", links.union(more).union(last))
-        tables.drop("forest", "rest", "groups")
+        tables.drop("forest-pairs", "left", "rest")
     named = info.select("set", "first", "copies").join(comps, "set", "left").withColumn("comp", F.coalesce("comp", "set"))
     hot = hot_values(comps, "comp")
     lowest = named.groupBy("comp").agg(F.min("first").alias("component_id"))
