@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -444,3 +445,32 @@ def test_words_and_shingles_of_the_kernel():
     assert np.diff(offsets).tolist() == [len(shingle_set(t)) for t in texts]
     batches = [pa.RecordBatch.from_arrays([pa.array(["a" * 10] * 7 + [None])], names=["text"])]
     assert [len(b) for b in bytekernel.slices(batches, most=30)] == [3, 3, 2]
+
+
+def packed(sigs, sets, buckets=1):
+    """Postings as candidate tasks of the n-gram join read them."""
+    n = np.full(len(sets), 100, np.uint16)
+    return list(set_pairs.packed_postings([sets, n, np.zeros(len(sets), np.uint64)], sigs, buckets, ngram_join._POSTINGS))
+
+
+def test_memory_of_a_task_that_lists_candidates(monkeypatch):
+    """A bucket is sorted in parts, with the same pairs and groups as in one."""
+    rng = np.random.default_rng(5)
+    n = 1 << 20
+    sigs = rng.integers(0, 1 << 32, n, dtype=np.uint64)
+    sigs[4000:24000] = sigs[24000:44000]  # pairs
+    sigs[:4000] = rng.integers(0, 1 << 32, 400, dtype=np.uint64).repeat(10)  # 400 equal groups
+    sets = rng.integers(0, 1 << 62, n)
+    sets[:4000] = np.tile(sets[:10], 400)
+    batches, task = packed(sigs, sets), ngram_join.candidate_task((3, 4))
+    tracemalloc.start()
+    found = pa.Table.from_batches(task(iter(batches)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
+    gids = found["gid"].drop_null().to_pylist()
+    assert gids and len(gids) == len(set(gids))
+    monkeypatch.setattr(set_pairs, "PART_POSTINGS", n)
+    whole = pa.Table.from_batches(task(iter(batches)))
+    told = lambda t: sorted(map(str, t.to_pylist()))
+    assert told(found) == told(whole)

@@ -4,14 +4,16 @@ import hashlib
 import random
 import re
 import textwrap
+import tracemalloc
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from thaiseg.llm import licences, pii, quality, source_mix, storage, token_records, toxicity
+from thaiseg.llm import bytekernel, licences, pii, quality, source_mix, storage, token_records, toxicity
 from thaiseg.llm.catalog import tokenizer_path
 
 TEXTS = ["", None, "  a  b ", "a\n b", "x y  z", " lead", "tail ", " ", "a b's c", "é 　 b", "it's  \n\n ok\t\tq <|endoftext|> y", "ไข่คน 😀", "the cat sat on the mat " * 50]
@@ -62,6 +64,58 @@ def test_memo_is_bounded(monkeypatch):
         assert np.array_equal(e.encode(pa.array(t))[0], e.whole(t)[0]) and len(e.known) <= 50
 
 
+def test_memo_is_bounded_in_ids(monkeypatch):
+    monkeypatch.setattr(token_records, "POOL_MOST", 500, raising=False)
+    e = token_records.Encoder(tokenizer_path())
+    for k in range(20):
+        t = [" ".join(f"some-long-piece/{i}/of-many-ids" for i in range(10 * k, 10 * k + 10))]
+        assert np.array_equal(e.encode(pa.array(t))[0], e.whole(t)[0]) and e.used <= 500 + len(e.whole(t)[0])
+
+
+def traced_peak(run) -> int:
+    """Bytes that ``run`` holds at most beyond what there was."""
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_of_a_task_that_writes_records(tmp_path, monkeypatch):
+    monkeypatch.setattr(token_records, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(100_000):x}" for _ in range(1000)) for _ in range(400)]
+    batch = pa.record_batch({"doc_id": pa.array(range(400)), "text": pa.array(texts)})
+    token_records.Encoder.of(tokenizer_path()).clear()
+    task = token_records.write_task(f"file://{tmp_path}", tokenizer_path())
+    peak = traced_peak(lambda: list(task([batch])))
+    assert peak < 30e6
+
+
+def test_memo_goes_when_the_worker_turns_to_other_texts():
+    token_records.Encoder.of(tokenizer_path())
+    batch = pa.record_batch({"text": pa.array(["a b"])})
+    list(bytekernel.slices([batch], kind=token_records.__name__))
+    assert token_records.Encoder._open
+    list(bytekernel.slices([batch]))
+    assert not token_records.Encoder._open
+
+
+def test_records_and_mix_start_no_workers_for_rows_of_the_driver(spark, monkeypatch):
+    """Rows by ``parallelize`` are read by Python workers of another kind, which take memory beside those of the tasks."""
+    df = spark.createDataFrame(mix_rows(n=60), "doc_id long, text string, lang string, source string, n_chars long")
+    none = df.limit(0)
+
+    def refused(*a, **b):
+        raise AssertionError("parallelize")
+
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", refused)
+    assert token_records.tokenized(spark, df, tokenizer_path()).count() == 60
+    assert source_mix.mixed_documents(spark, df).count() > 0
+    assert token_records.tokenized(spark, none, tokenizer_path()).count() == source_mix.mixed_documents(spark, none).count() == 0
+
+
 def test_records_round_trip(spark):
     ids = [9, 3, 3, None, 7, 1, 4, 12, 30, 2, 8, 15, 22]
     df = spark.createDataFrame(list(zip(ids, TEXTS)), "doc_id long, text string").repartition(3)
@@ -274,6 +328,13 @@ def test_toxicity_learns_words_and_stems():
     assert ((scores[:-2] >= 0.5) == y[1800:]).mean() > 0.95 and scores[-1] == scores[-2]
 
 
+def test_memory_of_training():
+    texts = [" ".join(f"w{(i * j) % 977}" for j in range(200)) for i in range(4000)]
+    words = 200 * len(texts)
+    peak = traced_peak(lambda: toxicity.train(texts, np.arange(4000) % 2, toxicity.Training(epochs=1, steps=1)))
+    assert peak < 1.8 * words * 4 * (1 + len(toxicity.PREFIXES))  # once, and the model
+
+
 def test_scores_do_not_depend_on_the_batch():
     rng = random.Random(2)
     texts = ["", "a b", *(" ".join(rng.choices(["idiot", "x", "y", "zz"], k=k)) for k in (1, 2, 3, 50, 300))]

@@ -9,6 +9,7 @@ hash is linear in the bytes, so texts made to cancel out don't collide.
 from __future__ import annotations
 
 import ctypes
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -186,8 +187,14 @@ def trim() -> None:
         pass
 
 
-def slices(batches, column: str = "text", most: int = 1 << 20):
+#: How to drop what a task left in its worker for the next ones of its kind, by kind.
+LEFT: dict[str, Callable[[], None]] = {}
+
+
+def slices(batches, column: str = "text", most: int = 1 << 18, kind: str = ""):
     """Parts of record batches with about ``most`` bytes of text each (one text at least)."""
+    for other in [k for k in LEFT if k != kind]:
+        LEFT.pop(other)()
     for batch in batches:
         texts = batch.column(column)
         sizes = np.asarray(pa.compute.binary_length(texts).fill_null(0), np.int64)

@@ -187,7 +187,7 @@ def found_in(items: Items, texts: pa.Array) -> dict[tuple[int, int], tuple[int,
 def search_task(handle):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: Items = handle.value
-        for batch in slices(batches, most=2 << 20) if len(items.lengths) else ():
+        for batch in slices(batches, most=1 << 19) if len(items.lengths) else ():
             rows = sorted(found_in(items, batch.column("text")).items())
             if rows:
                 ids = batch.column("doc_id").take(pa.array([d for (d, _), _ in rows])).cast(pa.int64())
@@ -201,7 +201,7 @@ def clean_task(handle):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: Items = handle.value
-        for batch in slices(batches, most=2 << 20):
+        for batch in slices(batches, most=1 << 19):
             keep = np.ones(len(batch), bool)
             if len(items.lengths):
                 keep[[d for d, _ in found_in(items, batch.column("text"))]] = False

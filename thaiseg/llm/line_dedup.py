@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytekernel import finalise, slices, utf8
-from .set_pairs import BUCKET_POSTINGS, CANDIDATES_DDL, HELD, SMALL_GROUP, Identity, Ratio, Recurring, Seen, Sketches, Verifier, blocks, by_bucket, check_ratio, common_table, first_pairs, group_batches, groups_of, near_pairs, packed_postings, pair_batches, picked, rarest, sets_of, settled, sketches, small_pairs, uncovered, whole_groups, within
+from .set_pairs import BUCKET_POSTINGS, CANDIDATES_DDL, HELD, SMALL_GROUP, Identity, Ratio, Recurring, Seen, Sketches, Verifier, blocks, by_bucket, check_ratio, common_table, distinct_pairs, first_pairs, group_batches, groups_of, near_pairs, packed_postings, pair_batches, picked, rarest, sets_of, settled, sketches, small_pairs, uncovered, whole_groups, within
 from .storage import Tables, hot_values, only, salted_join
 
 SKETCH = 256
@@ -149,15 +149,18 @@ def passes(na: np.ndarray, pa_: np.ndarray, nb: np.ndarray, pb: np.ndarray, rati
 
 def candidate_task(ratio: Ratio):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tokens, sets, place, before in by_bucket(batches, [np.uint32, np.int64, np.uint32, np.uint64]):
-            n, pos = (place >> np.uint32(16)).astype(np.int64), (place & np.uint32(65535)).astype(np.int64)
-            first, size = groups_of(tokens)
-            more = uncovered(before, first, size)
-            first, size = first[more], size[more]
-            i, j = small_pairs(first, size)
-            good = passes(n[i], pos[i], n[j], pos[j], ratio)
-            yield from pair_batches(sets[i[good]], sets[j[good]])
-            yield from group_batches(sets, first[size > SMALL_GROUP], size[size > SMALL_GROUP])
+        for parts in by_bucket(batches, [np.uint32, np.int64, np.uint32, np.uint64]):
+            pairs, told = [], set()
+            for tokens, sets, place, before in parts:
+                n, pos = (place >> np.uint32(16)).astype(np.int64), (place & np.uint32(65535)).astype(np.int64)
+                first, size = groups_of(tokens)
+                more = uncovered(before, first, size)
+                first, size = first[more], size[more]
+                i, j = small_pairs(first, size)
+                good = passes(n[i], pos[i], n[j], pos[j], ratio)
+                pairs.append(distinct_pairs(sets[i[good]], sets[j[good]]))
+                yield from group_batches(sets, first[size > SMALL_GROUP], size[size > SMALL_GROUP], told)
+            yield from pair_batches(pairs)
 
     return run
 

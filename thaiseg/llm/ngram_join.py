@@ -61,7 +61,7 @@ from pyspark.sql import functions as F
 
 from .bytekernel import distinct_within, finalise, slices
 from .components import components
-from .set_pairs import BUCKET_POSTINGS, CANDIDATES_DDL, HELD, SMALL_GROUP, Common, Identity, Ratio, Recurring, Seen, Sketches, Verifier, blocks, by_bucket, check_ratio, common_table, first_pairs, group_batches, groups_of, near_pairs, packed_postings, pair_batches, picked, rarest, sets_of, settled, sketches, small_pairs, uncovered, whole_groups, within
+from .set_pairs import BUCKET_POSTINGS, CANDIDATES_DDL, HELD, SMALL_GROUP, Common, Identity, Ratio, Recurring, Seen, Sketches, Verifier, blocks, by_bucket, check_ratio, common_table, distinct_pairs, first_pairs, group_batches, groups_of, near_pairs, packed_postings, pair_batches, picked, rarest, sets_of, settled, sketches, small_pairs, uncovered, whole_groups, within
 from .storage import Tables, hot_values, only, salted_join
 
 
@@ -216,15 +216,18 @@ def candidate_task(ratio: Ratio):
     num, den = ratio
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for sigs, sets, n, before in by_bucket(batches, [np.uint32, np.int64, np.uint16, np.uint64]):
-            first, size = groups_of(sigs)
-            more = uncovered(before, first, size)
-            first, size = first[more], size[more]
-            i, j = small_pairs(first, size)
-            x, y = n[i].astype(np.int64), n[j].astype(np.int64)
-            fits = (np.minimum(x, y) * den >= np.maximum(x, y) * num) | (np.maximum(x, y) == _SIZE_MOST)
-            yield from pair_batches(sets[i[fits]], sets[j[fits]])
-            yield from group_batches(sets, first[size > SMALL_GROUP], size[size > SMALL_GROUP])
+        for parts in by_bucket(batches, [np.uint32, np.int64, np.uint16, np.uint64]):
+            pairs, told = [], set()
+            for sigs, sets, n, before in parts:
+                first, size = groups_of(sigs)
+                more = uncovered(before, first, size)
+                first, size = first[more], size[more]
+                i, j = small_pairs(first, size)
+                x, y = n[i].astype(np.int64), n[j].astype(np.int64)
+                fits = (np.minimum(x, y) * den >= np.maximum(x, y) * num) | (np.maximum(x, y) == _SIZE_MOST)
+                pairs.append(distinct_pairs(sets[i[fits]], sets[j[fits]]))
+                yield from group_batches(sets, first[size > SMALL_GROUP], size[size > SMALL_GROUP], told)
+            yield from pair_batches(pairs)
 
     return run
 

@@ -29,6 +29,8 @@ COMMON_MIN, COMMON_MOST = 12, 1 << 17
 #: than BLOCK are cut into blocks.
 SMALL_GROUP, BLOCK = 6, 2048
 FLUSH, BUCKET_POSTINGS = 1 << 20, 3 << 19
+#: Postings of a bucket that are sorted together, in so many parts at most.
+PART_POSTINGS, PARTS_MOST = 1 << 18, 64
 #: Postings that a task holds before it sends them.
 HELD = 1 << 18
 SEEN_MOST = 1 << 18
@@ -319,23 +321,29 @@ CANDIDATES = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("gid", pa.int64()
 CANDIDATES_DDL = "a long, b long, gid long, size long, members array<long>"
 
 
-def pair_batches(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+def distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct pairs, the lesser set first."""
     a, b = np.minimum(a, b), np.maximum(a, b)
     order = np.lexsort((b, a))
     a, b = a[order], b[order]
     keep = np.ones(len(a), bool)
     keep[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    a, b = a[keep], b[keep]
+    return a[keep], b[keep]
+
+
+def pair_batches(pairs: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """The distinct ones of all these pairs."""
+    if not pairs:
+        return
+    a, b = distinct_pairs(*(np.concatenate(x) for x in zip(*pairs)))
     for k in range(0, len(a), 1 << 16):
         n = len(a[k : k + (1 << 16)])
         yield pa.RecordBatch.from_arrays([pa.array(a[k : k + n]), pa.array(b[k : k + n]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64()))], schema=CANDIDATES)
 
 
-def group_batches(sets: np.ndarray, first: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+def group_batches(sets: np.ndarray, first: np.ndarray, size: np.ndarray, told: set[int]) -> Iterator[pa.RecordBatch]:
     """Large groups, as rows of up to BLOCK members, with the first one as ``a``;
-    equal groups once."""
-    told = set()
+    equal groups once, and none that was ``told`` before."""
     gids = []
     for f, n in zip(first.tolist(), size.tolist()):
         gids.append(int(finalise(sets[f : f + n].view(np.uint64)).sum(dtype=np.uint64).view(np.int64)))
@@ -391,28 +399,33 @@ def packed_postings(columns: list[np.ndarray], signatures: np.ndarray, buckets:
         yield pa.RecordBatch.from_arrays([pa.array([int(bucket[cuts[j]]) for j in part], pa.int32()), *blobs], schema=schema)
 
 
-def by_bucket(batches: Iterator[pa.RecordBatch], kinds: list) -> Iterator[list[np.ndarray]]:
-    """The unpacked columns of each bucket, the input being sorted by bucket; rows
-    of one signature stand together in order of the second column, once each."""
+def by_bucket(batches: Iterator[pa.RecordBatch], kinds: list) -> Iterator[Iterator[list[np.ndarray]]]:
+    """The unpacked columns of each bucket, in parts by ranges of its signatures,
+    the input being sorted by bucket; rows of one signature stand together in order
+    of the second column, once each."""
     now, held = None, []
 
-    def whole() -> list[np.ndarray]:
-        columns = [np.concatenate(x) for x in zip(*held)]
+    def parts() -> Iterator[list[np.ndarray]]:
+        n = min(PARTS_MOST, -(-sum(len(x[0]) for x in held) // PART_POSTINGS))
+        part = [((x[0] >> np.uint32(16)) * np.uint32(n) >> np.uint32(16)).astype(np.uint8) for x in held]
+        for k in range(n):
+            own = [np.flatnonzero(p == k) for p in part]
+            columns = [np.concatenate([c[at] for c, at in zip(x, own)]) for x in zip(*held)]
+            order = np.lexsort((columns[1], columns[0]))
+            same = (columns[0][order][1:] == columns[0][order][:-1]) & (columns[1][order][1:] == columns[1][order][:-1])
+            order = order[np.concatenate([[True], ~same])[: len(order)]]
+            if len(order):
+                yield [c[order] for c in columns]
         held.clear()
-        order = np.lexsort((columns[1], columns[0]))
-        columns = [c[order] for c in columns]
-        keep = np.ones(len(order), bool)
-        keep[1:] = (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])
-        return [c[keep] for c in columns]
 
     for batch in batches:
         for row in zip(batch.column(0).to_pylist(), *(batch.column(k) for k in range(1, batch.num_columns))):
             if row[0] != now and held:
-                yield whole()
+                yield parts()
             now = row[0]
             held.append([np.frombuffer(x.as_buffer(), kind) for x, kind in zip(row[1:], kinds)])
     if held:
-        yield whole()
+        yield parts()
     trim()
 
 

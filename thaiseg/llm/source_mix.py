@@ -28,15 +28,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from .bytekernel import trim
-from .storage import Tables, only, partitions_for
+from .storage import Tables, local_table, only, partitions_for
 
 WORD = r"[^\x20\x09-\x0D]+"
 MOST_SHARDS = 4096
+_KNOWN = pa.schema([("source_no", pa.int32()), ("known", pa.string()), ("target", pa.float64()), ("source_size", pa.int64())])
+_DRAWN = pa.schema([("shard", pa.int64()), ("source_no", pa.int32()), ("start", pa.int64()), ("count", pa.int64())])
 
 
 @dataclass(frozen=True)
@@ -146,7 +149,7 @@ class Plan:
         self.targets = targets(self.sizes, weights, mix.share * sum(self.sizes), mix.most) if sources else []
         self.blocks = [-(-s // mix.block) for s in self.sizes]
         quotas = np.array([min(round(t / s * b), int(mix.most * b)) if s else 0 for t, s, b in zip(self.targets, self.sizes, self.blocks)], np.int64)
-        known = spark.createDataFrame([(i, s, float(t), n) for i, (s, t, n) in enumerate(zip(self.sources, self.targets, self.sizes))], "source_no int, known string, target double, source_size long")
+        known = local_table(spark, _KNOWN, [(i, s, float(t), n) for i, (s, t, n) in enumerate(zip(self.sources, self.targets, self.sizes))])
         numbered = sized.join(known, F.expr("source <=> known")).drop("known")
         # Words before each text: sums inside chunks of the fixed order, then over the chunks.
         n = sum(r.docs for r in sources)
@@ -161,7 +164,7 @@ class Plan:
         draws = shard_counts(quotas, mix.slots, mix.seed) if quotas.sum() else np.zeros((0, max(1, len(quotas))), np.int64)
         starts = np.cumsum(draws, 0) - draws
         rows = [(int(a), int(b), int(starts[a, b]), int(draws[a, b])) for a, b in zip(*np.nonzero(draws))]
-        drawn = spark.createDataFrame(rows, "shard long, source_no int, start long, count long").repartition(partitions_for(spark), "shard")
+        drawn = local_table(spark, _DRAWN, rows).repartition(partitions_for(spark), "shard")
         self.slots = self.tables.write(drawn.mapInPandas(slot_task(self.blocks, mix.seed), "shard long, source_no int, slot long, turn long, block long"), "slots")
 
     def pieces(self) -> DataFrame:

@@ -20,7 +20,8 @@ or speculative attempt leaves whole files only.
 Encoding: byte-level BPE never merges across a single space that a non-space
 follows, so a text is the concatenation of its space-led pieces, and each
 distinct piece is encoded by the tokenizers library once for a worker (the memo
-is bounded, and finds a piece by two hashes and its length).  Texts in which a space is followed by white space or by nothing go
+is bounded in pieces and in ids, finds a piece by two hashes and its length, and
+goes when the worker turns to texts of another operator).  Texts in which a space is followed by white space or by nothing go
 through the library whole.
 
 Defined results: null and empty texts give just the end id; null doc_ids come
@@ -44,11 +45,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import new_folder
-from .bytekernel import Words, exact, not_blank, slices, utf8
-from .storage import only, partitions_for
+from .bytekernel import LEFT, Words, exact, not_blank, slices, utf8
+from .storage import local_table, only, partitions_for
 
 END_ID = 0
-MEMO_MOST = 1 << 20
+#: The memo is emptied beyond so many pieces, or ids of pieces.
+MEMO_MOST, POOL_MOST = 1 << 20, 1 << 23
 ROWS_PER_SHARD = 20_000
 #: Characters that the library encodes at a time, or one text.
 CHARS = 1 << 16
@@ -87,6 +89,7 @@ class Encoder:
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
+        LEFT[__name__] = cls._open.clear
         return cls._open.setdefault(path, cls._open.get(path) or cls(path))
 
     def __init__(self, path: str):
@@ -106,8 +109,8 @@ class Encoder:
     def clear(self) -> None:
         self.known, self.known_at = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.pool, self.used = np.zeros(1 << 16, self.dtype), 0
-        # by place: second hashes, and where the ids are in the pool
-        self.checks, self.starts, self.sizes = np.zeros((1 << 14, 2), np.uint64), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+        # by place: second hashes, lengths, and where the ids end in the pool (a place more)
+        self.checks, self.spans, self.bounds = np.zeros(1 << 14, np.uint64), np.zeros(1 << 14, np.uint32), np.zeros(1 << 14, np.int64)
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
         """Memo places of ascending keys, -1 if absent."""
@@ -139,14 +142,12 @@ class Encoder:
 
     def _add(self, keys: np.ndarray, checks: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
         n = len(self.known)
-        while self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while n + len(keys) > len(self.starts):
-            self.checks, self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.checks, self.starts, self.sizes))
+        for array, least in ((self.pool, self.used + len(ids)), *((x, n + len(keys) + 1) for x in (self.checks, self.spans, self.bounds))):
+            if least > len(array):
+                array.resize(max(least, len(array) * 5 // 4), refcheck=False)  # in place: no second copy
         self.pool[self.used : self.used + len(ids)] = ids
-        self.starts[n : n + len(keys)] = self.used + np.cumsum(sizes) - sizes
-        self.sizes[n : n + len(keys)] = sizes
-        self.checks[n : n + len(keys)] = checks
+        self.bounds[n + 1 : n + 1 + len(keys)] = self.used + np.cumsum(sizes)
+        self.checks[n : n + len(keys)], self.spans[n : n + len(keys)] = checks.T
         self.used += len(ids)
         # both are ascending, so the memo isn't sorted again
         at = np.searchsorted(self.known, keys)
@@ -173,10 +174,11 @@ class Encoder:
         places = np.flatnonzero(~odd[owner])
         keys, checks = keys[places], checks[places]
         distinct, first, back = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.known) + len(distinct) > MEMO_MOST:
+        if len(self.known) + len(distinct) > MEMO_MOST or self.used > POOL_MOST:
             self.clear()
         index = self._find(distinct)
-        if (self.checks[index[index >= 0]] != checks[first[index >= 0]]).any():
+        there, here = index[index >= 0], checks[first[index >= 0]]
+        if ((self.checks[there] != here[:, 0]) | (self.spans[there] != here[:, 1])).any():
             self.clear()  # it holds another piece with the hash of one of these
             index = self._find(distinct)
         new = np.flatnonzero(index < 0)
@@ -191,7 +193,8 @@ class Encoder:
                 self._add(distinct[new[alone]], checks[first[new[alone]]], np.concatenate(got), np.array([len(g) for g in got]))
             index = self._find(distinct)
         index = index[back]
-        sizes, starts = self.sizes[index].astype(np.int64), self.starts[index]
+        starts = self.bounds[index]
+        sizes = self.bounds[index + 1] - starts
         ends = np.cumsum(sizes)
         flat = self.pool[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
         per_text = np.bincount(owner[places], sizes, n).astype(np.int64)
@@ -227,7 +230,7 @@ def write_task(folder: str, tokenizer: str):
         store, root = open_store(folder)
         encoder, out, index, at, records, tokens, shard = None, None, [], 0, 0, 0, 0
         own = uuid.uuid4().hex
-        for batch in slices(batches):
+        for batch in slices(batches, kind=__name__):
             encoder = encoder or Encoder.of(tokenizer)
             shard = TaskContext.get().partitionId()
             out = out or store.open_output_stream(posixpath.join(root, f"{own}.rec.part"))
@@ -264,7 +267,7 @@ def write_records(spark: SparkSession, docs: DataFrame, folder: str, tokenizer:
     order = [F.asc_nulls_first("doc_id"), F.asc_nulls_first(F.substring("text", 1, 16))]
     parts = docs.repartitionByRange(shards, *order).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
     made = parts.mapInArrow(write_task(folder, tokenizer), "shard long, path string, records long, tokens long").collect()
-    return spark.createDataFrame(made, "shard long, path string, records long, tokens long") if made else spark.createDataFrame([], "shard long, path string, records long, tokens long")
+    return local_table(spark, _SHARDS, made)
 
 
 def read_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,7 +303,7 @@ def read_records(spark: SparkSession, shards: DataFrame) -> DataFrame:
     for r in rows:
         placed.append((r.path, start))
         start += r.tokens
-    frame_ = spark.createDataFrame(placed, "path string, start long") if placed else spark.createDataFrame([], "path string, start long")
+    frame_ = local_table(spark, pa.schema([("path", pa.string()), ("start", pa.int64())]), placed)
     return frame_.repartition(max(1, min(len(placed), 4 * partitions_for(spark)))).mapInArrow(read_task, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

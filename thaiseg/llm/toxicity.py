@@ -81,12 +81,10 @@ def word_rows(column: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return rows, w.counts
 
 
-def _word_ids(texts: list[str], buckets: int) -> list[np.ndarray]:
-    out = []
+def _word_ids(texts: list[str], buckets: int) -> Iterator[np.ndarray]:
     for k in range(0, len(texts), 64):
         rows, counts = word_rows(pa.array(texts[k : k + 64], pa.string()), buckets)
-        out += np.split(rows, np.cumsum(counts)[:-1])
-    return out
+        yield from np.split(rows, np.cumsum(counts)[:-1])
 
 
 def language_table(buckets: int) -> np.ndarray:
@@ -153,9 +151,8 @@ def train(texts: list[str], labels: np.ndarray, how: Training) -> Model | float:
     if len(np.unique(labels)) < 2:
         return float(labels[0]) if len(labels) else 0.0
     rng = np.random.default_rng(how.seed)
-    docs = _word_ids(texts, how.buckets)
     pad = np.full((2, 1 + len(PREFIXES)), how.buckets, np.int32)
-    docs = [np.concatenate([d if len(d) else pad[:1], pad]) for d in docs]
+    docs = [np.concatenate([d if len(d) else pad[:1], pad]) for d in _word_ids(texts, how.buckets)]
     d, f = how.size, how.filters
     E = rng.normal(0, 0.3, (how.buckets + 1, d)).astype(np.float32)
     E[-1] = 0
@@ -281,7 +278,7 @@ def score_task(handle):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = handle.value
         scorer = Scorer(model) if isinstance(model, Model) else None
-        for batch in slices(batches, most=1 << 20):
+        for batch in slices(batches):
             scores = scorer.scores(batch.column("text")) if scorer else np.full(len(batch), model)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns)), pa.array(scores, pa.float64())], names=[*batch.schema.names, "toxicity_score"])
 
