@@ -11,7 +11,7 @@ from thaiseg.functions import text as X
 from thaiseg.functions.segmenting import register, segment, spread
 from thaiseg.operators.dictionary import Dictionary
 from thaiseg.operators.lattice import Lexicon, bounds, segment_text
-from thaiseg.operators.prefixes import words_at
+from thaiseg.operators.prefixes import edges, words_at
 from thaiseg.operators.registry import Registry
 from thaiseg.plans.native import shortest_segmentations
 from thaiseg.plans.queries import WORDS
@@ -99,6 +99,38 @@ def test_joins_agree_with_the_lattice(spark):
     assert got == {i: segment_text(t, lexicon) for i, t in texts}
 
 
+#: Keys that repeat or are missing; the first two texts end clusters in other places.
+ODD_ROWS = [(1, "กาก็กา"), (1, "ากาก็"), (None, "ไข่คน"), (2, None), (3, ""), (4, "ก"), (5, "😀ค่าจ้าง ab\n"), (6, "ค่าจ้างเพื่อชีวิต" * 3)]
+ODD_WORDS = [*WORDS, "กา", "า", "ก", "ก็", "😀", "b\n", "ab", "ยาว" * 40]
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_words_at_and_edges_of_each_row(spark, monkeypatch, few):
+    monkeypatch.setattr("thaiseg.operators.dictionary.FEW_WORDS", 1000 if few else 0)
+    d, known = Dictionary.from_words(spark, ODD_WORDS), [w.strip() for w in ODD_WORDS]
+    rows = spark.createDataFrame(ODD_ROWS, "id int, text string")
+    found = [(k, p, w, p + len(w), t) for k, t in ODD_ROWS for w in known for p in range(len(t or "")) if t.startswith(w, p)]
+    order = lambda x: (str(x[0]), *x[1:])
+    assert sorted(map(tuple, words_at(rows, "id", "text", d).collect()), key=order) == sorted((x[:4] for x in found), key=order)
+    assert sorted(map(tuple, edges(rows, "id", "text", d).collect()), key=order) == sorted((x[:4] for x in found if x[3] in bounds(x[4])), key=order)
+    assert edges(rows, "id", "text", d).dtypes == [("id", "int"), ("pos", "int"), ("word", "string"), ("end", "int")]
+    assert edges(rows, "id", "text", d.remove(ODD_WORDS)).count() == 0
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_probes_and_bounds_are_not_built(spark, monkeypatch, few):
+    """Joins broadcast the words, or build a task's share of them; never what explode made of the rows."""
+    monkeypatch.setattr("thaiseg.operators.dictionary.FEW_WORDS", 1000 if few else 0)
+    d = Dictionary.from_words(spark, WORDS)
+    for find in (words_at, edges):
+        rows = find(spark.range(100).selectExpr("id", "concat('ไข่คน', id) AS text"), "id", "text", d)
+        assert rows.count() == 200
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Join ") == 1 and "SortMergeJoin" not in plan and "LeftSemi" not in plan
+        join = "BroadcastHashJoin [word" if few else "ShuffledHashJoin [word"
+        assert join in plan and "BuildRight" in plan and plan.count("BroadcastExchange") == few
+
+
 def test_segment_plan_has_one_arrow_step(spark):
     plan = spark.range(1).select(segment(F.lit("ก"), Dictionary.from_words(spark, WORDS)))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1

@@ -10,7 +10,7 @@ from collections.abc import Iterable
 from functools import cached_property
 
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import trimmed
@@ -18,6 +18,8 @@ from .lattice import Lexicon
 
 #: Segmenting needs the words in each Python worker; more are refused.
 COMPILED_MOST = 2_000_000
+#: Words, and bytes of them, that a join broadcasts at most.
+FEW_WORDS, FEW_BYTES = 500_000, 16_000_000
 
 
 class Dictionary:
@@ -57,6 +59,17 @@ class Dictionary:
     def count(self) -> int:
         return self.words.count()
 
+    @cached_property
+    def extent(self) -> Row:
+        """Number of words, bytes of them and their distinct lengths, found once for this dictionary."""
+        size = F.coalesce(F.sum(F.octet_length("word")), F.lit(0))
+        return self.words.agg(F.count("*").alias("words"), size.alias("bytes"), F.array_sort(F.collect_set(F.length("word"))).alias("lengths")).first()
+
+    @property
+    def few(self) -> bool:
+        """Whether a join may broadcast the words."""
+        return self.extent.words <= FEW_WORDS and self.extent.bytes <= FEW_BYTES
+
     def _clean(self, words: Iterable[str] | DataFrame) -> DataFrame:
         rows = words if isinstance(words, DataFrame) else _frame(self.words.sparkSession, words)
         return Dictionary.from_column(rows, rows.columns[0]).words
